@@ -1,0 +1 @@
+"""No streaming operators: every workload this library covers reads bounded tables."""
