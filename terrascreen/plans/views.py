@@ -35,8 +35,8 @@ SQL_VIEWS = {
     "intervals": """SELECT l_orderkey % 1000 AS route, cast((l_partkey*37 + l_linenumber*911) % 10000 AS double)/10.0 AS a,
         cast((l_partkey*37 + l_linenumber*911) % 10000 AS double)/10.0 + l_quantity/10.0 AS b FROM lineitem""",
     "rects": """SELECT p_partkey AS poly_id, 3 + p_size % 2 AS cls, cast((p_partkey*53) % 1000 AS double) AS x1,
-        cast((p_partkey*97) % 1000 AS double) AS y1, cast((p_partkey*53) % 1000 AS double) + p_size AS x2,
-        cast((p_partkey*97) % 1000 AS double) + p_size AS y2 FROM part""",
+        cast((p_partkey*97) % 1000 AS double) AS y1, cast((p_partkey*53) % 1000 AS double) + p_size/4.0::double AS x2,
+        cast((p_partkey*97) % 1000 AS double) + p_size/4.0::double AS y2 FROM part""",
     "vertices": """SELECT s_suppkey // 5 AS gid, s_suppkey % 5 + 1 AS seq,
         cast((s_suppkey*61) % 1000 AS double) AS x, cast((s_suppkey*89) % 1000 AS double) AS y FROM supplier""",
 }
@@ -134,7 +134,7 @@ class Views:
         y = ((F.col("p_partkey") * 97) % 1000).cast("double")
         return self._t.part.select(
             F.col("p_partkey").alias("poly_id"), (3 + F.col("p_size") % 2).alias("cls"), x.alias("x1"), y.alias("y1"),
-            (x + F.col("p_size")).alias("x2"), (y + F.col("p_size")).alias("y2"))
+            (x + F.col("p_size") / 4.0).alias("x2"), (y + F.col("p_size") / 4.0).alias("y2"))
 
     @cached_property
     def vertices(self) -> DataFrame:

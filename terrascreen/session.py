@@ -24,6 +24,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "terrascreen")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
     for key, value in SESSION_CONF.items():
