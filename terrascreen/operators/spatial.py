@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascreen.functions.geo import METRES_PER_DEGREE, haversine_m, rounded_metres
+from terrascreen.operators.ordering import materialise
 
-# Grid pyramid: each level is four times coarser; the last level is one bucket for everything.
-RATIO, TOP_LEVEL = 4, 6
+# Grid pyramid: each level is twice as coarse; the last level is one bucket for everything.
+RATIO, TOP_LEVEL = 2, 12
 # Planar reasoning about bucket rings is only trusted up to this share of the bucket width.
 SAFETY = 0.98
 
@@ -44,36 +45,38 @@ def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str]
     levels = F.sequence(F.lit(0), F.lit(TOP_LEVEL))
     radius = F.lit(cell_m / 2) * F.sqrt(1 + stretch * stretch)
 
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"bx": _at_level(F.col("cx"), F.col("lv")), "by": _at_level(F.col("cy"), F.col("lv"))})
+
     def covering(df: DataFrame) -> DataFrame:
-        df = df.withColumn("lv", F.explode(levels))
         span = lambda a, b: F.sequence(_at_level(F.col(a), F.col("lv")), _at_level(F.col(b), F.col("lv")))
         return df.withColumn("gx", F.explode(span("tx0", "tx1"))).withColumn("gy", F.explode(span("ty0", "ty1")))
 
     def spread(df: DataFrame, keep: list[str]) -> DataFrame:
         near = df.select(*keep, "lv", _neighbours(F.col("gx"), F.col("gy")).alias("b"))
         near = near.select(*keep, "lv", F.col("b.bx").alias("bx"), F.col("b.by").alias("by"))
-        return near.where((F.col("lv") < TOP_LEVEL) | ((F.col("bx") == 0) & (F.col("by") == 0)))
+        return near.where((F.col("lv") < TOP_LEVEL) | ((F.col("bx") == 0) & (F.col("by") == 0))).distinct()
+
+    def offered(used: DataFrame) -> DataFrame:
+        # Only the levels some cell searches are laid out; there are at most TOP_LEVEL + 1 of them.
+        wanted = F.broadcast(used.select("lv").distinct())
+        return spread(covering(targets.withColumn("lv", F.explode(levels)).join(wanted, "lv", "left_semi")), payload)
 
-    extents = targets.select("tx0", "tx1", "ty0", "ty1").distinct()
-    occupied = spread(covering(extents).select("lv", "gx", "gy").distinct(), []).distinct()
-    probe = cells.withColumn("lv", F.explode(levels)).withColumns({
-        "bx": _at_level(F.col("cx"), F.col("lv")), "by": _at_level(F.col("cy"), F.col("lv"))})
+    extents = targets.select("tx0", "tx1", "ty0", "ty1").distinct().withColumn("lv", F.explode(levels))
+    occupied = spread(covering(extents).select("lv", "gx", "gy").distinct(), [])
+    probe = bucketed(cells.withColumn("lv", F.explode(levels)))
     found = (probe.join(occupied, ["lv", "bx", "by"], "left_semi")
              .groupBy("cx", "cy", "px", "py").agg(F.min("lv").alias("lv")))
-    # A target exists within the 3x3 block of that level, which bounds the best distance; the
-    # search level is the first whose ring surely contains everything up to best + 2 r.
-    width = F.lit(cell_m) * F.pow(F.lit(float(RATIO)), F.col("lv"))
-    reach = 2 * width * F.sqrt(1 + stretch * stretch) + 3 * radius
-    wanted = F.ceil(F.log(reach / F.lit(SAFETY * cell_m)) / F.lit(math.log(RATIO)))
-    search = F.when(F.col("lv") >= TOP_LEVEL - 1, F.lit(TOP_LEVEL)).otherwise(F.least(wanted, F.lit(TOP_LEVEL)))
-    found = found.withColumn("lv", search.cast("int")).withColumns({
-        "bx": _at_level(F.col("cx"), F.col("lv")), "by": _at_level(F.col("cy"), F.col("lv"))})
-    used = found.select("lv").distinct()
-    offered = spread(covering(targets).join(F.broadcast(used), "lv", "left_semi"), payload).dropDuplicates(["lv", "bx", "by", *payload])
-    pairs = found.join(offered, ["lv", "bx", "by"]).withColumn("d", distance(F.col("px"), F.col("py")))
-    best = pairs.groupBy("cx", "cy").agg(F.min("d").alias("best"))
-    kept = pairs.join(best, ["cx", "cy"]).where(F.col("d") <= F.col("best") + 2 * radius + 1e-6)
-    return kept.groupBy("cx", "cy").agg(F.collect_list(F.struct(*payload)).alias("candidates"))
+    found = materialise(bucketed(found), "cells")
+    # Any target of that ring bounds the best distance from above.
+    bound = (found.join(offered(found), ["lv", "bx", "by"]).groupBy("cx", "cy", "px", "py")
+             .agg((F.min(distance(F.col("px"), F.col("py"))) + 2 * radius + 1e-6).alias("limit")))
+    # The search level is the first whose ring surely holds everything within the limit.
+    wanted = F.greatest(F.ceil(F.log(F.col("limit") / F.lit(SAFETY * cell_m)) / F.lit(math.log(RATIO))), F.lit(0))
+    level = F.when(wanted >= TOP_LEVEL, F.lit(TOP_LEVEL)).otherwise(wanted).cast("int")
+    search = materialise(bucketed(bound.withColumn("lv", level)), "search")
+    pairs = search.join(offered(search), ["lv", "bx", "by"]).where(distance(F.col("px"), F.col("py")) <= F.col("limit"))
+    return pairs.groupBy("cx", "cy").agg(F.collect_list(F.struct(*payload)).alias("candidates"))
 
 
 def _lat_span(*tables: DataFrame) -> Column:
