@@ -1,7 +1,7 @@
 """Coordinates: distances, map projections and grids.
 
-Iterated formulas are DataFrame transforms that add one projection per step, because nesting
-them in a single expression would double the expression tree with every iteration.
+Projections are closed expressions without iteration: an iterated formula doubles the expression
+tree with every step once the optimiser pushes a filter on its result through the projection.
 """
 
 from __future__ import annotations
@@ -93,58 +93,59 @@ def _linear(matrix, vector: list[Column]) -> list[Column]:
     return [sum((F.lit(row[i]) * vector[i] for i in range(1, 3)), F.lit(row[0]) * vector[0]) for row in matrix]
 
 
-def _with_geodetic(df: DataFrame, a: float, f: float, steps: int = 4) -> DataFrame:
-    """Adds ``_lat``/``_lon`` (radians) from Cartesian ``_px,_py,_pz`` by fixed-point iteration."""
+def _tan_latitude(vector: list[Column], a: float, f: float) -> Column:
+    """Tangent of the geodetic latitude of a Cartesian point (one-step formula, sub-micrometre near the surface)."""
+    x, y, z = vector
     e2 = f * (2 - f)
-    df = df.withColumns({
-        "_lon": F.atan2(F.col("_py"), F.col("_px")),
-        "_h": F.sqrt(F.col("_px") * F.col("_px") + F.col("_py") * F.col("_py")),
-    }).withColumn("_lat", F.atan2(F.col("_pz"), F.col("_h") * F.lit(1 - e2)))
-    for _ in range(steps):
-        radius = F.lit(a) / F.sqrt(1 - F.lit(e2) * F.sin("_lat") * F.sin("_lat"))
-        df = df.withColumn("_lat", F.atan2(F.col("_pz") + F.lit(e2) * radius * F.sin("_lat"), F.col("_h")))
-    return df
+    b = a * (1 - f)
+    beta = F.atan2(z * F.lit(a), F.sqrt(x * x + y * y) * F.lit(b))
+    horizontal = F.sqrt(x * x + y * y) - F.lit(e2 * a) * F.pow(F.cos(beta), F.lit(3.0))
+    return (z + F.lit(e2 / (1 - e2) * b) * F.pow(F.sin(beta), F.lit(3.0))) / horizontal
 
 
-def _with_cartesian(df: DataFrame, parts: list[Column]) -> DataFrame:
-    return df.withColumns(dict(zip(("_px", "_py", "_pz"), parts)))
+def _latitude_series(terms: int = 7, samples: int = 512) -> list[float]:
+    """Sine coefficients of geodetic minus conformal latitude, by the trapezoid rule.
 
+    The integrand is smooth and periodic, so the sums are exact to rounding.
+    """
+    def gap(chi: float) -> float:
+        phi = chi
+        for _ in range(30):
+            es = _INTL_E * math.sin(phi)
+            phi = 2 * math.atan(math.tan(math.pi / 4 + chi / 2) * ((1 + es) / (1 - es)) ** (_INTL_E / 2)) - math.pi / 2
+        return phi - chi
 
-_TEMPORARY = ("_px", "_py", "_pz", "_h", "_lat", "_lon", "_t", "_theta")
+    points = [math.pi * (i + 0.5) / samples - math.pi / 2 for i in range(samples)]
+    values = [gap(c) for c in points]
+    return [2 / samples * sum(v * math.sin(2 * k * c) for v, c in zip(values, points)) for k in range(1, terms + 1)]
 
 
 def with_lambert72(df: DataFrame, lat: str = "latitude", lon: str = "longitude", x: str = "x", y: str = "y") -> DataFrame:
     """Adds planar metres for WGS84 degrees (datum shift solved as the inverse linear map)."""
-    df = _with_cartesian(df, _ecef(F.radians(lat), F.radians(lon), WGS84_A, WGS84_F))
-    moved = [F.col(c) - F.lit(s) for c, s in zip(("_px", "_py", "_pz"), SHIFT_M)]
-    df = _with_cartesian(df, _linear(inverse_3x3(shift_matrix()), moved))
-    df = _with_geodetic(df, INTL_A, INTL_F)
-    es = F.lit(_INTL_E) * F.sin("_lat")
-    t = F.tan(F.lit(math.pi / 4) - F.col("_lat") / 2) / F.pow((1 - es) / (1 + es), F.lit(_INTL_E / 2))
-    df = df.withColumn("_t", F.lit(CONE_SCALE) * F.pow(t, F.lit(CONE_N)))
-    df = df.withColumn("_theta", F.lit(CONE_N) * (F.col("_lon") - F.lit(CONE_LON0)))
-    return df.withColumns({
-        x: F.lit(CONE_X0) + F.col("_t") * F.sin("_theta"),
-        y: F.lit(CONE_Y0 + CONE_RHO0) - F.col("_t") * F.cos("_theta"),
-    }).drop(*_TEMPORARY)
+    moved = [part - F.lit(s) for part, s in zip(_ecef(F.radians(lat), F.radians(lon), WGS84_A, WGS84_F), SHIFT_M)]
+    local = _linear(inverse_3x3(shift_matrix()), moved)
+    phi = F.atan(_tan_latitude(local, INTL_A, INTL_F))
+    theta = F.lit(CONE_N) * (F.atan2(local[1], local[0]) - F.lit(CONE_LON0))
+    es = F.lit(_INTL_E) * F.sin(phi)
+    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - es) / (1 + es), F.lit(_INTL_E / 2))
+    rho = F.lit(CONE_SCALE) * F.pow(t, F.lit(CONE_N))
+    return df.withColumns({x: F.lit(CONE_X0) + rho * F.sin(theta), y: F.lit(CONE_Y0 + CONE_RHO0) - rho * F.cos(theta)})
 
 
 def with_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Adds WGS84 degrees for planar Lambert 72 metres."""
-    df = df.withColumns({"_px": F.col(x) - F.lit(CONE_X0), "_py": F.lit(CONE_RHO0) - (F.col(y) - F.lit(CONE_Y0))})
-    df = df.withColumns({
-        "_t": F.pow(F.sqrt(F.col("_px") * F.col("_px") + F.col("_py") * F.col("_py")) / F.lit(CONE_SCALE), F.lit(1 / CONE_N)),
-        "_lon": F.lit(CONE_LON0) + F.atan2(F.col("_px"), F.col("_py")) / F.lit(CONE_N),
-    }).withColumn("_lat", F.lit(math.pi / 2) - 2 * F.atan("_t"))
-    for _ in range(7):
-        es = F.lit(_INTL_E) * F.sin("_lat")
-        df = df.withColumn(
-            "_lat", F.lit(math.pi / 2) - 2 * F.atan(F.col("_t") * F.pow((1 - es) / (1 + es), F.lit(_INTL_E / 2))))
-    df = _with_cartesian(df, _ecef(F.col("_lat"), F.col("_lon"), INTL_A, INTL_F))
-    turned = _linear(shift_matrix(), [F.col(c) for c in ("_px", "_py", "_pz")])
-    df = _with_cartesian(df, [part + F.lit(s) for part, s in zip(turned, SHIFT_M)])
-    df = _with_geodetic(df, WGS84_A, WGS84_F)
-    return df.withColumns({lat: F.degrees("_lat"), lon: F.degrees("_lon")}).drop(*_TEMPORARY)
+    east, north = F.col(x) - F.lit(CONE_X0), F.lit(CONE_RHO0 + CONE_Y0) - F.col(y)
+    t = F.pow(F.sqrt(east * east + north * north) / F.lit(CONE_SCALE), F.lit(1 / CONE_N))
+    chi = F.lit(math.pi / 2) - 2 * F.atan(t)
+    df = df.withColumns({"_chi": chi, "_lon": F.lit(CONE_LON0) + F.atan2(east, north) / F.lit(CONE_N)})
+    series = F.col("_chi")
+    for k, weight in enumerate(_latitude_series(), start=1):
+        series = series + F.lit(weight) * F.sin(2 * k * F.col("_chi"))
+    df = df.withColumn("_lat", series)
+    turned = _linear(shift_matrix(), _ecef(F.col("_lat"), F.col("_lon"), INTL_A, INTL_F))
+    moved = [part + F.lit(s) for part, s in zip(turned, SHIFT_M)]
+    return df.withColumns({lat: F.degrees(F.atan(_tan_latitude(moved, WGS84_A, WGS84_F))),
+                           lon: F.degrees(F.atan2(moved[1], moved[0]))}).drop("_chi", "_lon", "_lat")
 
 
 def pixel_index(x: Column, y: Column) -> tuple[Column, Column]:
@@ -186,17 +187,17 @@ def with_laea(df: DataFrame, lat: str = "latitude", lon: str = "longitude", x: s
     q = F.lit(1 - LAEA_E2) * (
         F.sin(F.radians(lat)) / (1 - es * es) - F.log((1 - es) / (1 + es)) / F.lit(2 * _LAEA_E))
     df = df.withColumns({
-        "_t": F.asin(q / F.lit(LAEA_QP)),
+        "_beta": F.asin(q / F.lit(LAEA_QP)),
         "_theta": F.radians(F.pmod(F.col(lon) - F.lit(LAEA_LON0) + 180.0, F.lit(360.0)) - 180.0),
     })
-    sin_b, cos_b = F.sin("_t"), F.cos("_t")
+    sin_b, cos_b = F.sin("_beta"), F.cos("_beta")
     depth = 1 + F.lit(LAEA_SIN0) * sin_b + F.lit(LAEA_COS0) * cos_b * F.cos("_theta")
-    df = df.withColumn("_h", F.when(depth > 0, F.sqrt(F.lit(2.0) / depth)))
+    scale = F.when(depth > 0, F.sqrt(F.lit(2.0) / depth))
     return df.withColumns({
-        x: F.lit(LAEA_X0) + F.lit(LAEA_SCALE_X) * F.col("_h") * cos_b * F.sin("_theta"),
-        y: F.lit(LAEA_Y0) + F.lit(LAEA_SCALE_Y) * F.col("_h")
+        x: F.lit(LAEA_X0) + F.lit(LAEA_SCALE_X) * scale * cos_b * F.sin("_theta"),
+        y: F.lit(LAEA_Y0) + F.lit(LAEA_SCALE_Y) * scale
         * (F.lit(LAEA_COS0) * sin_b - F.lit(LAEA_SIN0) * cos_b * F.cos("_theta")),
-    }).drop(*_TEMPORARY)
+    }).drop("_beta", "_theta")
 
 
 # --- regular grids ----------------------------------------------------------------------------
