@@ -34,6 +34,16 @@ def haversine_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> C
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(h))
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a one-row ``inline``, which stays in generated code.
+
+    The optimiser neither merges nor pushes filters through it, so a long expression is computed
+    once per row however often its result is used.
+    """
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(fields)))
+
+
 # --- Belgian Lambert 72 (EPSG:31370) ----------------------------------------------------------
 # Published ellipsoids, seven-parameter datum shift and two-parallel cone.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
@@ -124,12 +134,15 @@ def with_lambert72(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
     """Adds planar metres for WGS84 degrees (datum shift solved as the inverse linear map)."""
     moved = [part - F.lit(s) for part, s in zip(_ecef(F.radians(lat), F.radians(lon), WGS84_A, WGS84_F), SHIFT_M)]
     local = _linear(inverse_3x3(shift_matrix()), moved)
-    phi = F.atan(_tan_latitude(local, INTL_A, INTL_F))
-    theta = F.lit(CONE_N) * (F.atan2(local[1], local[0]) - F.lit(CONE_LON0))
-    es = F.lit(_INTL_E) * F.sin(phi)
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - es) / (1 + es), F.lit(_INTL_E / 2))
+    df = evaluate_once(df, dict(zip(("_cx", "_cy", "_cz"), local)))
+    local = [F.col(c) for c in ("_cx", "_cy", "_cz")]
+    df = evaluate_once(df, {"_phi": F.atan(_tan_latitude(local, INTL_A, INTL_F)),
+                            "_theta": F.lit(CONE_N) * (F.atan2(local[1], local[0]) - F.lit(CONE_LON0))})
+    es = F.lit(_INTL_E) * F.sin("_phi")
+    t = F.tan(F.lit(math.pi / 4) - F.col("_phi") / 2) / F.pow((1 - es) / (1 + es), F.lit(_INTL_E / 2))
     rho = F.lit(CONE_SCALE) * F.pow(t, F.lit(CONE_N))
-    return df.withColumns({x: F.lit(CONE_X0) + rho * F.sin(theta), y: F.lit(CONE_Y0 + CONE_RHO0) - rho * F.cos(theta)})
+    placed = {x: F.lit(CONE_X0) + rho * F.sin("_theta"), y: F.lit(CONE_Y0 + CONE_RHO0) - rho * F.cos("_theta")}
+    return evaluate_once(df, placed).drop("_cx", "_cy", "_cz", "_phi", "_theta")
 
 
 def with_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -137,15 +150,17 @@ def with_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "latitude",
     east, north = F.col(x) - F.lit(CONE_X0), F.lit(CONE_RHO0 + CONE_Y0) - F.col(y)
     t = F.pow(F.sqrt(east * east + north * north) / F.lit(CONE_SCALE), F.lit(1 / CONE_N))
     chi = F.lit(math.pi / 2) - 2 * F.atan(t)
-    df = df.withColumns({"_chi": chi, "_lon": F.lit(CONE_LON0) + F.atan2(east, north) / F.lit(CONE_N)})
+    df = evaluate_once(df, {"_chi": chi, "_lon": F.lit(CONE_LON0) + F.atan2(east, north) / F.lit(CONE_N)})
     series = F.col("_chi")
     for k, weight in enumerate(_latitude_series(), start=1):
         series = series + F.lit(weight) * F.sin(2 * k * F.col("_chi"))
-    df = df.withColumn("_lat", series)
+    df = evaluate_once(df, {"_lat": series})
     turned = _linear(shift_matrix(), _ecef(F.col("_lat"), F.col("_lon"), INTL_A, INTL_F))
     moved = [part + F.lit(s) for part, s in zip(turned, SHIFT_M)]
-    return df.withColumns({lat: F.degrees(F.atan(_tan_latitude(moved, WGS84_A, WGS84_F))),
-                           lon: F.degrees(F.atan2(moved[1], moved[0]))}).drop("_chi", "_lon", "_lat")
+    df = evaluate_once(df, dict(zip(("_cx", "_cy", "_cz"), moved)))
+    moved = [F.col(c) for c in ("_cx", "_cy", "_cz")]
+    placed = {lat: F.degrees(F.atan(_tan_latitude(moved, WGS84_A, WGS84_F))), lon: F.degrees(F.atan2(moved[1], moved[0]))}
+    return evaluate_once(df, placed).drop("_chi", "_lon", "_lat", "_cx", "_cy", "_cz")
 
 
 def pixel_index(x: Column, y: Column) -> tuple[Column, Column]:
@@ -186,18 +201,15 @@ def with_laea(df: DataFrame, lat: str = "latitude", lon: str = "longitude", x: s
     es = F.lit(_LAEA_E) * F.sin(F.radians(lat))
     q = F.lit(1 - LAEA_E2) * (
         F.sin(F.radians(lat)) / (1 - es * es) - F.log((1 - es) / (1 + es)) / F.lit(2 * _LAEA_E))
-    df = df.withColumns({
-        "_beta": F.asin(q / F.lit(LAEA_QP)),
-        "_theta": F.radians(F.pmod(F.col(lon) - F.lit(LAEA_LON0) + 180.0, F.lit(360.0)) - 180.0),
-    })
+    wrapped = F.pmod(F.col(lon) - F.lit(LAEA_LON0) + 180.0, F.lit(360.0)) - 180.0
+    df = evaluate_once(df, {"_beta": F.asin(q / F.lit(LAEA_QP)), "_theta": F.radians(wrapped)})
     sin_b, cos_b = F.sin("_beta"), F.cos("_beta")
     depth = 1 + F.lit(LAEA_SIN0) * sin_b + F.lit(LAEA_COS0) * cos_b * F.cos("_theta")
     scale = F.when(depth > 0, F.sqrt(F.lit(2.0) / depth))
-    return df.withColumns({
-        x: F.lit(LAEA_X0) + F.lit(LAEA_SCALE_X) * scale * cos_b * F.sin("_theta"),
-        y: F.lit(LAEA_Y0) + F.lit(LAEA_SCALE_Y) * scale
-        * (F.lit(LAEA_COS0) * sin_b - F.lit(LAEA_SIN0) * cos_b * F.cos("_theta")),
-    }).drop("_beta", "_theta")
+    north = F.lit(LAEA_COS0) * sin_b - F.lit(LAEA_SIN0) * cos_b * F.cos("_theta")
+    placed = {x: F.lit(LAEA_X0) + F.lit(LAEA_SCALE_X) * scale * cos_b * F.sin("_theta"),
+              y: F.lit(LAEA_Y0) + F.lit(LAEA_SCALE_Y) * scale * north}
+    return evaluate_once(df, placed).drop("_beta", "_theta")
 
 
 # --- regular grids ----------------------------------------------------------------------------
