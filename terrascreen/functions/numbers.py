@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -90,20 +91,30 @@ def min_max(value: Column, low: Column, high: Column, top: float = 100.0, flat:
     return F.when(high == low, F.lit(flat)).otherwise((value - low) / (high - low) * F.lit(top))
 
 
-def log_binomial(n: Column, k: Column, log_factorials: Column) -> Column:
-    """ln C(n, k) from an array holding ln(i!) at position i (0-based)."""
-    at = lambda i: F.element_at(log_factorials, (i + 1).cast("int"))
-    return at(n) - at(k) - at(n - k)
+_SMALL = 16
 
 
-def log_factorial_table(upper: Column) -> Column:
-    """Array of ln(i!) for i = 0..upper, built as one running sum."""
-    steps = F.sequence(F.lit(1), F.greatest(upper, F.lit(1)).cast("int"))
-    return F.aggregate(
-        steps,
-        F.array(F.lit(0.0)),
-        lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(i.cast("double")))),
-    )
+def log_factorial(n: Column) -> Column:
+    """ln(n!): exact logs for small n, Stirling series beyond (error below 1e-13)."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL)])
+    x = F.greatest(n, F.lit(_SMALL)).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    large = (x + 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + series
+    return F.when(n < _SMALL, F.get(small, n.cast("int"))).otherwise(large)
+
+
+def log_binomial(n: Column, k: Column) -> Column:
+    """ln C(n, k)."""
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def chance_overlap(total: Column, k: Column, observed: Column) -> tuple[Column, Column]:
+    """Expected overlap of two random top-k sets, and the probability of at least ``observed``."""
+    base = log_binomial(total, k)
+    term = lambda o: F.when(k - o <= total - k, F.exp(log_binomial(k, o) + log_binomial(total - k, k - o) - base)).otherwise(F.lit(0.0))
+    tail = F.aggregate(F.sequence(observed, k), F.lit(0.0), lambda acc, o: acc + term(o))
+    valid = (k >= 0) & (k <= total) & (observed >= 0) & (observed <= k)
+    return F.when(valid, k * k / total), F.when(valid, F.least(tail, F.lit(1.0)))
 
 
 def struct_fields(column: Column, names: Sequence[str]) -> list[Column]:
