@@ -48,4 +48,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module."""
-    from terrascreen.plans import comparisons, expressions, joins, linear  # noqa: F401
+    from terrascreen.plans import comparisons, expressions, joins, linear, seasons, survey  # noqa: F401

@@ -29,7 +29,7 @@ SQL_VIEWS = {
         avg(l_quantity) - 1 - avg(l_tax)*100 AS low, max(l_quantity) AS top FROM lineitem GROUP BY 1,2""",
     "cube5": """SELECT l_suppkey % 5 AS cell, cast(l_shipdate AS date) AS obs_day, avg(l_quantity) AS val,
         avg(l_quantity) - 1 - avg(l_tax)*100 AS low, max(l_quantity) AS top FROM lineitem GROUP BY 1,2""",
-    "frame": """SELECT o_orderkey % 5 AS gid, o_orderkey // 5 AS idx, ((o_orderkey // 5) + 0.5)*2.0 AS chainage,
+    "frame": """SELECT o_orderkey % 5 AS gid, o_orderkey // 5 AS idx, ((o_orderkey // 5) + 0.5::double)*2.0::double AS chainage,
         CASE o_orderstatus WHEN 'F' THEN 'mapped_overlap' WHEN 'P' THEN 'proximity_only'
         ELSE 'mapped_non_overlap' END AS stratum FROM orders""",
     "intervals": """SELECT l_orderkey % 1000 AS route, cast((l_partkey*37 + l_linenumber*911) % 10000 AS double)/10.0 AS a,
