@@ -101,7 +101,7 @@ def is_iso8601(t):
     count(DISTINCT cast(l_shipdate AS date)) = 92 AS complete FROM lineitem WHERE month(l_shipdate) IN (6,7,8) GROUP BY 1,2""")
 def is_season(t):
     return (t.lineitem.where(text.is_season(F.col("l_shipdate")))
-            .groupBy((F.col("l_suppkey") % 2).alias("cell"), F.year("l_shipdate").alias("yr"))
+            .groupBy((F.col("l_suppkey") % 2).alias("cell"), F.year("l_shipdate").cast("bigint").alias("yr"))
             .agg(F.countDistinct(F.to_date("l_shipdate")).alias("season_days"))
             .withColumn("complete", F.col("season_days") == 92))
 
