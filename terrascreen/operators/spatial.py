@@ -23,15 +23,15 @@ RATIO, TOP_LEVEL = 2, 12
 SAFETY = 0.98
 
 
-def _neighbours(x: Column, y: Column) -> list[Column]:
-    side = F.sequence(F.lit(-1), F.lit(1))
-    shifts = F.flatten(F.transform(side, lambda i: F.transform(side, lambda j: F.struct((x + i).alias("bx"), (y + j).alias("by")))))
-    return F.explode(shifts)
+def _neighbours(x: str, y: str) -> Column:
+    """The 3x3 block around a bucket, one row each."""
+    shifts = f"transform(sequence(-1L, 1L), i -> transform(sequence(-1L, 1L), j -> named_struct('bx', {x} + i, 'by', {y} + j)))"
+    return F.expr(f"explode(flatten({shifts}))")
 
 
-def _at_level(index: Column, level: Column) -> Column:
-    coarse = F.floor(index / F.pow(F.lit(float(RATIO)), level)).cast("bigint")
-    return F.when(level == TOP_LEVEL, F.lit(0)).otherwise(coarse).cast("bigint")
+def _at_level(index: str, level: str = "lv") -> str:
+    """SQL of a leaf index at a coarser level of the pyramid."""
+    return f"CASE WHEN {level} = {TOP_LEVEL} THEN 0L ELSE CAST(floor({index} / pow({RATIO}D, {level})) AS BIGINT) END"
 
 
 def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str], cell_m: float, stretch: Column,
@@ -46,14 +46,14 @@ def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str]
     radius = F.lit(cell_m / 2) * F.sqrt(1 + stretch * stretch)
 
     def bucketed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"bx": _at_level(F.col("cx"), F.col("lv")), "by": _at_level(F.col("cy"), F.col("lv"))})
+        return df.withColumns({"bx": F.expr(_at_level("cx")), "by": F.expr(_at_level("cy"))})
 
     def covering(df: DataFrame) -> DataFrame:
-        span = lambda a, b: F.sequence(_at_level(F.col(a), F.col("lv")), _at_level(F.col(b), F.col("lv")))
-        return df.withColumn("gx", F.explode(span("tx0", "tx1"))).withColumn("gy", F.explode(span("ty0", "ty1")))
+        span = lambda a, b: F.expr(f"explode(sequence({_at_level(a)}, {_at_level(b)}))")
+        return df.withColumn("gx", span("tx0", "tx1")).withColumn("gy", span("ty0", "ty1"))
 
     def spread(df: DataFrame, keep: list[str]) -> DataFrame:
-        near = df.select(*keep, "lv", _neighbours(F.col("gx"), F.col("gy")).alias("b"))
+        near = df.select(*keep, "lv", _neighbours("gx", "gy").alias("b"))
         near = near.select(*keep, "lv", F.col("b.bx").alias("bx"), F.col("b.by").alias("by"))
         return near.where((F.col("lv") < TOP_LEVEL) | ((F.col("bx") == 0) & (F.col("by") == 0))).distinct()
 
@@ -130,7 +130,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
                                "by": F.floor(F.col(lat) / F.lit(width)).cast("bigint")}).drop("_cos")
 
     near = indexed(right, "r_lat", "r_lon")
-    near = near.withColumn("_b", _neighbours(F.col("bx"), F.col("by"))).withColumns({"bx": F.col("_b.bx"), "by": F.col("_b.by")}).drop("_b")
+    near = near.withColumn("_b", _neighbours("bx", "by")).withColumns({"bx": F.col("_b.bx"), "by": F.col("_b.by")}).drop("_b")
     pairs = indexed(left, "l_lat", "l_lon").join(near, ["bx", "by"])
     pairs = pairs.withColumn("d", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.where(F.col("d") <= radius_m).drop("bx", "by")
@@ -179,8 +179,7 @@ def _segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column
     length2 = dx * dx + dy * dy
     t = F.when(length2 == 0, F.lit(0.0)).otherwise(((px - x1) * dx + (py - y1) * dy) / length2)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
 def box_edges(boxes: DataFrame, box_id: str = "poly_id") -> DataFrame:
