@@ -36,7 +36,9 @@ def _at_level(index: str, level: str = "lv") -> str:
 
 def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str], cell_m: float, stretch: Column,
                         distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """Targets that can be nearest to some point of each cell, as an array per cell.
+    """Targets that can be nearest to some point of each cell: rows ``cx, cy`` and payload.
+
+    A target that covers several buckets may be repeated.
 
     ``cells`` has ``cx, cy`` (leaf indices) and ``px, py`` (centre coordinates); ``targets`` has
     the index range ``tx0..tx1, ty0..ty1`` it covers at leaf level plus ``payload`` columns.
@@ -52,31 +54,30 @@ def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str]
         span = lambda a, b: F.expr(f"explode(sequence({_at_level(a)}, {_at_level(b)}))")
         return df.withColumn("gx", span("tx0", "tx1")).withColumn("gy", span("ty0", "ty1"))
 
-    def spread(df: DataFrame, keep: list[str]) -> DataFrame:
-        near = df.select(*keep, "lv", _neighbours("gx", "gy").alias("b"))
-        near = near.select(*keep, "lv", F.col("b.bx").alias("bx"), F.col("b.by").alias("by"))
-        return near.where((F.col("lv") < TOP_LEVEL) | ((F.col("bx") == 0) & (F.col("by") == 0))).distinct()
+    def around(df: DataFrame) -> DataFrame:
+        return df.withColumn("_b", _neighbours("bx", "by")).withColumns({"bx": F.col("_b.bx"), "by": F.col("_b.by")}).drop("_b")
 
     def offered(used: DataFrame) -> DataFrame:
         # Only the levels some cell searches are laid out; there are at most TOP_LEVEL + 1 of them.
         wanted = F.broadcast(used.select("lv").distinct())
-        return spread(covering(targets.withColumn("lv", F.explode(levels)).join(wanted, "lv", "left_semi")), payload)
+        laid = covering(targets.withColumn("lv", F.explode(levels)).join(wanted, "lv", "left_semi"))
+        return laid.select(*payload, "lv", F.col("gx").alias("bx"), F.col("gy").alias("by"))
 
     extents = targets.select("tx0", "tx1", "ty0", "ty1").distinct().withColumn("lv", F.explode(levels))
-    occupied = spread(covering(extents).select("lv", "gx", "gy").distinct(), [])
+    occupied = around(covering(extents).select("lv", F.col("gx").alias("bx"), F.col("gy").alias("by")).distinct()).distinct()
     probe = bucketed(cells.withColumn("lv", F.explode(levels)))
     found = (probe.join(occupied, ["lv", "bx", "by"], "left_semi")
              .groupBy("cx", "cy", "px", "py").agg(F.min("lv").alias("lv")))
     found = materialise(bucketed(found), "cells")
     # Any target of that ring bounds the best distance from above.
-    bound = (found.join(offered(found), ["lv", "bx", "by"]).groupBy("cx", "cy", "px", "py")
+    bound = (around(found).join(offered(found), ["lv", "bx", "by"]).groupBy("cx", "cy", "px", "py")
              .agg((F.min(distance(F.col("px"), F.col("py"))) + 2 * radius + 1e-6).alias("limit")))
     # The search level is the first whose ring surely holds everything within the limit.
     wanted = F.greatest(F.ceil(F.log(F.col("limit") / F.lit(SAFETY * cell_m)) / F.lit(math.log(RATIO))), F.lit(0))
     level = F.when(wanted >= TOP_LEVEL, F.lit(TOP_LEVEL)).otherwise(wanted).cast("int")
     search = materialise(bucketed(bound.withColumn("lv", level)), "search")
-    pairs = search.join(offered(search), ["lv", "bx", "by"]).where(distance(F.col("px"), F.col("py")) <= F.col("limit"))
-    return pairs.groupBy("cx", "cy").agg(F.collect_list(F.struct(*payload)).alias("candidates"))
+    pairs = around(search).join(offered(search), ["lv", "bx", "by"]).where(distance(F.col("px"), F.col("py")) <= F.col("limit"))
+    return pairs.select("cx", "cy", *payload)
 
 
 def _lat_span(*tables: DataFrame) -> Column:
@@ -108,6 +109,7 @@ def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 250.0
     stretch = F.lit(1.0) / F.cos(F.radians(lat_max))
     lists = candidates_per_cell(cells, targets, ["sid", "sord", "slat", "slon"], cell_m, stretch,
                                 lambda px, py: haversine_m(py, px, F.col("slat"), F.col("slon")))
+    lists = lists.groupBy("cx", "cy").agg(F.collect_list(F.struct("sid", "sord", "slat", "slon")).alias("candidates"))
     best = F.array_min(F.transform("candidates", lambda c: F.struct(
         haversine_m(F.col("latitude"), F.col("longitude"), c["slat"], c["slon"]).alias("d"), c["sord"].alias("o"), c["sid"].alias("s"))))
     joined = located.join(lists, ["cx", "cy"], "left").withColumn("_best", best)
@@ -190,20 +192,23 @@ def box_edges(boxes: DataFrame, box_id: str = "poly_id") -> DataFrame:
     return boxes.select(box_id, F.explode(edges).alias("e")).select(box_id, "e.x1", "e.y1", "e.x2", "e.y2")
 
 
-def distance_to_edges(points: DataFrame, edges: DataFrame, cell_m: float = 20.0) -> DataFrame:
-    """Adds ``edge_distance``: exact distance from each point to the nearest edge."""
+def distance_to_edges(points: DataFrame, point_key: list[str], edges: DataFrame, cell_m: float = 8.0) -> DataFrame:
+    """Adds ``edge_distance``: exact distance from each point to the nearest edge.
+
+    The minimum is taken per key inside every task before rows move.
+    """
     index = lambda v: F.floor(v / F.lit(cell_m)).cast("bigint")
-    located = points.withColumns({"cx": index(F.col("x")), "cy": index(F.col("y"))})
+    located = points.select(*point_key, "x", "y", index(F.col("x")).alias("cx"), index(F.col("y")).alias("cy"))
     cells = located.select("cx", "cy").distinct().withColumns({"px": (F.col("cx") + 0.5) * cell_m, "py": (F.col("cy") + 0.5) * cell_m})
     unique = edges.select(*[F.col(n).alias(f"e{n}") for n in ("x1", "y1", "x2", "y2")]).distinct()
     e = [F.col(n) for n in ("ex1", "ey1", "ex2", "ey2")]
     targets = unique.withColumns({
         "tx0": index(F.least(e[0], e[2])), "tx1": index(F.greatest(e[0], e[2])),
         "ty0": index(F.least(e[1], e[3])), "ty1": index(F.greatest(e[1], e[3]))})
-    lists = candidates_per_cell(cells, targets, ["ex1", "ey1", "ex2", "ey2"], cell_m, F.lit(1.0),
-                                lambda px, py: _segment_distance(px, py, *e))
-    nearest = F.array_min(F.transform("candidates", lambda c: _segment_distance(F.col("x"), F.col("y"), c["ex1"], c["ey1"], c["ex2"], c["ey2"])))
-    return located.join(lists, ["cx", "cy"], "left").select(*points.columns, nearest.alias("edge_distance"))
+    near = candidates_per_cell(cells, targets, ["ex1", "ey1", "ex2", "ey2"], cell_m, F.lit(1.0),
+                               lambda px, py: _segment_distance(px, py, *e))
+    best = located.join(near, ["cx", "cy"]).groupBy(*point_key).agg(F.min(_segment_distance(F.col("x"), F.col("y"), *e)).alias("edge_distance"))
+    return points.join(best, point_key, "left")
 
 
 def inside_polygons(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", tile_m: float = 50.0) -> DataFrame:
@@ -228,7 +233,7 @@ def inside_polygons(points: DataFrame, point_key: list[str], edges: DataFrame, p
 def point_in_cover(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", near_m: float = 5.0) -> DataFrame:
     """Adds ``distance_to_cover`` (0 inside or on the boundary) and ``stratum``."""
     inside = inside_polygons(points, point_key, edges, poly_id).withColumn("_in", F.lit(True))
-    placed = distance_to_edges(points, edges).join(inside, point_key, "left")
+    placed = distance_to_edges(points, point_key, edges).join(inside, point_key, "left")
     distance = F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("edge_distance"))
     stratum = F.when(distance == 0, "mapped_overlap").when(distance <= near_m, "proximity_only").otherwise("mapped_non_overlap")
     return placed.select(*points.columns, distance.alias("distance_to_cover"), stratum.alias("stratum"))
