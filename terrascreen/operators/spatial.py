@@ -21,6 +21,9 @@ from terrascreen.operators.ordering import materialise
 RATIO, TOP_LEVEL = 2, 12
 # Planar reasoning about bucket rings is only trusted up to this share of the bucket width.
 SAFETY = 0.98
+# A cell with more candidate stations than this is searched again with an eighth of the width,
+# down to cells so small that coordinates cannot hold many more distinct places.
+CROWDED, FINEST_M = 512, 0.5
 
 
 def _neighbours(x: str, y: str) -> Column:
@@ -107,13 +110,22 @@ def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 250.0
     targets = points.withColumns({"tx0": lon_index(F.col("slon")), "ty0": F.floor(F.col("slat") / F.lit(step_lat)).cast("bigint")})
     targets = targets.withColumns({"tx1": F.col("tx0"), "ty1": F.col("ty0")})
     stretch = F.lit(1.0) / F.cos(F.radians(lat_max))
-    lists = candidates_per_cell(cells, targets, ["sid", "sord", "slat", "slon"], cell_m, stretch,
-                                lambda px, py: haversine_m(py, px, F.col("slat"), F.col("slon")))
-    lists = lists.groupBy("cx", "cy").agg(F.collect_list(F.struct("sid", "sord", "slat", "slon")).alias("candidates"))
+    near = materialise(candidates_per_cell(cells, targets, ["sid", "sord", "slat", "slon"], cell_m, stretch,
+                                           lambda px, py: haversine_m(py, px, F.col("slat"), F.col("slon"))), "near")
+    crowded = near.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("cx", "cy")
+    split = cell_m > FINEST_M and not crowded.isEmpty()
+    quiet = near.join(crowded, ["cx", "cy"], "left_anti") if split else near
+    lists = quiet.groupBy("cx", "cy").agg(F.collect_list(F.struct("sid", "sord", "slat", "slon")).alias("candidates"))
     best = F.array_min(F.transform("candidates", lambda c: F.struct(
         haversine_m(F.col("latitude"), F.col("longitude"), c["slat"], c["slon"]).alias("d"), c["sord"].alias("o"), c["sid"].alias("s"))))
-    joined = located.join(lists, ["cx", "cy"], "left").withColumn("_best", best)
-    return joined.select(*sites.columns, F.col("_best.s").alias("nearest_station"), rounded_metres(F.col("_best.d")).alias("distance_m"))
+    calm = located.join(crowded, ["cx", "cy"], "left_anti") if split else located
+    joined = calm.join(lists, ["cx", "cy"], "left").withColumn("_best", best)
+    result = joined.select(*sites.columns, F.col("_best.s").alias("nearest_station"), rounded_metres(F.col("_best.d")).alias("distance_m"))
+    if split:
+        # Sites of a crowded cell are searched again on a finer grid, where lists are short.
+        dense = located.join(crowded, ["cx", "cy"], "left_semi").select(*sites.columns)
+        result = result.unionByName(nearest_station(dense, stations, cell_m / 8))
+    return result
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:

@@ -251,10 +251,11 @@ def _spread(bands: Column) -> Column:
 def band_verdict(offsets: DataFrame, tolerance: float = AGREEMENT_M) -> DataFrame:
     """Per window: largest disagreement of the offsets over the bands that can resolve it.
 
-    A window has one row per band of a short fixed list, so its bands fit in one array. Fewer
+    One value per band of a short fixed list is kept, so a window's state is bounded. Fewer
     than two resolving bands is an error; ``spread_n`` widens the set to the first n bands.
     """
-    bands = F.sort_array(F.collect_list(F.struct("band", "lobe_m", "east", "north")))
+    entry = F.struct("band", "lobe_m", "east", "north")
+    bands = F.array_compact(F.array(*[F.max(F.when(F.col("band") == i, entry)) for i in range(1, len(BAND_LOBES_M) + 1)]))
     windows = offsets.groupBy("window_id").agg(bands.alias("b"))
     resolving = F.filter("b", lambda x: x["lobe_m"] <= tolerance)
     checked = F.when(F.size(resolving) >= 2, resolving).otherwise(F.raise_error(F.lit("fewer than two bands resolve the tolerance")).cast("array<struct<band:int,lobe_m:double,east:double,north:double>>"))

@@ -30,6 +30,18 @@ def test_nearest_station_matches_brute_force(frame, spread):
         assert got[site[0]]["nearest_station"] == best[0]
 
 
+def test_crowded_cells_are_searched_again(frame, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWDED", 20)
+    rng = random.Random(9)
+    stations = [(f"s{i}", i, 50.8 + rng.random() * 5e-4, 4.3 + rng.random() * 5e-4) for i in range(80)] + [("away", 99, 50.9, 4.5)]
+    sites = [(f"t{i}", 50.8 + rng.random() * 1e-3, 4.3 + rng.random() * 1e-3) for i in range(40)] + [("none", None, None), ("u", 50.91, 4.5)]
+    rows = spatial.nearest_station(frame(sites, "id string, latitude double, longitude double"), frame(stations, "id string, ord int, latitude double, longitude double")).collect()
+    got = {r["id"]: r["nearest_station"] for r in rows}
+    assert len(rows) == len(sites) and got["none"] is None and got["u"] == "away"
+    for site in sites[:40]:
+        assert got[site[0]] == min(stations, key=lambda s: (great_circle(site[1:], s[2:]), s[1]))[0]
+
+
 def test_radius_counts_with_a_pile_of_incidents(frame):
     stations = [("a", "x", 50.80, 4.30), ("b", "y", 50.80, 4.303), ("far", "z", 50.9, 4.6)]
     incidents = [(50.80, 4.30, True)] * 40 + [(50.8003, 4.3001, False)] * 3 + [(50.8043, 4.30, False), (None, 4.3, True)]
