@@ -156,7 +156,7 @@ def _assembler():
         for batch in batches:
             steps = batch.column("step").to_pylist()
             payloads = batch.column("payload")
-            ids, counts, first = [], [0], None
+            ids, counts, rows = [], [0], []
             for i, step in enumerate(steps):
                 payload = payloads[i].as_py()
                 if step == HEADER:
@@ -171,22 +171,22 @@ def _assembler():
                         starts, sizes = np.empty_like(lengths), np.empty_like(lengths)
                         starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
                         parts = []
-                    first = i if first is None else first
                     own, _ = gather(starts, sizes, unsqueeze(payload), flat)
                     ids.append(own)
+                    rows.append(i)
                     counts.append(counts[-1] + len(own))
                     if counts[-1] > 4_000_000:
-                        yield _lists(batch, first, i + 1, counts, ids)
-                        ids, counts, first = [], [0], None
+                        yield _lists(batch, rows, counts, ids)
+                        ids, counts, rows = [], [0], []
             if ids:
-                yield _lists(batch, first, len(steps), counts, ids)
+                yield _lists(batch, rows, counts, ids)
 
     return put_together
 
 
-def _lists(batch: pa.RecordBatch, first: int, end: int, counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+def _lists(batch: pa.RecordBatch, rows: list[int], counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-    return pa.RecordBatch.from_arrays([batch.column(ROW).slice(first, end - first), lists], [ROW, "ids"])
+    return pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(rows)), lists], [ROW, "ids"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
