@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, packing
+from terrascreen.llm import bpe, packing, simhash, toxicity
+from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,22 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(encoded, ranks).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at three bits."""
+    marked = written(simhash.fingerprints(table(spark, folder, "documents")), "simhash-bits")
+    return simhash.near_duplicates(marked).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query("op7_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents; the field has learnt from labelled documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    field = toxicity.fit(docs, table(spark, folder, "labels"), training=~HELD_OUT)
+    scored = toxicity.score(docs, field)
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
