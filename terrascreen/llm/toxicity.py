@@ -6,6 +6,7 @@ token labels; the field is then trained on whole token sequences, so its weights
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from terrascreen.llm.shared import ROW, bundled, spread
 
 WORD = re.compile(r"\w+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 CACHE = 1_000_000
 
 
@@ -97,20 +98,30 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _cover(toxic: list[set[str]], clean: list[set[str]], least: int = 2, cost: float = 4.0) -> set[str]:
-    """Features chosen one by one: most toxic documents not yet covered, less a cost for each clean document hit."""
+def _cover(toxic: list[set[str]], clean: list[set[str]], least: int = 2, cost: float = 4.0, surprise: float = 14.0) -> set[str]:
+    """Features that mark toxic tokens.
+
+    First those that toxic documents hold far more often than chance explains (log likelihood ratio over ``surprise``, nine of ten
+    documents toxic). Then, for documents still without one, features chosen one by one by the number of such documents, less a cost for
+    each clean document hit.
+    """
     hits = Counter(f for doc in clean for f in doc)
     scale = max(1.0, len(toxic) / max(1, len(clean)))
+    share = len(toxic) / (len(toxic) + len(clean))
     owners: dict[str, list[int]] = {}
     for i, doc in enumerate(toxic):
         for f in doc:
             owners.setdefault(f, []).append(i)
-    total = {f: len(v) for f, v in owners.items()}
+
+    def ratio(t: int, c: int) -> float:
+        return t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0.0)
+
+    chosen = {f for f, v in owners.items() if len(v) > 9 * scale * hits[f] and ratio(len(v), hits[f]) > surprise}
     good = {f: v for f, v in owners.items() if len(v) >= least and len(v) > cost * scale * hits[f]}
-    open_docs, chosen = set(range(len(toxic))), set()
-    gain = {f: len(v) - cost * scale * hits[f] for f, v in good.items()}
+    open_docs = {i for i, doc in enumerate(toxic) if not doc & chosen}
+    gain = {f: len(open_docs.intersection(v)) - cost * scale * hits[f] for f, v in good.items() if f not in chosen}
     while gain:
-        best = max(gain, key=lambda f: (gain[f], total[f], -len(f), f))
+        best = max(gain, key=lambda f: (gain[f], len(good[f]), -len(f), f))
         if gain[best] < max(least, 0.004 * len(toxic)):
             break
         chosen.add(best)
@@ -124,9 +135,30 @@ def _cover(toxic: list[set[str]], clean: list[set[str]], least: int = 2, cost: f
     return chosen
 
 
+def _without_copies(documents: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The training sample with one document of each group of near copies: a copied accident is no evidence.
+
+    Two documents count as copies when at least half of 16 minimum hashes over their words agree.
+    """
+    factors = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for text, toxic in documents:
+        words = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in set(WORD.findall(text.lower()))), np.uint64)
+        lows = ((words[:, None] + np.uint64(1)) * factors).min(axis=0).tolist() if len(words) else []
+        shared = Counter(i for key in enumerate(lows) for i in holders.get(key, ()))
+        if shared and max(shared.values()) >= 8:
+            continue
+        for key in enumerate(lows):
+            holders.setdefault(key, []).append(len(kept))
+        kept.append((text, toxic))
+    return kept
+
+
 def train(documents: list[tuple[str, int]], rounds: int = 60, decay: float = 1e-3) -> Field:
     """Fits the field on ``(text, toxic)`` pairs in plain numpy. Without both classes it scores every document by the share of toxic ones."""
     documents = [(text or "", int(toxic)) for text, toxic in documents if toxic is not None]
+    documents = _without_copies(documents)
     share = (sum(t for _, t in documents) + 0.5) / (len(documents) + 1)
     base = math.log(share / (1 - share))
     if not {0, 1} <= {t for _, t in documents}:
