@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from terrascreen.llm.shared import ROW, bundled, spread, written
 
-BLOCK_CHARS = 24_000_000
-HEADER, DOCUMENT = -1, 1 << 30
+BLOCK_CHARS = 40_000_000
+GROUP_WORDS = 262_144
+HEADER, DOCUMENTS = -1, 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,19 +43,27 @@ def unsqueeze(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def joined(head: bytes, body: bytes) -> bytes:
+    return len(head).to_bytes(4, "little") + head + body
+
+
+def split(packed: bytes) -> tuple[bytes, bytes]:
+    cut = 4 + int.from_bytes(packed[:4], "little")
+    return packed[4:cut], packed[cut:]
+
+
 def pack_words(words: list[bytes]) -> bytes:
     import zstandard
 
-    sizes = squeeze(np.fromiter(map(len, words), np.uint32, len(words)))
-    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    return joined(squeeze(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=3).compress(b"".join(words)))
 
 
 def unpack_words(packed: bytes) -> list[bytes]:
     import zstandard
 
-    cut = 4 + int.from_bytes(packed[:4], "little")
-    ends = np.cumsum(unsqueeze(packed[4:cut]).astype(np.int64)).tolist()
-    data = zstandard.ZstdDecompressor().decompress(packed[cut:])
+    sizes, data = split(packed)
+    ends = np.cumsum(unsqueeze(sizes).astype(np.int64)).tolist()
+    data = zstandard.ZstdDecompressor().decompress(data)
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -67,8 +76,8 @@ def gather(starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, flat: np.n
     return flat[index], count
 
 
-def _cutter(pattern: str, buckets: int, block_chars: int, row_type: pa.DataType):
-    """Documents to a header, word rows and document rows per block."""
+def _cutter(pattern: str, buckets: int, block_chars: int, kept: pa.DataType):
+    """Documents to a header, word rows and rows of document groups per block. In a block, frequent words have the small numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -81,21 +90,32 @@ def _cutter(pattern: str, buckets: int, block_chars: int, row_type: pa.DataType)
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, words, rows, positions, chars
-            coded = [w.encode() for w in words]
+            lengths = np.fromiter(map(len, positions), np.uint32, len(positions))
+            spots = np.concatenate(positions)
+            by_use = np.argsort(-np.bincount(spots, minlength=len(words)), kind="stable")
+            rank = np.empty_like(by_use)
+            rank[by_use] = np.arange(len(by_use))
+            spots = rank[spots]
+            listed = list(words)
+            coded = [listed[i].encode() for i in by_use.tolist()]
             bucket = np.fromiter((zlib.crc32(w) for w in coded), np.uint32, len(coded)) % buckets
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            steps, payloads, kept = [HEADER], [squeeze(bucket)], [None]
+            steps, payloads = [HEADER], [squeeze(bucket)]
             for b in range(buckets):
                 if bounds[b] < bounds[b + 1]:
                     steps.append(b)
                     payloads.append(pack_words([coded[i] for i in order[bounds[b]:bounds[b + 1]].tolist()]))
-                    kept.append(None)
-            steps += [DOCUMENT] * len(positions)
-            payloads += positions
-            kept = pa.concat_arrays([pa.nulls(len(kept), row_type), *rows])
-            block = np.full(len(steps), task * (1 << 32) + number, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(steps, pa.int32()), pa.array(payloads, pa.binary()), kept], ["block", "step", "payload", ROW])
+            ends = np.cumsum(lengths, dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_WORDS)) + 1).tolist(), len(ends)]
+            for first, last in zip(cuts, cuts[1:]):
+                steps.append(DOCUMENTS)
+                payloads.append(joined(squeeze(lengths[first:last]), squeeze(spots[ends[first] - lengths[first]:ends[last - 1]])))
+            groups = [[None]] * (len(steps) - len(cuts) + 1)
+            offsets = pa.array([*[None] * len(groups), *cuts], pa.int32())
+            block = pa.array(np.full(len(steps), task * (1 << 32) + number, np.int64))
+            held = pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows).cast(kept))
+            yield pa.RecordBatch.from_arrays([block, pa.array(steps, pa.int32()), pa.array(payloads, pa.binary()), held], ["block", "step", "payload", "rows"])
             number, words, rows, positions, chars = number + 1, {}, [], [], 0
 
         for batch in batches:
@@ -103,7 +123,7 @@ def _cutter(pattern: str, buckets: int, block_chars: int, row_type: pa.DataType)
             for i in range(batch.num_rows):
                 found = find(text := texts[i].as_py())
                 put = words.setdefault
-                positions.append(squeeze(np.fromiter([put(w, len(words)) for w in found], np.uint32, len(found))))
+                positions.append(np.fromiter([put(w, len(words)) for w in found], np.uint32, len(found)))
                 chars += len(text)
                 if chars >= block_chars:
                     rows.append(batch.column(ROW).slice(start, i + 1 - start))
@@ -121,10 +141,9 @@ def _encoder(ranks_path: str):
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
-        import zstandard
 
         encoding = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        encode, pack = encoding.encode_ordinary, zstandard.ZstdCompressor(level=3).compress
+        encode = encoding.encode_ordinary
         known: dict[bytes, list[int]] = {}
         bucket = None
         for batch in batches:
@@ -140,9 +159,8 @@ def _encoder(ranks_path: str):
                     lists.append(ids)
                 sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
                 flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-                head = squeeze(sizes)
-                out.append(len(head).to_bytes(4, "little") + head + squeeze(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("step"), pa.array(out, pa.binary()), batch.column(ROW)], ["block", "step", "payload", ROW])
+                out.append(joined(squeeze(sizes), squeeze(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("step"), pa.array(out, pa.binary()), batch.column("rows")], ["block", "step", "payload", "rows"])
 
     return answer
 
@@ -154,41 +172,30 @@ def _assembler():
         starts = sizes = flat = order = None
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            steps = batch.column("step").to_pylist()
-            payloads = batch.column("payload")
-            ids, counts, rows = [], [0], []
-            for i, step in enumerate(steps):
+            payloads, rows = batch.column("payload"), batch.column("rows")
+            for i, step in enumerate(batch.column("step").to_pylist()):
                 payload = payloads[i].as_py()
                 if step == HEADER:
                     order, parts, flat = np.argsort(unsqueeze(payload), kind="stable"), [], None
-                elif step < DOCUMENT:
-                    cut = 4 + int.from_bytes(payload[:4], "little")
-                    parts.append((unsqueeze(payload[4:cut]), unsqueeze(payload[cut:])))
-                else:
-                    if flat is None:
-                        lengths = np.concatenate([p[0] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64)
-                        flat = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int32)
-                        starts, sizes = np.empty_like(lengths), np.empty_like(lengths)
-                        starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
-                        parts = []
-                    own, _ = gather(starts, sizes, unsqueeze(payload), flat)
-                    ids.append(own)
-                    rows.append(i)
-                    counts.append(counts[-1] + len(own))
-                    if counts[-1] > 4_000_000:
-                        yield _lists(batch, rows, counts, ids)
-                        ids, counts, rows = [], [0], []
-            if ids:
-                yield _lists(batch, rows, counts, ids)
+                    continue
+                head, body = map(unsqueeze, split(payload))
+                if step < DOCUMENTS:
+                    parts.append((head, body))
+                    continue
+                if flat is None:
+                    lengths = np.concatenate([p[0] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64)
+                    flat = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int32)
+                    starts, sizes = np.empty_like(lengths), np.empty_like(lengths)
+                    starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
+                    parts = []
+                ids, count = gather(starts, sizes, body, flat)
+                ends = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(head, dtype=np.int64)]]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows[i].values, lists], [ROW, "ids"])
 
     return put_together
 
 
-def _lists(batch: pa.RecordBatch, rows: list[int], counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-    return pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(rows)), lists], [ROW, "ids"])
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
            buckets: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` and ``ids`` (array of int) of every document.
@@ -202,9 +209,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = bundled(docs, text, keep)
     kept = source.schema[ROW].dataType
-    layout = f"block long, step int, payload binary, {ROW} {kept.simpleString()}"
+    layout = f"block long, step int, payload binary, rows array<{kept.simpleString()}>"
     blocks = written(source.mapInArrow(_cutter(pattern, buckets, block_chars, to_arrow_type(kept)), layout), "bpe-blocks")
-    is_word = (F.col("step") >= 0) & (F.col("step") < DOCUMENT)
+    is_word = (F.col("step") >= 0) & (F.col("step") < DOCUMENTS)
     words = blocks.where(is_word).repartition(buckets, "step").sortWithinPartitions("step")
     replies = words.mapInArrow(_encoder(ranks_path), layout)
     both = blocks.where(~is_word).unionByName(replies).repartition(buckets, "block").sortWithinPartitions("block", "step")
