@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, packing, simhash, toxicity
+from terrascreen.llm import bpe, packing, secrets, simhash, toxicity
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,13 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     field = toxicity.fit(docs, table(spark, folder, "labels"), training=~HELD_OUT)
     scored = toxicity.score(docs, field)
     return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
+@query("op1_secret_scans")
+def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings per document, and the digest of those that stand alone."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:secrets.BASE])],
+                        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
