@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, packing, secrets, simhash, toxicity
+from terrascreen.llm import bpe, licenses, merkle, packing, secrets, simhash, toxicity
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,16 +55,17 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(marked).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
 @query("op7_toxicity")
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents; the field has learnt from labelled documents that are not held out."""
     docs = table(spark, folder, "documents")
-    field = toxicity.fit(docs, table(spark, folder, "labels"), training=~HELD_OUT)
+    field = toxicity.fit(docs, table(spark, folder, "labels"), training=~held_out())
     scored = toxicity.score(docs, field)
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
 @query("op1_secret_scans")
@@ -75,3 +76,36 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:secrets.BASE])],
                         F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op2_document_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document against its edited text and the next document."""
+    found = merkle.compared(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next", "first_edit")
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    def canon(text: str) -> str:
+        sql = f"regexp_replace(lower({text}), '(^|\\n)[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+        sql = f"regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        for old, new in licenses.SPELLINGS.items():
+            sql = f"replace({sql}, {quote(old)}, {quote(new)})"
+        return f"list_filter(list_transform(string_split({sql}, chr(10)), x -> trim(x)), x -> x <> '')"
+
+    rows = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licenses.KNOWN))
+    return f"""with known as (select sha256(array_to_string({canon('body')}, ' ')) as digest, arg_min(name, i) as license
+      from (values {rows}) as t(i, name, body) group by 1),
+    cut as (select row_number() over () as at, doc_id, {canon("coalesce(text, '')")} as lines from documents),
+    noticed as (select at, string_agg(license, ',' order by license) as notices from (
+      select distinct c.at, k.license from (select at, unnest(lines) as line from cut) as c join known as k on sha256(c.line) = k.digest) as d group by at)
+    select doc_id, sha256(array_to_string(lines, ' ')) as digest, license, coalesce(notices, '') as notices
+    from cut left join known on sha256(array_to_string(lines, ' ')) = known.digest left join noticed using (at)"""
+
+
+@query("op6_license_scans", _license_sql())
+def license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents against the known texts."""
+    return licenses.scan(table(spark, folder, "documents"), licenses.known_licenses(spark))
