@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terrascreen.llm.shared import ROW, bundled, spread, written
 
 BLOCK_CHARS = 40_000_000
-GROUP_WORDS = 262_144
+GROUP_WORDS = 131_072
 HEADER, DOCUMENTS = -1, 1 << 30
 
 
@@ -91,13 +91,13 @@ def _cutter(pattern: str, buckets: int, block_chars: int, kept: pa.DataType):
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, words, rows, positions, chars
             lengths = np.fromiter(map(len, positions), np.uint32, len(positions))
-            spots = np.concatenate(positions)
+            spots, positions = np.concatenate(positions), []
             by_use = np.argsort(-np.bincount(spots, minlength=len(words)), kind="stable")
-            rank = np.empty_like(by_use)
+            rank = np.empty(len(by_use), np.uint32)
             rank[by_use] = np.arange(len(by_use))
             spots = rank[spots]
-            listed = list(words)
-            coded = [listed[i].encode() for i in by_use.tolist()]
+            listed, words = np.fromiter((w.encode() for w in words), object, len(words)), {}
+            coded = listed[by_use]
             bucket = np.fromiter((zlib.crc32(w) for w in coded), np.uint32, len(coded)) % buckets
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
@@ -105,7 +105,7 @@ def _cutter(pattern: str, buckets: int, block_chars: int, kept: pa.DataType):
             for b in range(buckets):
                 if bounds[b] < bounds[b + 1]:
                     steps.append(b)
-                    payloads.append(pack_words([coded[i] for i in order[bounds[b]:bounds[b + 1]].tolist()]))
+                    payloads.append(pack_words(coded[order[bounds[b]:bounds[b + 1]]].tolist()))
             ends = np.cumsum(lengths, dtype=np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_WORDS)) + 1).tolist(), len(ends)]
             for first, last in zip(cuts, cuts[1:]):
@@ -116,7 +116,7 @@ def _cutter(pattern: str, buckets: int, block_chars: int, kept: pa.DataType):
             block = pa.array(np.full(len(steps), task * (1 << 32) + number, np.int64))
             held = pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows).cast(kept))
             yield pa.RecordBatch.from_arrays([block, pa.array(steps, pa.int32()), pa.array(payloads, pa.binary()), held], ["block", "step", "payload", "rows"])
-            number, words, rows, positions, chars = number + 1, {}, [], [], 0
+            number, rows, chars = number + 1, [], 0
 
         for batch in batches:
             texts, start = batch.column("text"), 0
