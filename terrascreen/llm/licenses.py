@@ -63,7 +63,7 @@ def canonical(text: Column) -> Column:
 
 
 def lines(canon: Column) -> Column:
-    return F.filter(F.transform(F.split(canon, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(canon, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def digest(words: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, licenses, merkle, packing, secrets, simhash, toxicity
+from terrascreen.llm import bpe, licenses, merkle, packing, secrets, simhash, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,19 +93,46 @@ def _license_sql() -> str:
         sql = f"regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
         for old, new in licenses.SPELLINGS.items():
             sql = f"replace({sql}, {quote(old)}, {quote(new)})"
-        return f"list_filter(list_transform(string_split({sql}, chr(10)), x -> trim(x)), x -> x <> '')"
+        return f"[trim(x) for x in string_split({sql}, chr(10)) if trim(x) <> '']"
 
     rows = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licenses.KNOWN))
     return f"""with known as (select sha256(array_to_string({canon('body')}, ' ')) as digest, arg_min(name, i) as license
       from (values {rows}) as t(i, name, body) group by 1),
-    cut as (select row_number() over () as at, doc_id, {canon("coalesce(text, '')")} as lines from documents),
-    noticed as (select at, string_agg(license, ',' order by license) as notices from (
-      select distinct c.at, k.license from (select at, unnest(lines) as line from cut) as c join known as k on sha256(c.line) = k.digest) as d group by at)
+    cut as (select row_number() over () as n, doc_id, {canon("coalesce(text, '')")} as lines from documents),
+    noticed as (select n, string_agg(license, ',' order by license) as notices from (
+      select distinct c.n, k.license from (select n, unnest(lines) as line from cut) as c join known as k on sha256(c.line) = k.digest) as d group by n)
     select doc_id, sha256(array_to_string(lines, ' ')) as digest, license, coalesce(notices, '') as notices
-    from cut left join known on sha256(array_to_string(lines, ' ')) = known.digest left join noticed using (at)"""
+    from cut left join known on sha256(array_to_string(lines, ' ')) = known.digest left join noticed on cut.n = noticed.n"""
 
 
 @query("op6_license_scans", _license_sql())
 def license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of all documents against the known texts."""
     return licenses.scan(table(spark, folder, "documents"), licenses.known_licenses(spark))
+
+
+SITES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def _url_sql() -> str:
+    rest = "case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end"
+    upper, lower = urls.UPPER, urls.LOWER
+    fits = " ".join(
+        f"when (host = '{host}' or host like '%.{host}') and starts_with(path, '/{path}') then " + "'{" + str(i) + "}'"
+        for i, (host, path) in enumerate((p.partition("/")[0], p.partition("/")[2]) for p, _ in sorted(SITES, key=lambda s: -len(s[0]))))
+    ordered = sorted(SITES, key=lambda s: -len(s[0]))
+    rule = "case " + fits.format(*[p for p, _ in ordered]) + " end"
+    verdict = "case " + fits.format(*[v for _, v in ordered]) + " end"
+    words = "|".join("[-_.+/]".join(w.split()) for w in urls.WORDS)
+    return f"""with a as (select page_id, {rest} as rest from pages),
+    b as (select page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a)
+    select page_id, host, path, {rule} as rule,
+      coalesce({verdict}, case when regexp_matches(translate(rest, '{upper}', '{lower}'), '(^|[^a-z0-9])({words})([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict from b"""
+
+
+@query("op3_url_filters", _url_sql())
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages by the site rules, and by word rules where no site rule fits."""
+    rules = [urls.site_rule(*s) for s in SITES] + [urls.word_rule(w) for w in urls.WORDS]
+    judged = urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, rules))
+    return judged.select("page_id", "host", "path", F.when(F.col("matched_rank") > 0, F.col("matched")).alias("rule"), "verdict")
