@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, licenses, merkle, packing, secrets, simhash, toxicity, urls
+from terrascreen.llm import bpe, licenses, merkle, neighbours, packing, secrets, simhash, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,10 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = [urls.site_rule(*s) for s in SITES] + [urls.word_rule(w) for w in urls.WORDS]
     judged = urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, rules))
     return judged.select("page_id", "host", "path", F.when(F.col("matched_rank") > 0, F.col("matched")).alias("rule"), "verdict")
+
+
+@query("op5_approximate_neighbours")
+def approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
