@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, licenses, merkle, neighbours, packing, secrets, simhash, toxicity, urls
+from terrascreen.llm import bpe, licenses, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,11 @@ def approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op9_pii_surrogates")
+def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates in place of personal data; production takes the key from its own secret store."""
+    swapped = surrogates.replaced(table(spark, folder, "documents"), b"terrascreen surrogate key")
+    return swapped.select("doc_id", F.size("entities").cast("bigint").alias("n_entities"),
+                          F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",").alias("entities"), "text")
