@@ -282,3 +282,10 @@ def _lowered(text: str) -> str:
     """Lower case; where that would change the number of code points, letter by letter only where it does not."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def accepted(docs: DataFrame, field: Field, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score stays under ``threshold``."""
+    boxed = docs.select(F.struct("*").alias("box"), F.col(f"`{text}`").alias("text"))
+    kept = score(boxed, field, "text", ["box"]).where(F.col("score") < threshold)
+    return kept.select(*[F.col(f"box.`{c}`").alias(c) for c in docs.columns])
