@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,8 +220,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the bytes of each list of ids, looked up in the token-byte table (50,000 rows, a vocabulary's fixed size). A null list stays null."""
 
-    @F.pandas_udf("binary")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = read_ranks(ranks_path)
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -230,6 +229,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "d
         sizes = np.fromiter(map(len, table), np.int64, len(table))
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         for lists in batches:
-            yield pd.Series([None if x is None else gather(starts, sizes, np.asarray(x, np.int64), flat)[0].tobytes() for x in lists])
+            numbers, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            yield pa.array([None if not there else gather(starts, sizes, numbers[a:b], flat)[0].tobytes()
+                            for there, a, b in zip(lists.is_valid().to_pylist(), ends, ends[1:])], pa.binary())
 
     return encoded.withColumn(name, look_up(F.col(ids)))

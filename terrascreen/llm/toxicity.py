@@ -186,6 +186,8 @@ def train(documents: list[tuple[str, int]], rounds: int = 60, decay: float = 1e-
     moves = np.log(counted / counted.sum(axis=1, keepdims=True))
     start = math.log((sum(y[0] for y in truth if len(y)) + 0.5) / (sum(len(y) > 0 for y in truth) + 0.5))
 
+    # Short beginnings learn fastest, so that forms never seen share most of what a family of words has taught.
+    pace = np.array([0.5 if f[0] in "45" and len(f) in (5, 6) else 0.15 for f in names])
     weights, bias = np.zeros(len(names)), 0.0
     squares, bias_square = np.zeros(len(names)), 0.0
     for _ in range(rounds):
@@ -194,7 +196,7 @@ def train(documents: list[tuple[str, int]], rounds: int = 60, decay: float = 1e-
         gap = observed - np.bincount(ids, expected, len(words))
         gradient = np.bincount(column, gap[row], len(names)) - decay * weights * len(tokens)
         squares += gradient * gradient
-        weights += 0.5 * gradient / np.sqrt(squares + 1e-8)
+        weights += pace * gradient / np.sqrt(squares + 1e-8)
         bias_gap = float(gap.sum())
         bias_square += bias_gap * bias_gap
         bias += 0.5 * bias_gap / math.sqrt(bias_square + 1e-8)
