@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import rounded
-from terrascreen.operators.ordering import ordinal
+from terrascreen.operators.ordering import tied_positions
 
 # Selection shares in percent, decimals kept and members required.
 SELECTION_PERCENT, DECIMALS, MINIMUM_MEMBERS = (10, 20, 25, 33, 50), (2, 1, 0), (1, 2, 3)
@@ -23,13 +23,12 @@ def compare_rankings(rows: DataFrame, keys: list[str], key: str = "id", left: st
 
     Both sides are ranked in one distributed sort over (keys, side, value, id); a tied value's
     positions are contiguous, so its average rank is the middle of its first and last position.
+    Null values share the last places of their side; null keys are a group of their own.
     A constant side has no correlation. ``k`` is a column, constant within ``keys``.
     """
     sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).cast("double").alias("v")) for n, c in (("l", left), ("r", right))])
     long = rows.select(*keys, F.col(key).alias("item"), F.col(k).alias("k"), F.explode(sides).alias("s")).select(*keys, "item", "k", "s.side", "s.v")
-    ranked = ordinal(long, [*keys, "side"], [F.col("v").desc(), F.col("item")], "pos")
-    ties = ranked.groupBy(*keys, "side", "v").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    marked = ranked.join(ties, [*keys, "side", "v"])
+    marked = tied_positions(long, [*keys, "side"], "v", [F.col("item")]).withColumnsRenamed({"pos_first": "lo", "pos_last": "hi"})
     on = lambda side, value: F.max(F.when(F.col("side") == side, value))
     fields = {"mid": (F.col("lo") + F.col("hi")) / 2, "ex": F.col("pos") <= F.col("k"), "inc": F.col("lo") <= F.col("k"), "v": F.col("v")}
     wide = marked.groupBy(*keys, "item").agg(F.max("k").alias("k"), *[on(s, e).alias(f"{s}_{n}") for s in "lr" for n, e in fields.items()])

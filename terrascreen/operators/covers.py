@@ -9,10 +9,16 @@ from terrascreen.operators import linear
 from terrascreen.operators.ordering import exact_quantiles
 
 # The translations tried, metres east and north.
-SHIFTS = [("original", 0.0, 0.0)] + [
-    (f"{name}_{int(d)}m", ux * d, uy * d)
-    for d in (2.0, 5.0)
-    for name, ux, uy in (("east", 1, 0), ("west", -1, 0), ("north", 0, 1), ("south", 0, -1))
+SHIFTS = [
+    ("original", 0.0, 0.0),
+    ("east_2m", 2.0, 0.0),
+    ("west_2m", -2.0, 0.0),
+    ("north_2m", 0.0, 2.0),
+    ("south_2m", 0.0, -2.0),
+    ("east_5m", 5.0, 0.0),
+    ("west_5m", -5.0, 0.0),
+    ("north_5m", 0.0, 5.0),
+    ("south_5m", 0.0, -5.0),
 ]
 BUFFERS_M = (0.0, 2.0, 5.0)
 PROXIMITY_M = 5.0

@@ -50,7 +50,8 @@ def blocked_scan(blocks: DataFrame, keys: Sequence[str], scans: Mapping[str, tup
     """Exclusive running values within ``keys`` over an :func:`ordered_blocks` table.
 
     ``scans`` maps an output name to ``("sum" | "max" | "min" | "previous", value)``;
-    ``totals`` adds per-key sums. The carry table has one row per key and block.
+    ``totals`` adds per-key sums. The carry table has one row per key and block. Rows with a
+    null key form a group of their own, as in a SQL window.
     """
     totals = totals or {}
     summary_aggs, carries = [], {}
@@ -71,7 +72,7 @@ def blocked_scan(blocks: DataFrame, keys: Sequence[str], scans: Mapping[str, tup
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
     inside = {f"_l_{name}": (F.lag(F.struct(value.alias("v"))).over(local) if kind == "previous"
                              else getattr(F, kind)(value).over(earlier)) for name, (kind, value) in scans.items()}
-    joined = blocks.withColumns(inside).join(carry, [*keys, BLOCK])
+    joined = _null_safe(blocks.withColumns(inside), carry, [*keys, BLOCK])
     results = {}
     for name, (kind, _) in scans.items():
         a, b = F.col(f"_l_{name}"), F.col(f"_c_{name}")
@@ -84,15 +85,37 @@ def blocked_scan(blocks: DataFrame, keys: Sequence[str], scans: Mapping[str, tup
     return joined.withColumns(results).drop(*inside, *[c for c in carries if c.startswith("_c_")])
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based position within ``keys`` under a total order; the rows themselves are sorted once."""
+def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position within ``keys``; the block of each row is kept."""
     blocks = ordered_blocks(df, [*[F.col(k) for k in keys], *order], f"ordinal-{name}")
     carry = blocks.groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"), F.min(POSITION).alias("_p0"))
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = blocks.join(carry, [*keys, BLOCK])
+    ranked = _null_safe(blocks, carry, [*keys, BLOCK])
     position = F.col("_before") + F.col(POSITION) - F.col("_p0") + 1
-    return ranked.withColumn(name, position.cast("bigint")).drop("_before", "_p0", BLOCK, POSITION)
+    return ranked.withColumn(name, position.cast("bigint")).drop("_before", "_p0", POSITION)
+
+
+def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position within ``keys`` under a total order; the rows themselves are sorted once.
+
+    Null keys are a group of their own, null values stand where the given order puts them.
+    """
+    return _numbered(df, keys, order, name).drop(BLOCK)
+
+
+def tied_positions(df: DataFrame, keys: Sequence[str], value: str, items: Sequence[Column] = (), name: str = "pos") -> DataFrame:
+    """Positions by descending ``value`` (nulls last, then ``items``), with the first and last position of each tie.
+
+    Adds ``name``, ``{name}_first`` and ``{name}_last``. A tie is found per block first, and its few
+    block rows are brought together, so a value that most rows share stays spread over its blocks.
+    """
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = _numbered(rows, keys, [F.desc_nulls_last(value), *items, F.col("_tie")], name).drop("_tie")
+    parts = ranked.groupBy(*keys, value, BLOCK).agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))
+    tie = Window.partitionBy(*keys, value)  # one row per block that the tie reaches
+    parts = parts.withColumns({f"{name}_first": F.min("_lo").over(tie), f"{name}_last": F.max("_hi").over(tie)}).drop("_lo", "_hi")
+    return _null_safe(ranked, parts, [*keys, value, BLOCK]).drop(BLOCK)
 
 
 def running_counts(df: DataFrame, keys: Sequence[str], value: str, bounded: bool, descending: bool = False) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import min_max, rounded, weight_share
-from terrascreen.operators.ordering import exact_quantiles, running_counts, top_k
+from terrascreen.operators.ordering import exact_quantiles, tied_positions, top_k
 
 # Weights of the three scenarios (heat, proximity), the size of the compared top
 # set and the overlap below which a change counts as material.
@@ -39,8 +39,8 @@ def ranked_screen(scored: DataFrame, heat: float = 60.0, proximity: float = 40.0
     return scored.withColumn("signal", signal(F.lit(float(heat)), F.lit(float(proximity))))
 
 
-def weight_scenarios(scored: DataFrame, scenarios: dict[str, tuple[float, float]] = SCENARIOS, base: str = "balanced") -> DataFrame:
-    """Per scenario: top ten and its overlap with the base scenario.
+def weight_scenarios(scored: DataFrame, scenarios: dict[str, tuple[float, float]] = SCENARIOS) -> DataFrame:
+    """Per scenario: its top ten.
 
     The fixed scenario list is exploded on the rows, and the rank limit prunes inside each task.
     """
@@ -64,10 +64,9 @@ def top_k_inclusive(df: DataFrame, value: str, k: int, key: str = "id") -> DataF
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank") -> DataFrame:
-    """Adds the descending average rank of ``value`` within ``keys``; work is on distinct values."""
-    ranks = running_counts(df, keys, value, bounded=False, descending=True)
-    table = ranks.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(table, [*keys, value])
+    """Adds the descending average rank of ``value`` within ``keys``; null values tie at the end."""
+    ranked = tied_positions(df, keys, value, name="_p")
+    return ranked.withColumn(name, (F.col("_p_first") + F.col("_p_last")) / 2).drop("_p", "_p_first", "_p_last")
 
 
 def quadrant(scored: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def group_context(scored: DataFrame) -> DataFrame:
     """Per district: rows, mean heat, exact median distance, rows in the high-high quadrant."""
     district = F.when(F.trim(F.coalesce("district", F.lit(""))) == "", "Unknown").otherwise(F.col("district"))
     rows = quadrant(scored).withColumn("district", district)
-    medians = exact_quantiles(rows, ["district"], "distance_m", {"median_distance": 0.5}, bounded=True)
+    medians = exact_quantiles(rows, ["district"], "distance_m", {"median_distance": 0.5})
     counts = rows.groupBy("district").agg(F.count("*").alias("points"), F.avg("heat_pixel").alias("mean_heat"), F.count_if("high_high").alias("high_high"))
     return counts.join(medians, "district")
 
@@ -93,7 +92,7 @@ def sample_summary(scored: DataFrame, register_total: Column) -> DataFrame:
     """One row: extremes and medians of heat and distance, share of the register, usable heat."""
     sides = F.explode(F.array(F.struct(F.lit("h").alias("k"), F.col("heat_pixel").cast("double").alias("v")), F.struct(F.lit("d").alias("k"), F.col("distance_m").alias("v"))))
     long = scored.select(sides.alias("s")).select("s.k", "s.v")
-    medians = exact_quantiles(long, ["k"], "v", {"m": 0.5}, bounded=True)
+    medians = exact_quantiles(long, ["k"], "v", {"m": 0.5})
     pair = medians.agg(F.struct(F.max(F.when(F.col("k") == "h", F.col("m"))).alias("h"), F.max(F.when(F.col("k") == "d", F.col("m"))).alias("d")).alias("c"))
     row = scored.agg(
         F.count("*").alias("points"), F.min("heat_pixel").alias("heat_min"), F.max("heat_pixel").alias("heat_max"),
@@ -120,9 +119,9 @@ def mobility_alternatives(sites: DataFrame, daily: DataFrame) -> DataFrame:
     used = daily.join(sites.select("station").distinct(), "station", "left_semi")
     weekly = used.groupBy("station").agg((F.sum(F.col("flow") * F.col("n")) / F.sum("n")).alias("flow")).withColumn("variant", F.lit("window"))
     flows = used.select("station", "flow", F.col("day").cast("string").alias("variant")).unionByName(weekly)
-    spans = Window.partitionBy("variant")  # one row per station of the variant
-    low, high = F.min("flow").over(spans), F.max("flow").over(spans)
-    scaled = flows.withColumn("scaled", F.when(high == low, F.lit(0.0)).otherwise((F.col("flow") - low) / (high - low)))
+    spans = flows.groupBy("variant").agg(F.min("flow").alias("low"), F.max("flow").alias("high"))
+    low, high = F.col("low"), F.col("high")
+    scaled = flows.join(spans, "variant").withColumn("scaled", F.when(high == low, F.lit(0.0)).otherwise((F.col("flow") - low) / (high - low)))
     best = top_k(sites, ["station"], [F.col("heat_score").desc(), F.col("id")], TOP).drop("rank")
     rows = best.join(scaled, "station").withColumn("score", F.lit(0.6) * F.col("heat_score") + F.lit(0.4) * F.col("scaled"))
     tops = top_k(rows, ["variant"], [F.col("score").desc(), F.col("id")], TOP)

@@ -251,24 +251,31 @@ def _spread(bands: Column) -> Column:
 def band_verdict(offsets: DataFrame, tolerance: float = AGREEMENT_M) -> DataFrame:
     """Per window: largest disagreement of the offsets over the bands that can resolve it.
 
-    One value per band of a short fixed list is kept, so a window's state is bounded. Fewer
-    than two resolving bands is an error; ``spread_n`` widens the set to the first n bands.
+    All bands present count, in band order; ``spread_n`` widens the set to the first n of them.
+    A window with a band given twice or with fewer than two resolving bands has no verdict and
+    says so in ``problem`` (see :func:`band_violations`).
     """
     entry = F.struct("band", "lobe_m", "east", "north")
-    bands = F.array_compact(F.array(*[F.max(F.when(F.col("band") == i, entry)) for i in range(1, len(BAND_LOBES_M) + 1)]))
-    windows = offsets.groupBy("window_id").agg(bands.alias("b"))
+    windows = offsets.groupBy("window_id").agg(F.sort_array(F.collect_list(entry)).alias("b"))
     resolving = F.filter("b", lambda x: x["lobe_m"] <= tolerance)
-    checked = F.when(F.size(resolving) >= 2, resolving).otherwise(F.raise_error(F.lit("fewer than two bands resolve the tolerance")).cast("array<struct<band:int,lobe_m:double,east:double,north:double>>"))
+    problem = (F.when(F.size(F.array_distinct(F.transform("b", lambda x: x["band"]))) < F.size("b"), "duplicate_band")
+               .when(F.size(resolving) < 2, "unresolved"))
+    windows = windows.withColumn("problem", problem)
     sets = {f"spread_{n}": _spread(F.slice("b", 1, n)) for n in range(2, len(BAND_LOBES_M) + 1)}
     first = F.get("b", F.lit(0))
-    rows = windows.withColumn("_r", checked).select("window_id", _spread(F.col("_r")).alias("spread"), F.hypot(first["east"], first["north"]).alias("offset_m"), *[v.alias(k) for k, v in sets.items()])
-    return rows.withColumn("verdict", F.when(F.col("spread") <= tolerance, "consistent").otherwise("inconsistent"))
+    rows = windows.withColumn("_r", F.when(F.col("problem").isNull(), resolving)).select("window_id", "problem", _spread(F.col("_r")).alias("spread"), F.hypot(first["east"], first["north"]).alias("offset_m"), *[v.alias(k) for k, v in sets.items()])
+    return rows.withColumn("verdict", F.when(F.col("spread") <= tolerance, "consistent").when(F.col("problem").isNull(), "inconsistent"))
+
+
+def band_violations(offsets: DataFrame, tolerance: float = AGREEMENT_M) -> DataFrame:
+    """``window_id, problem`` of the windows that :func:`band_verdict` cannot judge."""
+    return band_verdict(offsets, tolerance).where("problem is not null").select("window_id", "problem")
 
 
 def band_summary(verdicts: DataFrame, tolerance: float = AGREEMENT_M) -> DataFrame:
     """Per nested band set: consistent windows, median and largest spread."""
     sets = F.explode(F.array(*[F.struct(F.lit(n).alias("bands"), F.col(f"spread_{n}").alias("s")) for n in range(2, len(BAND_LOBES_M) + 1)])).alias("x")
-    long = verdicts.select(sets).select("x.bands", "x.s")
+    long = verdicts.where("problem is null").select(sets).select("x.bands", "x.s")
     medians = exact_quantiles(long, ["bands"], "s", {"median_spread": 0.5})
     counts = long.groupBy("bands").agg(F.count_if(F.col("s") <= tolerance).alias("consistent"), F.count("*").alias("windows"), F.max("s").alias("max_spread"))
     return counts.join(medians, "bands")

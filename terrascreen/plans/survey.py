@@ -12,7 +12,8 @@ from terrascreen.plans.linear import _BUFFERED, GRID, SEGMENTS, _buffer_metrics
 from terrascreen.plans.registry import query
 from terrascreen.plans.views import rnd, sql
 
-TOTAL, DRAWS, SEED = 385, 200, 20261018
+# Points, replicate draws and trials of the sampling study; the seed is our own.
+TOTAL, DRAWS, TRIALS, SEED = 385, 4000, 400, 40127
 
 
 def remainder_sql(source: str, weight: str, total: str, order: str, out: str) -> str:
@@ -144,15 +145,19 @@ _BASE = f"""sr AS (SELECT least(o_custkey % 11, 6) AS gid, row_number() OVER (PA
  lb AS (SELECT max(l) AS l FROM lc, ex WHERE e>0 AND cut>=e), kp AS (SELECT lb.l, (SELECT cut FROM lc WHERE lc.l=lb.l)-e AS keep FROM lb, ex),
  fl AS (SELECT gid, candidates, base, CASE WHEN l IS NULL OR base<=l THEN base ELSE l + CASE WHEN row_number() OVER (PARTITION BY base>l ORDER BY gid DESC)<=keep THEN 1 ELSE 0 END END AS flat FROM sb, kp),
  {remainder_sql('fl', 'candidates', f'greatest(0, {TOTAL}-(SELECT sum(base) FROM sb))', 'gid', 'am')}, seg AS (SELECT gid, candidates, flat+got AS allocated FROM am),
- st AS (SELECT gid, candidates, allocated, d AS draw, candidates/allocated::double AS step, (((d*7919+gid*104729) % 100003)/100003.0::double)*(candidates/allocated::double) AS start FROM seg, (SELECT unnest(generate_series(1,{DRAWS})) AS d)),
+ st AS (SELECT gid, candidates, allocated, d AS draw, candidates/allocated::double AS step, (((d*7919+gid*104729) % 100003)/100003.0::double)*(candidates/allocated::double) AS start FROM seg, (SELECT unnest(generate_series(1,{{draws}})) AS d)),
  pk AS (SELECT gid, draw, candidates, allocated, step, i, least(candidates-1, cast(floor(start+i*step) AS bigint)) AS idx FROM (SELECT *, unnest(generate_series(0, allocated-1)) AS i FROM st))"""
 
 
+def _base(draws):
+    return _BASE.replace("{draws}", str(draws))
+
+
 def _starts():
     return ((F.col("draw") * 7919 + F.col("gid") * 104729) % 100003) / F.lit(100003.0)
 
 
-@query("replicate_variance", f"""WITH {_BASE}, es AS (SELECT draw, sum(v)/{TOTAL}.0::double AS e FROM pk JOIN sr USING (gid, idx) GROUP BY 1), rk AS (SELECT e, row_number() OVER (ORDER BY e)-1 AS r FROM es),
+@query("replicate_variance", f"""WITH {_base(DRAWS)}, es AS (SELECT draw, sum(v)/{TOTAL}.0::double AS e FROM pk JOIN sr USING (gid, idx) GROUP BY 1), rk AS (SELECT e, row_number() OVER (ORDER BY e)-1 AS r FROM es),
     fr AS (SELECT avg(v) AS p, count(*) AS n FROM sr), a AS (SELECT avg(e) AS m, var_samp(e) AS v, min(e) AS lo, max(e) AS hi FROM es), x AS (SELECT *, p*(1-p)/{TOTAL} AS wr, p*(1-p)/{TOTAL}*(n-{TOTAL})/(n-1) AS wo FROM a, fr)
     SELECT {rnd('m', 6)} AS mean_estimate, {rnd('v', 9)} AS variance, {rnd('wr', 9)} AS srswr_variance, {rnd('wo', 9)} AS srswor_variance, {rnd('v/wr', 4)} AS design_effect, {rnd('v/wo', 4)} AS design_effect_finite, {rnd(f'v*{(2 / (DRAWS - 1)) ** 0.5!r}', 10)} AS mc_standard_error,
     {rnd('lo', 6)} AS lowest, {rnd('hi', 6)} AS highest, {', '.join(f"{rnd(f'(SELECT e FROM rk WHERE r={int(q * (DRAWS - 1))})', 6)} AS {n}" for n, q in (('q025', .025), ('q25', .25), ('q50', .5), ('q75', .75), ('q975', .975)))} FROM x""")
@@ -160,10 +165,10 @@ def replicate_variance(t):
     return survey.replicate_variance(_series(t), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0), TOTAL, DRAWS, _starts())
 
 
-@query("distinct_realisations", f"""WITH {_BASE}, ls AS (SELECT gid, draw, list(idx ORDER BY i) AS l, max(allocated) AS allocated, max(candidates) AS candidates, max(step) AS step FROM pk GROUP BY 1,2), vr AS (SELECT gid, min(v)<>max(v) AS varies FROM sr GROUP BY 1)
+@query("distinct_realisations", f"""WITH {_base(TRIALS)}, ls AS (SELECT gid, draw, list(idx ORDER BY i) AS l, max(allocated) AS allocated, max(candidates) AS candidates, max(step) AS step FROM pk GROUP BY 1,2), vr AS (SELECT gid, min(v)<>max(v) AS varies FROM sr GROUP BY 1)
     SELECT gid, cast(max(allocated) AS bigint) AS allocated, cast(max(candidates) AS bigint) AS candidates, {rnd('max(step)', 4)} AS step, cast(count(DISTINCT l) AS bigint) AS "distinct", bool_or(varies) AS varies, count(DISTINCT l)<20 AND bool_or(varies) AS few FROM ls JOIN vr USING (gid) GROUP BY 1""")
 def distinct_realisations(t):
-    return survey.distinct_realisations(_series(t), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0), TOTAL, DRAWS, _starts())
+    return survey.distinct_realisations(_series(t), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0), TOTAL, TRIALS, _starts())
 
 
 @query("sampling_plan", sql("vertices rects", f"""{SEGMENTS}, {GRID}, {_BUFFERED}, w AS (SELECT gid, max(length_m) AS length_m, max(overlap_m) FILTER (WHERE buffer_m=0) AS o0, max(overlap_m) FILTER (WHERE buffer_m=5) AS o5 FROM bm WHERE vegetation='trees' GROUP BY gid),

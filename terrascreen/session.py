@@ -26,6 +26,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "terrascreen")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "terrascreen-scratch"))
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
@@ -35,13 +36,20 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "terrascreen")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path in this application's part of the scratch folder."""
+    return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
 
-    Only a local session may fall back to a machine-local folder.
+
+def scratch_base(spark: SparkSession) -> str:
+    """This application's scratch folder: below ``spark.checkpoint.dir`` or, where that is unset, below the warehouse.
+
+    Both are folders that the whole cluster shares.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="terrascreen-")
-    return os.path.join(base, f"terrascreen-{label}-{uuid.uuid4().hex}")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/terrascreen-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application, once their results have been written or read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
