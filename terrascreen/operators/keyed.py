@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from terrascreen.functions import geo, text
 from terrascreen.functions.numbers import rounded
+from terrascreen.operators.guards import unique_lookup
 
 
 def heat_join(nearest: DataFrame, heat: DataFrame) -> DataFrame:
-    """Nearest-station rows that have a heat value, with display defaults for missing text."""
-    values = heat.select("id", "heat_pixel")
+    """Nearest-station rows that have a heat value, with display defaults for missing text; fails on an id with several values."""
+    values = unique_lookup(heat, ["id"], ["heat_pixel"])
     return nearest.join(values, "id").withColumns({
         "district": F.coalesce("district", F.lit("Unknown")),
         "street": F.when(text.is_blank(F.col("street")), F.lit("Unnamed street")).otherwise(F.col("street"))})
@@ -83,12 +84,16 @@ def crosswalk_localize(rows: DataFrame, crosswalk: DataFrame, strict: bool = Tru
 def preserve_sample(rows: DataFrame, committed: DataFrame | None, first_run: int = 100, order: str = "ord") -> DataFrame:
     """Refreshed rows restricted to the committed ids, carrying the committed ordinal.
 
+    A committed id without a row, or given twice, fails; ``guards.kept_sample_violations`` lists them.
     Without committed ids the first ``first_run`` rows in source order are taken.
     """
     if committed is None:
         return rows.orderBy(order).limit(first_run)
-    wanted = committed.select("id", F.col("ord").alias("committed_ord"))
-    return rows.join(wanted, "id")
+    wanted = unique_lookup(committed.select("id", F.col("ord").alias("committed_ord")), ["id"], ["committed_ord"])
+    found = wanted.join(rows.withColumn("_hit", F.lit(True)), "id", "left")
+    lost = F.raise_error(F.concat(F.lit("no row for committed id "), F.col("id"))).cast("boolean")
+    kept = found.where(F.when(F.col("_hit").isNull(), lost).otherwise(True))
+    return kept.select(*rows.columns, "committed_ord")
 
 
 def missing_ids(committed: DataFrame, rows: DataFrame) -> DataFrame:

@@ -132,12 +132,13 @@ def season_metrics(daily: DataFrame, reference_day: str, hot: float, tropical: f
     """Per cell: pooled season metrics from daily columns ``val`` (maximum) and ``low`` (minimum).
 
     Everything is a two-level aggregate (cell and year, then cell); the reference day value is
-    joined back per cell, a calendar-bounded table.
+    joined back per cell, a calendar-bounded table; a cell without that day keeps its other
+    metrics. ``guards.season_violations`` lists incomplete seasons, which ``complete_only`` leaves out.
     """
     season = season_rows(daily)
     reference_year = int(reference_day[:4])
     reference = daily.where(F.col("obs_day") == F.lit(reference_day).cast("date")).groupBy("cell").agg(F.max("val").alias("ref"))
-    season = season.join(reference, "cell")
+    season = season.join(reference, "cell", "left")
     in_year = F.col("yr") == reference_year
     yearly = season.groupBy("cell", "yr").agg(
         F.avg("val").alias("year_mean"), F.sum("val").alias("s"), F.sum("low").alias("s_low"), F.count("*").alias("n"),
@@ -167,7 +168,7 @@ def cube_season_metrics(daily: DataFrame, reference_day: str, hot: float) -> Dat
     """
     season = season_rows(daily)
     reference = daily.where(F.col("obs_day") == F.lit(reference_day).cast("date")).groupBy("cell").agg(F.max("val").alias("ref"))
-    season = season.join(reference, "cell")
+    season = season.join(reference, "cell", "left")
     yearly = season.groupBy("cell", "yr").agg(F.avg("val").alias("m"))
     hottest = yearly.groupBy("cell").agg(
         F.count("*").alias("seasons"), F.min_by("yr", F.struct(-F.col("m"), F.col("yr"))).cast("string").alias("hottest_year"),
