@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import rounded
-from terrascreen.operators.ordering import tied_positions
+from terrascreen.operators.ordering import materialise, ordinal, tied_positions
 
 # Selection shares in percent, decimals kept and members required.
 SELECTION_PERCENT, DECIMALS, MINIMUM_MEMBERS = (10, 20, 25, 33, 50), (2, 1, 0), (1, 2, 3)
@@ -120,23 +120,26 @@ def coverage_sweep(panel: DataFrame) -> DataFrame:
     return result
 
 
-def leave_one_group_out(panel: DataFrame, group: str = "district", max_groups: int = 10_000) -> DataFrame:
+def leave_one_group_out(panel: DataFrame, group: str = "district") -> DataFrame:
     """Compare cell means with the seasonal metric after omitting each group in turn.
 
     Sites collapse to (cell, group) sums first. A cell without the omitted group keeps its total,
-    so only cell sums, not sites, are repeated per group; the group list is bounded and checked.
+    so only cell sums, not sites, are repeated per group. Groups are numbered, so a repeated row
+    carries a number and no list; any number of groups is taken, a null group included.
     """
     parts = panel.groupBy("cell", group).agg(F.count("*").alias("n"), F.sum("fine").alias("s"), F.min("seasonal").alias("seasonal"))
     cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("seasonal").alias("seasonal"))
-    names = parts.select(group).distinct().limit(max_groups + 1).agg(F.collect_list(group).alias("g"))
-    checked = F.when(F.size("g") > max_groups, F.raise_error(F.lit("too many groups to omit one by one")).cast("array<string>")).otherwise(F.col("g"))
-    omitted = cells.withColumn("_g", names.select(checked).scalar()).withColumn("omitted", F.explode("_g")).drop("_g")
-    own = parts.select("cell", F.col(group).alias("omitted"), F.col("n").alias("n0"), F.col("s").alias("s0"))
-    left = omitted.join(own, ["cell", "omitted"], "left").withColumns({
+    numbers = materialise(ordinal(parts.select(group).distinct(), [], [F.col(group)], "number"), "groups")
+    last = numbers.agg(F.coalesce(F.max("number"), F.lit(0)).cast("bigint")).scalar()
+    omitted = cells.withColumn("_last", last).where("_last > 0").withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_last")))).drop("_last")
+    named = parts.join(numbers.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
+    own = named.select("cell", "number", F.col("n").alias("n0"), F.col("s").alias("s0"))
+    left = omitted.join(own, ["cell", "number"], "left").withColumns({
         "n": F.col("n") - F.coalesce("n0", F.lit(0)), "s": F.col("s") - F.coalesce("s0", F.lit(0.0))}).where("n > 0")
-    sizes = left.groupBy("omitted").agg(F.count("*").alias("_c"), F.sum("n").alias("sites"))
-    rows = left.join(F.broadcast(sizes), "omitted").select("omitted", "cell", (F.col("s") / F.col("n")).alias("a"), F.col("seasonal").alias("b"), selection_k(F.col("_c"), 25).alias("k"))
-    return compare_rankings(rows, ["omitted"], "cell").join(F.broadcast(sizes.select("omitted", "sites")), "omitted")
+    sizes = left.groupBy("number").agg(F.count("*").alias("_c"), F.sum("n").alias("sites"))
+    rows = left.join(sizes, "number").select("number", "cell", (F.col("s") / F.col("n")).alias("a"), F.col("seasonal").alias("b"), selection_k(F.col("_c"), 25).alias("k"))
+    compared = compare_rankings(rows, ["number"], "cell").join(sizes.select("number", "sites"), "number")
+    return compared.join(numbers.withColumnRenamed(group, "omitted"), "number").drop("number")
 
 
 def association(df: DataFrame, x: str, y: str) -> DataFrame:

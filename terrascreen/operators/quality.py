@@ -22,8 +22,8 @@ def _named(df: DataFrame, rule: str, key: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
 
-def dq_keys(rows: DataFrame, expected: DataFrame, declared_total: Column | None = None, key: str = "id") -> DataFrame:
-    """Empty and duplicate ids, ids missing from or unknown to the expected set, total below rows."""
+def dq_keys(rows: DataFrame, expected: DataFrame, declared_total: Column | None = None, key: str = "id", row_count: Column | None = None) -> DataFrame:
+    """Empty and duplicate ids, ids missing from or unknown to the expected set, total below rows, and a number of rows other than expected."""
     used = F.coalesce(F.col(key).cast("string"), F.lit(""))
     counted = rows.groupBy(used.alias("_k")).agg(F.count("*").alias("n"))
     wanted = expected.select(F.col(key).cast("string").alias("_k")).distinct()
@@ -33,6 +33,9 @@ def dq_keys(rows: DataFrame, expected: DataFrame, declared_total: Column | None
     if declared_total is not None:
         total = rows.agg(F.count("*").alias("n")).withColumn("_t", declared_total)
         parts.append(_named(total.where(F.coalesce(F.col("_t") < F.col("n"), F.lit(True))), "declared_total", F.col("_t")))
+    if row_count is not None:
+        size = rows.agg(F.count("*").alias("n")).withColumn("_c", row_count)
+        parts.append(_named(size.where(~F.col("n").eqNullSafe(F.col("_c"))), "row_count", F.col("n")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -150,15 +153,24 @@ def dq_provenance(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
     return _named(combos.where("n > 1"), "mixed_provenance", F.col(group))
 
 
-def dq_raster_uniform(pixels: DataFrame, row_step: int = 997, col_step: int = 991) -> DataFrame:
-    """A raster whose strided pixels all hold one value cannot carry spatial variation."""
+def dq_raster_uniform(pixels: DataFrame, row_step: int = 997, col_step: int = 991, columns: int = 10_000, rows: int = 9_000) -> DataFrame:
+    """A raster whose strided pixels all hold one value cannot carry spatial variation.
+
+    Pixels outside the declared size and values that are no 8-bit number are listed as well.
+    """
+    place = F.concat_ws(":", F.col("col").cast("string"), F.col("row").cast("string"))
+    wrong = violations(pixels.select("col", "row", "value").distinct(), place, [
+        ("outside_raster", ~(F.col("col").between(0, columns - 1) & F.col("row").between(0, rows - 1))), ("value_type", ~F.col("value").between(0, 255))])
     strided = pixels.where((F.col("row") % row_step == 1) & (F.col("col") % col_step == 1))
     spread = strided.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return _named(spread.where("lo IS NULL OR lo = hi"), "uniform_raster", F.col("lo"))
+    return _named(spread.where("lo IS NULL OR lo = hi"), "uniform_raster", F.col("lo")).unionByName(wrong)
 
 
 def dq_series_values(daily: DataFrame, key: str, ranges: dict[str, tuple[float, float]], low: str, high: str, units: dict[str, str] | None = None) -> DataFrame:
-    """Daily rows that are missing, not finite or implausible, or whose minimum exceeds the maximum."""
+    """Daily rows that are missing, not finite or implausible, or whose minimum exceeds the maximum.
+
+    A series must hold every day between its first and last, once (``missing_days``, ``repeated_days``).
+    """
     checks = []
     for column, (lo, hi) in ranges.items():
         usable = text_free(F.col(column))
@@ -166,7 +178,10 @@ def dq_series_values(daily: DataFrame, key: str, ranges: dict[str, tuple[float,
     checks.append(("minimum_above_maximum", F.coalesce(F.col(low) > F.col(high), F.lit(False))))
     for column, unit in (units or {}).items():
         checks.append((f"{column}_unit", ~F.col(f"{column}_unit").eqNullSafe(F.lit(unit))))
-    return violations(daily, F.concat_ws(":", F.col(key).cast("string"), F.col("obs_day").cast("string")), checks)
+    calendar = daily.groupBy(F.col(key).cast("string").alias("series")).agg(
+        F.count("*").alias("n"), F.countDistinct("obs_day").alias("d"), (F.datediff(F.max("obs_day"), F.min("obs_day")) + 1).alias("span"))
+    gaps = violations(calendar, F.col("series"), [("missing_days", F.col("d") < F.col("span")), ("repeated_days", F.col("n") > F.col("d"))])
+    return violations(daily, F.concat_ws(":", F.col(key).cast("string"), F.col("obs_day").cast("string")), checks).unionByName(gaps)
 
 
 # Label classes.

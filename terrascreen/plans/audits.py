@@ -23,11 +23,12 @@ _KEYED = "kr AS (SELECT CASE WHEN ord%53=0 THEN '' WHEN ord%59=0 THEN 'c0000001'
 
 @query("dq_keys", sql("sites", f"""{_KEYED}, kc AS (SELECT id, count(*) AS n FROM kr GROUP BY 1) SELECT 'empty_id' AS rule, cast(n AS varchar) AS key FROM kc WHERE id='' UNION ALL SELECT 'duplicate_id', id FROM kc WHERE n>1 AND id<>''
     UNION ALL SELECT 'missing_id', id FROM sites WHERE id NOT IN (SELECT id FROM kc) UNION ALL SELECT 'unknown_id', id FROM kc WHERE id<>'' AND id NOT IN (SELECT id FROM sites)
-    UNION ALL SELECT 'declared_total', cast((SELECT count(*) FROM supplier) AS varchar) WHERE (SELECT count(*) FROM supplier) < (SELECT count(*) FROM kr)"""))
+    UNION ALL SELECT 'declared_total', cast((SELECT count(*) FROM supplier) AS varchar) WHERE (SELECT count(*) FROM supplier) < (SELECT count(*) FROM kr)
+    UNION ALL SELECT 'row_count', cast((SELECT count(*) FROM kr) AS varchar) WHERE (SELECT count(*) FROM kr) <> (SELECT count(*) FROM nation)"""))
 def dq_keys(t):
     o, i = F.col("ord"), F.col("id")
     rows = t.views.sites.select(F.when(o % 53 == 0, "").when(o % 59 == 0, "c0000001").when(o % 61 == 0, F.concat(i, F.lit("x"))).otherwise(i).alias("id"))
-    return quality.dq_keys(rows, t.views.sites, t.supplier.agg(F.count("*")).scalar())
+    return quality.dq_keys(rows, t.views.sites, t.supplier.agg(F.count("*")).scalar(), row_count=t.nation.agg(F.count("*")).scalar())
 
 
 @query("dq_copied_fields", sql("sites", """cf AS (SELECT id, street, latitude, longitude, CASE WHEN ord%17=0 THEN 'moved' ELSE street END AS street2, CASE WHEN ord%23=0 THEN latitude+0.001 ELSE latitude END AS latitude2 FROM sites)
@@ -91,14 +92,17 @@ def dq_recompute_flow(t):
 
 @query("dq_recompute_incidents", sql("incidents stations", f"""{RADIUS}, sd AS (SELECT id, a + CASE WHEN right(id,1)='3' THEN c+1 ELSE 0 END AS a, b, c, e + CASE WHEN right(id,1)='5' THEN c+1 ELSE 0 END AS e, a AS a0, b AS b0, c AS c0, e AS e0 FROM rc)
     SELECT 'within_inner' AS rule, id AS key FROM sd WHERE a<>a0 UNION ALL SELECT 'flagged_outer', id FROM sd WHERE e<>e0 UNION ALL SELECT 'within_inner_above_within_outer', id FROM sd WHERE a>c UNION ALL SELECT 'flagged_inner_above_within_inner', id FROM sd WHERE b>a
-    UNION ALL SELECT 'flagged_outer_above_within_outer', id FROM sd WHERE e>c UNION ALL SELECT 'flagged_inner_above_flagged_outer', id FROM sd WHERE b>e UNION ALL SELECT 'record_count', cast(count(*)+1 AS varchar) FROM incidents"""))
+    UNION ALL SELECT 'flagged_outer_above_within_outer', id FROM sd WHERE e>c UNION ALL SELECT 'flagged_inner_above_flagged_outer', id FROM sd WHERE b>e UNION ALL SELECT 'record_count', cast(count(*)+1 AS varchar) FROM incidents
+    UNION ALL SELECT 'street', id FROM stations WHERE right(id,1)='7'"""))
 def dq_recompute_incidents(t):
     fresh = materialise(spatial.radius_counts(t.views.incidents, t.views.stations), "radius")
     last = F.right("id", F.lit(1))
     stored = fresh.withColumns({"within_inner": F.col("within_inner") + F.when(last == "3", F.col("within_outer") + 1).otherwise(0),
                                 "flagged_outer": F.col("flagged_outer") + F.when(last == "5", F.col("within_outer") + 1).otherwise(0)})
     count = t.views.incidents.agg(F.count("*") + 1).scalar()
-    return quality.dq_incidents(stored, fresh, t.views.incidents, count)
+    copied = fresh.withColumn("street", F.when(last == "7", "elsewhere").otherwise(F.col("street")))
+    fields = quality.dq_copied_fields(copied.select("id", "street", "latitude", "longitude"), t.views.stations, "id", ["street", "latitude", "longitude"])
+    return quality.dq_incidents(stored, fresh, t.views.incidents, count).unionByName(fields)
 
 
 _CELL_FAULTS = """sk AS (SELECT id, ord, latitude, longitude, cast(round_even(latitude/0.25,0)*0.25 AS varchar)||'/'||cast(round_even(longitude/0.25,0)*0.25 AS varchar) AS snap, heat_pixel FROM sites), cl AS (SELECT snap AS grid_key, max(heat_pixel) AS hottest FROM sk GROUP BY 1),
@@ -154,7 +158,8 @@ _DAILY_FAULTS = """dv AS (SELECT l_suppkey%20 AS cell, cast(l_shipdate AS date)
 
 
 @query("dq_series_values", sql("", f"""{_DAILY_FAULTS}, k AS (SELECT *, cell||':'||cast(obs_day AS varchar) AS kk FROM dv) SELECT 'tmin_range' AS rule, kk AS key FROM k WHERE NOT tmin BETWEEN -40 AND 45 UNION ALL SELECT 'tmax_range', kk FROM k WHERE NOT tmax BETWEEN -40 AND 45
-    UNION ALL SELECT 'rh_finite', kk FROM k WHERE rh IS NULL UNION ALL SELECT 'rh_range', kk FROM k WHERE NOT rh BETWEEN 0 AND 100 UNION ALL SELECT 'minimum_above_maximum', kk FROM k WHERE tmin>tmax UNION ALL SELECT 'tmax_unit', kk FROM k WHERE tmax_unit<>'C'"""))
+    UNION ALL SELECT 'rh_finite', kk FROM k WHERE rh IS NULL UNION ALL SELECT 'rh_range', kk FROM k WHERE NOT rh BETWEEN 0 AND 100 UNION ALL SELECT 'minimum_above_maximum', kk FROM k WHERE tmin>tmax UNION ALL SELECT 'tmax_unit', kk FROM k WHERE tmax_unit<>'C'
+    UNION ALL SELECT 'missing_days', cast(cell AS varchar) FROM k GROUP BY cell HAVING count(DISTINCT obs_day) < date_diff('day', min(obs_day), max(obs_day))+1"""))
 def dq_series_values(t):
     rows = t.lineitem.groupBy((F.col("l_suppkey") % 20).alias("cell"), F.to_date("l_shipdate").alias("obs_day")).agg(F.min("l_quantity").alias("tmin"), F.max("l_quantity").alias("tmax"), (F.avg("l_discount") * 1000).alias("rh"))
     c, d = F.col("cell"), F.dayofmonth("obs_day")
@@ -176,9 +181,17 @@ def dq_provenance_uniform(t):
 
 
 @query("dq_raster_uniform", """WITH px AS (SELECT l_orderkey*7 % 10000 AS col, l_partkey*13 % 9000 AS row, 7 AS value FROM lineitem), s AS (SELECT min(value) AS lo, max(value) AS hi FROM px WHERE row%11=1 AND col%13=1)
-    SELECT 'uniform_raster' AS rule, cast(lo AS varchar) AS key FROM s WHERE lo IS NULL OR lo=hi""")
+    SELECT 'uniform_raster' AS rule, cast(lo AS varchar) AS key FROM s WHERE lo IS NULL OR lo=hi UNION ALL SELECT DISTINCT 'outside_raster', col||':'||row FROM px WHERE col>=9990 OR row>=8990""")
 def dq_raster_uniform(t):
     pixels = t.lineitem.select((F.col("l_orderkey") * 7 % 10000).alias("col"), (F.col("l_partkey") * 13 % 9000).alias("row"), F.lit(7).alias("value"))
+    return quality.dq_raster_uniform(pixels, 11, 13, 9_990, 8_990)
+
+
+@query("dq_raster_varied", """WITH px AS (SELECT DISTINCT l_orderkey*7 % 10000 AS col, l_partkey*13 % 9000 AS row, cast(l_quantity*6 AS bigint) AS value FROM lineitem), s AS (SELECT min(value) AS lo, max(value) AS hi FROM px WHERE row%11=1 AND col%13=1)
+    SELECT 'uniform_raster' AS rule, cast(lo AS varchar) AS key FROM s WHERE lo IS NULL OR lo=hi UNION ALL SELECT 'value_type', col||':'||row FROM px WHERE value>255""")
+def dq_raster_varied(t):
+    """The other branch: values that vary, some of them too large for eight bits."""
+    pixels = t.lineitem.select((F.col("l_orderkey") * 7 % 10000).alias("col"), (F.col("l_partkey") * 13 % 9000).alias("row"), (F.col("l_quantity") * 6).cast("bigint").alias("value"))
     return quality.dq_raster_uniform(pixels, 11, 13)
 
 

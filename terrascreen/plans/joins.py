@@ -36,12 +36,12 @@ def heat_join(t):
 
 
 @query("raster_point_join", sql("sites", f"""{lambert_sql('sites')}, ix AS (SELECT id, cast(floor((x-140000.0)/2.0) AS bigint) AS col, cast(floor((178000.0-y)/2.0) AS bigint) AS row FROM lmxy),
-    px AS (SELECT DISTINCT col, row, cast((col*7+row*3) % 101 AS bigint) AS value FROM ix WHERE col>=0 AND col<10000 AND row>=0 AND row<9000)
+    px AS (SELECT DISTINCT col, row, cast((col*7+row*3) % 101 AS bigint) AS value FROM ix WHERE col>=0 AND col<10000 AND row>=0 AND row<9000 AND (col+row) % 13<>0)
     SELECT id, ix.col, ix.row, CASE WHEN value<>0 THEN value END AS heat_value FROM ix LEFT JOIN px ON ix.col=px.col AND ix.row=px.row"""))
 def raster_point_join(t):
     xy = geo.with_lambert72(t.views.sites)
     col, row = geo.pixel_index(F.col("x"), F.col("y"))
-    index = xy.select(col.alias("col"), row.alias("row")).where(geo.in_raster(F.col("col"), F.col("row"))).distinct()
+    index = xy.select(col.alias("col"), row.alias("row")).where(geo.in_raster(F.col("col"), F.col("row")) & ((F.col("col") + F.col("row")) % 13 != 0)).distinct()
     pixels = index.withColumn("value", (F.col("col") * 7 + F.col("row") * 3) % 101)
     return keyed.raster_point_join(t.views.sites, pixels, strict=False).select("id", "col", "row", "heat_value")
 

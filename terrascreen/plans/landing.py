@@ -83,13 +83,19 @@ def bbox_full_scan_difference(t):
     return keyed.id_set_equality(scanned, indexed, "poly_id")
 
 
-@query("file_manifest_check")
+_IDENTITY = "fi AS (SELECT doc_id, 'doc-'||doc_id||'.txt' AS name, cast(octet_length(encode(text)) AS bigint) AS bytes, sha256(text) AS sha256 FROM documents)"
+
+
+@query("file_manifest_check", f"""WITH {_IDENTITY} SELECT name, CASE WHEN doc_id % 19=0 THEN 'extra' WHEN doc_id % 23=0 THEN 'missing' WHEN doc_id % 29=0 AND n_chars IS DISTINCT FROM bytes THEN 'size' WHEN doc_id % 31=0 THEN 'digest' ELSE 'ok' END AS status
+    FROM fi JOIN (SELECT doc_id AS d, n_chars FROM documents) ON d=doc_id WHERE NOT (doc_id % 19=0 AND doc_id % 23=0)""")
 def file_manifest_check(t):
-    actual = materialise(sinks.file_identity(t.spark, t.folder, "*.parquet"), "identity")
-    name = F.col("name")
-    manifest = actual.where(name != "region.parquet").select(
-        F.when(name == "nation.parquet", "renamed.parquet").otherwise(name).alias("name"), (F.col("bytes") + F.when(name == "part.parquet", 1).otherwise(0)).alias("bytes"),
-        F.when(name == "orders.parquet", F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    """Contents of the documents as files: the size a manifest took from characters, or a digest of something else, is found."""
+    key = F.col("doc_id")
+    name = F.concat(F.lit("doc-"), key.cast("string"), F.lit(".txt")).alias("name")
+    size = F.octet_length("text").cast("bigint")
+    actual = t.documents.where(key % 23 != 0).select(name, size.alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    manifest = t.documents.where(key % 19 != 0).select(
+        name, F.when(key % 29 == 0, F.col("n_chars")).otherwise(size).alias("bytes"), F.when(key % 31 == 0, F.sha2("lang", 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
     return sinks.file_manifest_check(actual, manifest)
 
 
