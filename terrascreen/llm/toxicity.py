@@ -98,40 +98,29 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _cover(toxic: list[set[str]], clean: list[set[str]], least: int = 2, cost: float = 4.0, surprise: float = 14.0) -> set[str]:
-    """Features that mark toxic tokens.
+def _cover(toxic: list[np.ndarray], clean: list[np.ndarray], size: int, least: int = 2, cost: float = 4.0, surprise: float = 14.0) -> np.ndarray:
+    """Marks the features (numbers under ``size``, each once per document) that stand for toxic tokens.
 
     First those that toxic documents hold far more often than chance explains (log likelihood ratio over ``surprise``, nine of ten
     documents toxic). Then, for documents still without one, features chosen one by one by the number of such documents, less a cost for
     each clean document hit.
     """
-    hits = Counter(f for doc in clean for f in doc)
+    count = lambda documents: np.bincount(np.concatenate([*documents, np.empty(0, np.int64)]), minlength=size)
+    found, hits = count(toxic).astype(float), count(clean).astype(float)
     scale = max(1.0, len(toxic) / max(1, len(clean)))
     share = len(toxic) / (len(toxic) + len(clean))
-    owners: dict[str, list[int]] = {}
-    for i, doc in enumerate(toxic):
-        for f in doc:
-            owners.setdefault(f, []).append(i)
-
-    def ratio(t: int, c: int) -> float:
-        return t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0.0)
-
-    chosen = {f for f, v in owners.items() if len(v) > 9 * scale * hits[f] and ratio(len(v), hits[f]) > surprise}
-    good = {f: v for f, v in owners.items() if len(v) >= least and len(v) > cost * scale * hits[f]}
-    open_docs = {i for i, doc in enumerate(toxic) if not doc & chosen}
-    gain = {f: len(open_docs.intersection(v)) - cost * scale * hits[f] for f, v in good.items() if f not in chosen}
-    while gain:
-        best = max(gain, key=lambda f: (gain[f], len(good[f]), -len(f), f))
+    both = np.maximum(found + hits, 1)
+    part = lambda n, chance: n * np.log(np.where(n > 0, n / both / chance, 1))
+    chosen = (found > 9 * scale * hits) & (part(found, share) + part(hits, 1 - share) > surprise)
+    good = (found >= least) & (found > cost * scale * hits)
+    waiting = [doc for doc in toxic if not chosen[doc].any()]
+    while waiting:
+        gain = np.where(good & ~chosen, count(waiting) - cost * scale * hits, -1.0)
+        best = int(np.argmax(gain + 1e-6 * found))
         if gain[best] < max(least, 0.004 * len(toxic)):
             break
-        chosen.add(best)
-        newly = open_docs.intersection(good[best])
-        open_docs -= newly
-        del gain[best]
-        for i in newly:
-            for f in toxic[i]:
-                if f in gain:
-                    gain[f] -= 1
+        chosen[best] = True
+        waiting = [doc for doc in waiting if not (doc == best).any()]
     return chosen
 
 
@@ -168,13 +157,18 @@ def train(documents: list[tuple[str, int]], rounds: int = 60, decay: float = 1e-
     toxic = np.array([t for _, t in documents])
     names: dict[str, int] = {}
     own = [[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary]
-    words = list(vocabulary)
-    held = [{f for w in set(ids.tolist()) for f in features(words[w])} for ids in tokens]
-    lexicon = _cover([h for h, t in zip(held, toxic) if t], [h for h, t in zip(held, toxic) if not t])
-    marked = np.array([any(f in lexicon for f in features(w)) for w in words], float)
-
-    row = np.repeat(np.arange(len(own)), [len(f) for f in own])
+    words, sizes = list(vocabulary), np.array([len(f) for f in own])
+    row = np.repeat(np.arange(len(own)), sizes)
     column = np.fromiter((f for fs in own for f in fs), np.int64, len(row))
+    first = np.cumsum(sizes) - sizes
+    del own
+
+    def held(ids: np.ndarray) -> np.ndarray:
+        own = np.unique(ids)
+        return np.unique(column[np.repeat(first[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own]) + np.arange(sizes[own].sum())])
+
+    lexicon = _cover([held(ids) for ids, t in zip(tokens, toxic) if t], [held(ids) for ids, t in zip(tokens, toxic) if not t], len(names))
+    marked = (np.bincount(row, lexicon[column], len(words)) > 0).astype(float)
     truth = [marked[ids] * t for ids, t in zip(tokens, toxic)]
     ids, wanted = np.concatenate(tokens), np.concatenate(truth)
     observed = np.bincount(ids, wanted, len(words))
