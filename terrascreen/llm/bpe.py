@@ -164,10 +164,21 @@ def _encoder(ranks_path: str):
     return answer
 
 
-def _assembler():
-    """Rows of a block, header first, ids next, documents last: one list of ids per document."""
+def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table as start and size of each token in one run of bytes."""
+    ranks = read_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    sizes = np.fromiter(map(len, table), np.int64, len(table))
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(table), np.uint8)
+
+
+def _assembler(ranks_path: str | None):
+    """Rows of a block, header first, ids next, documents last: one list of ids per document, and its bytes if ranks are given."""
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks_path) if ranks_path else None
         starts = sizes = flat = order = None
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -190,14 +201,19 @@ def _assembler():
                 ids, count = gather(starts, sizes, body, flat)
                 ends = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(head, dtype=np.int64)]]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows[i].values, lists], [ROW, "ids"])
+                columns = {ROW: rows[i].values, "ids": lists}
+                if table:
+                    data, size = gather(table[0], table[1], ids, table[2])
+                    places = np.r_[0, np.cumsum(size)][ends].astype(np.int32)
+                    columns["decoded"] = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(places), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return put_together
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
-           buckets: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``keep`` and ``ids`` (array of int) of every document.
+           buckets: int | None = None, block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
+    """``keep`` and ``ids`` (array of int) of every document; with ``decoded`` also the bytes that the ids stand for.
 
     A null text counts as empty; an empty text has an empty list. Repeated rows each get a row. ``buckets`` cuts the dictionary (by default
     the shuffle partitions); a block holds about ``block_chars`` characters, or one longer document.
@@ -214,7 +230,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     words = blocks.where(is_word).repartition(buckets, "step").sortWithinPartitions("step")
     replies = words.mapInArrow(_encoder(ranks_path), layout)
     both = blocks.where(~is_word).unionByName(replies).repartition(buckets, "block").sortWithinPartitions("block", "step")
-    return spread(both.mapInArrow(_assembler(), f"{ROW} {kept.simpleString()}, ids array<int>"), keep, "ids")
+    own = ("ids", "decoded") if decoded else ("ids",)
+    result = both.mapInArrow(_assembler(ranks_path if decoded else None), f"{ROW} {kept.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
+    return spread(result, keep, *own)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -222,12 +240,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "d
 
     @F.arrow_udf("binary")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
+        starts, sizes, flat = token_bytes(ranks_path)
         for lists in batches:
             numbers, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             yield pa.array([None if not there else gather(starts, sizes, numbers[a:b], flat)[0].tobytes()

@@ -41,9 +41,9 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the ids and of the decoded bytes."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return bpe.decode(encoded, ranks).select(
+    return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

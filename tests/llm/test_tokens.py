@@ -23,6 +23,8 @@ def test_ids_equal_those_of_the_library_and_decode_to_the_text(awkward):
     found = bpe.decode(bpe.encode(awkward, RANKS, public_tokenizers.PATTERN, buckets=3, block_chars=50), RANKS)
     got = sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in found.collect())
     assert got == sorted((str(i), encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t in AWKWARD)
+    together = bpe.encode(awkward, RANKS, public_tokenizers.PATTERN, buckets=3, block_chars=50, decoded=True)
+    assert got == sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in together.collect())
 
 
 def test_blocks_do_not_change_the_ids(awkward):
