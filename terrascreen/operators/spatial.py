@@ -17,13 +17,11 @@ from pyspark.sql import functions as F
 from terrascreen.functions.geo import METRES_PER_DEGREE, haversine_m, rounded_metres
 from terrascreen.operators.ordering import materialise
 
-# Grid pyramid: each level is twice as coarse; the last level is one bucket for everything.
-RATIO, TOP_LEVEL = 2, 12
+# Grid pyramid: each level is twice as coarse; the last level is one bucket for what lies farther
+# apart than all others reach (about 1,000 km for stations, 260 km for edges).
+RATIO, TOP_LEVEL = 2, 15
 # Planar reasoning about bucket rings is only trusted up to this share of the bucket width.
 SAFETY = 0.98
-# A cell with more candidate stations than this is searched again with an eighth of the width,
-# down to cells so small that coordinates cannot hold many more distinct places.
-CROWDED, FINEST_M = 512, 0.5
 
 
 def _neighbours(x: str, y: str) -> Column:
@@ -38,14 +36,16 @@ def _at_level(index: str, level: str = "lv") -> str:
 
 
 def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str], cell_m: float, stretch: Column,
-                        distance: Callable[[Column, Column], Column]) -> DataFrame:
+                        distance: Callable[[Column, Column], Column], crossed: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
     """Targets that can be nearest to some point of each cell: rows ``cx, cy`` and payload.
 
     A target that covers several buckets may be repeated.
 
     ``cells`` has ``cx, cy`` (leaf indices) and ``px, py`` (centre coordinates); ``targets`` has
     the index range ``tx0..tx1, ty0..ty1`` it covers at leaf level plus ``payload`` columns.
-    ``stretch`` bounds how much wider than ``cell_m`` a cell may be from east to west.
+    ``stretch`` bounds how much wider than ``cell_m`` a cell may be from east to west. ``crossed``
+    narrows the bucket rows of a target in one bucket column (column and width in, first and last
+    row out); without it a target lies on its whole index range.
     """
     levels = F.sequence(F.lit(0), F.lit(TOP_LEVEL))
     radius = F.lit(cell_m / 2) * F.sqrt(1 + stretch * stretch)
@@ -55,7 +55,12 @@ def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str]
 
     def covering(df: DataFrame) -> DataFrame:
         span = lambda a, b: F.expr(f"explode(sequence({_at_level(a)}, {_at_level(b)}))")
-        return df.withColumn("gx", span("tx0", "tx1")).withColumn("gy", span("ty0", "ty1"))
+        columns = df.withColumn("gx", span("tx0", "tx1"))
+        if crossed is None:
+            return columns.withColumn("gy", span("ty0", "ty1"))
+        low, high = crossed(F.col("gx"), F.lit(float(cell_m)) * F.pow(F.lit(float(RATIO)), F.col("lv")))
+        top = F.col("lv") == TOP_LEVEL
+        return columns.withColumn("gy", F.explode(F.sequence(F.when(top, 0).otherwise(low), F.when(top, 0).otherwise(high))))
 
     def around(df: DataFrame) -> DataFrame:
         return df.withColumn("_b", _neighbours("bx", "by")).withColumns({"bx": F.col("_b.bx"), "by": F.col("_b.by")}).drop("_b")
@@ -66,7 +71,7 @@ def candidates_per_cell(cells: DataFrame, targets: DataFrame, payload: list[str]
         laid = covering(targets.withColumn("lv", F.explode(levels)).join(wanted, "lv", "left_semi"))
         return laid.select(*payload, "lv", F.col("gx").alias("bx"), F.col("gy").alias("by"))
 
-    extents = targets.select("tx0", "tx1", "ty0", "ty1").distinct().withColumn("lv", F.explode(levels))
+    extents = (targets.select("tx0", "tx1", "ty0", "ty1").distinct() if crossed is None else targets).withColumn("lv", F.explode(levels))
     occupied = around(covering(extents).select("lv", F.col("gx").alias("bx"), F.col("gy").alias("by")).distinct()).distinct()
     probe = bucketed(cells.withColumn("lv", F.explode(levels)))
     found = (probe.join(occupied, ["lv", "bx", "by"], "left_semi")
@@ -90,11 +95,12 @@ def _lat_span(*tables: DataFrame) -> Column:
     return merged.agg(F.coalesce(F.max("a"), F.lit(0.0)).alias("a")).scalar()
 
 
-def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 250.0) -> DataFrame:
+def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 31.25) -> DataFrame:
     """Adds ``nearest_station`` and ``distance_m`` (1 dp); ties go to the lowest ``ord``.
 
-    Stations at one location collapse to the first of them. Sites without coordinates keep a
-    null result.
+    Stations at one location collapse to the first of them, sites at one location are searched
+    once. Candidates meet locations as pairs whose minimum is taken inside each task, so no cell
+    holds a list, however crowded it is. Sites without coordinates keep a null result.
     """
     points = (stations.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
               .groupBy("latitude", "longitude").agg(F.min_by("id", "ord").alias("sid"), F.min("ord").alias("sord"))
@@ -110,22 +116,13 @@ def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 250.0
     targets = points.withColumns({"tx0": lon_index(F.col("slon")), "ty0": F.floor(F.col("slat") / F.lit(step_lat)).cast("bigint")})
     targets = targets.withColumns({"tx1": F.col("tx0"), "ty1": F.col("ty0")})
     stretch = F.lit(1.0) / F.cos(F.radians(lat_max))
-    near = materialise(candidates_per_cell(cells, targets, ["sid", "sord", "slat", "slon"], cell_m, stretch,
-                                           lambda px, py: haversine_m(py, px, F.col("slat"), F.col("slon"))), "near")
-    crowded = near.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("cx", "cy")
-    split = cell_m > FINEST_M and not crowded.isEmpty()
-    quiet = near.join(crowded, ["cx", "cy"], "left_anti") if split else near
-    lists = quiet.groupBy("cx", "cy").agg(F.collect_list(F.struct("sid", "sord", "slat", "slon")).alias("candidates"))
-    best = F.array_min(F.transform("candidates", lambda c: F.struct(
-        haversine_m(F.col("latitude"), F.col("longitude"), c["slat"], c["slon"]).alias("d"), c["sord"].alias("o"), c["sid"].alias("s"))))
-    calm = located.join(crowded, ["cx", "cy"], "left_anti") if split else located
-    joined = calm.join(lists, ["cx", "cy"], "left").withColumn("_best", best)
-    result = joined.select(*sites.columns, F.col("_best.s").alias("nearest_station"), rounded_metres(F.col("_best.d")).alias("distance_m"))
-    if split:
-        # Sites of a crowded cell are searched again on a finer grid, where lists are short.
-        dense = located.join(crowded, ["cx", "cy"], "left_semi").select(*sites.columns)
-        result = result.unionByName(nearest_station(dense, stations, cell_m / 8))
-    return result
+    near = candidates_per_cell(cells, targets, ["sid", "sord", "slat", "slon"], cell_m, stretch,
+                               lambda px, py: haversine_m(py, px, F.col("slat"), F.col("slon")))
+    places = located.select("cx", "cy", "latitude", "longitude").distinct()
+    found = F.min(F.struct(haversine_m(F.col("latitude"), F.col("longitude"), F.col("slat"), F.col("slon")).alias("d"), F.col("sord").alias("o"), F.col("sid").alias("s")))
+    best = places.join(near, ["cx", "cy"]).groupBy("latitude", "longitude").agg(found.alias("_best"))
+    joined = sites.join(best, ["latitude", "longitude"], "left")
+    return joined.select(*[sites[c] for c in sites.columns], F.col("_best.s").alias("nearest_station"), rounded_metres(F.col("_best.d")).alias("distance_m"))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
@@ -217,8 +214,18 @@ def distance_to_edges(points: DataFrame, point_key: list[str], edges: DataFrame,
     targets = unique.withColumns({
         "tx0": index(F.least(e[0], e[2])), "tx1": index(F.greatest(e[0], e[2])),
         "ty0": index(F.least(e[1], e[3])), "ty1": index(F.greatest(e[1], e[3]))})
+
+    def crossed(column: Column, width: Column) -> tuple[Column, Column]:
+        """Bucket rows that an edge crosses inside one bucket column, with a hair's breadth to spare."""
+        left, right = F.least(e[0], e[2]), F.greatest(e[0], e[2])
+        at = lambda x: F.when(e[0] == e[2], None).otherwise(e[1] + (x - e[0]) / (e[2] - e[0]) * (e[3] - e[1]))
+        a, b = at(F.greatest(column * width, left)), at(F.least((column + 1) * width, right))
+        low, high = F.coalesce(F.least(a, b), F.least(e[1], e[3])), F.coalesce(F.greatest(a, b), F.greatest(e[1], e[3]))
+        low, high = F.greatest(low - 1e-6, F.least(e[1], e[3])), F.least(high + 1e-6, F.greatest(e[1], e[3]))
+        return F.floor(F.least(low, high) / width).cast("bigint"), F.floor(F.greatest(low, high) / width).cast("bigint")
+
     near = candidates_per_cell(cells, targets, ["ex1", "ey1", "ex2", "ey2"], cell_m, F.lit(1.0),
-                               lambda px, py: _segment_distance(px, py, *e))
+                               lambda px, py: _segment_distance(px, py, *e), crossed)
     best = located.join(near, ["cx", "cy"]).groupBy(*point_key).agg(F.min(_segment_distance(F.col("x"), F.col("y"), *e)).alias("edge_distance"))
     return points.join(best, point_key, "left")
 

@@ -30,8 +30,7 @@ def test_nearest_station_matches_brute_force(frame, spread):
         assert got[site[0]]["nearest_station"] == best[0]
 
 
-def test_crowded_cells_are_searched_again(frame, monkeypatch):
-    monkeypatch.setattr(spatial, "CROWDED", 20)
+def test_crowded_cells_are_exact(frame):
     rng = random.Random(9)
     stations = [(f"s{i}", i, 50.8 + rng.random() * 5e-4, 4.3 + rng.random() * 5e-4) for i in range(80)] + [("away", 99, 50.9, 4.5)]
     sites = [(f"t{i}", 50.8 + rng.random() * 1e-3, 4.3 + rng.random() * 1e-3) for i in range(40)] + [("none", None, None), ("u", 50.91, 4.5)]
@@ -42,6 +41,26 @@ def test_crowded_cells_are_searched_again(frame, monkeypatch):
         assert got[site[0]] == min(stations, key=lambda s: (great_circle(site[1:], s[2:]), s[1]))[0]
 
 
+def test_one_far_cluster_and_a_long_diagonal_edge(frame):
+    rng = random.Random(4)
+    stations = [(f"s{i}", i, 50.8 + rng.random() * 1e-2, 4.3 + rng.random() * 1e-2) for i in range(30)] + [(f"f{i}", 100 + i, 10.0 + rng.random() * 1e-3, 40.0) for i in range(5)]
+    sites = [(f"t{i}", 50.7 + rng.random() * 0.3, 4.2 + rng.random() * 0.3) for i in range(30)] + [("lost", 10.3, 40.2)]
+    rows = spatial.nearest_station(frame(sites, "id string, latitude double, longitude double"), frame(stations, "id string, ord int, latitude double, longitude double")).collect()
+    for row in rows:
+        site = next(s for s in sites if s[0] == row["id"])
+        assert row["nearest_station"] == min(stations, key=lambda s: (great_circle(site[1:], s[2:]), s[1]))[0]
+    edges = [("p", 0.0, 0.0, 7000.0, 7000.0), ("p", 7000.0, 7000.0, 7000.0, 0.0), ("p", 7000.0, 0.0, 0.0, 0.0)]
+    points = [(i, rng.random() * 9000 - 1000, rng.random() * 9000 - 1000) for i in range(60)]
+    got = spatial.distance_to_edges(frame(points, "id int, x double, y double"), ["id"], frame(edges, "poly_id string, x1 double, y1 double, x2 double, y2 double"))
+
+    def apart(x, y, x1, y1, x2, y2):
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+    for row in got.collect():
+        assert row["edge_distance"] == pytest.approx(min(apart(row["x"], row["y"], *e[1:]) for e in edges), abs=1e-6)
+
+
 def test_radius_counts_with_a_pile_of_incidents(frame):
     stations = [("a", "x", 50.80, 4.30), ("b", "y", 50.80, 4.303), ("far", "z", 50.9, 4.6)]
     incidents = [(50.80, 4.30, True)] * 40 + [(50.8003, 4.3001, False)] * 3 + [(50.8043, 4.30, False), (None, 4.3, True)]
