@@ -112,7 +112,9 @@ def nearest_station(sites: DataFrame, stations: DataFrame, cell_m: float = 31.25
     located = located.withColumns({"cx": lon_index(F.col("longitude")), "cy": F.floor(F.col("latitude") / F.lit(step_lat)).cast("bigint")})
     cells = (located.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("cx", "cy", "_cos").distinct()
              .select("cx", "cy", ((F.col("cx") + 0.5) * F.lit(step_lat) / F.col("_cos")).alias("px"), ((F.col("cy") + 0.5) * F.lit(step_lat)).alias("py")))
-    points = points.withColumn("_cos", F.cos(F.radians(lat_max)))
+    # A second copy on the other side of the 180th meridian; distances are the same for both.
+    other = F.when(F.col("slon") < 0, F.col("slon") + 360).otherwise(F.col("slon") - 360)
+    points = points.unionByName(points.withColumn("slon", other)).withColumn("_cos", F.cos(F.radians(lat_max)))
     targets = points.withColumns({"tx0": lon_index(F.col("slon")), "ty0": F.floor(F.col("slat") / F.lit(step_lat)).cast("bigint")})
     targets = targets.withColumns({"tx1": F.col("tx0"), "ty1": F.col("ty0")})
     stretch = F.lit(1.0) / F.cos(F.radians(lat_max))
@@ -140,7 +142,11 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
         return df.withColumns({"bx": F.floor(F.col(lon) * F.col("_cos") / F.lit(width)).cast("bigint"),
                                "by": F.floor(F.col(lat) / F.lit(width)).cast("bigint")}).drop("_cos")
 
-    near = indexed(right, "r_lat", "r_lon")
+    # What lies within a radius of the 180th meridian is offered on its other side as well.
+    margin = F.lit(2 * width) / F.col("_cos")
+    edge = right.withColumn("_cos", F.cos(F.radians(lat_max))).where(180 - F.abs("r_lon") <= margin).drop("_cos")
+    across = edge.withColumn("r_lon", F.when(F.col("r_lon") < 0, F.col("r_lon") + 360).otherwise(F.col("r_lon") - 360))
+    near = indexed(right.unionByName(across), "r_lat", "r_lon")
     near = near.withColumn("_b", _neighbours("bx", "by")).withColumns({"bx": F.col("_b.bx"), "by": F.col("_b.by")}).drop("_b")
     pairs = indexed(left, "l_lat", "l_lon").join(near, ["bx", "by"])
     pairs = pairs.withColumn("d", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))

@@ -41,6 +41,18 @@ def test_crowded_cells_are_exact(frame):
         assert got[site[0]] == min(stations, key=lambda s: (great_circle(site[1:], s[2:]), s[1]))[0]
 
 
+def test_across_the_180th_meridian(frame):
+    stations = [("west", "a", 0.0, -179.999, 1), ("east", "b", 0.0, 179.0, 2)]
+    sites = [("s", 0.0, 179.9995), ("t", 0.0, -179.2)]
+    table = frame(stations, "id string, street string, latitude double, longitude double, ord int")
+    rows = spatial.nearest_station(frame(sites, "id string, latitude double, longitude double"), table).collect()
+    assert {r["id"]: r["nearest_station"] for r in rows} == {"s": "west", "t": "west"}
+    assert next(r["distance_m"] for r in rows if r["id"] == "s") == pytest.approx(great_circle((0, 179.9995), (0, -179.999)), abs=0.06)
+    incidents = frame([(0.0, 179.9995, True), (0.0, 179.0, False)], "latitude double, longitude double, flagged boolean")
+    counts = {r["id"]: (r["within_inner"], r["within_outer"]) for r in spatial.radius_counts(incidents, table).collect()}
+    assert counts == {"west": (1, 1), "east": (1, 1)}
+
+
 def test_one_far_cluster_and_a_long_diagonal_edge(frame):
     rng = random.Random(4)
     stations = [(f"s{i}", i, 50.8 + rng.random() * 1e-2, 4.3 + rng.random() * 1e-2) for i in range(30)] + [(f"f{i}", 100 + i, 10.0 + rng.random() * 1e-3, 40.0) for i in range(5)]
