@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import rounded
 from terrascreen.functions.text import is_season
+from terrascreen.operators.ordering import ordinal
 
 # Slots per day in the source, the least total that counts as a measurement and
 # the season length in days.
@@ -99,6 +100,16 @@ def history_stats(slots: DataFrame, summary: DataFrame) -> DataFrame:
         "observations", "mean_count", "max_count", F.col("_c.m").alias("measured_features"), F.col("_c.u").alias("unmeasured_features"))
 
 
+def station_rows(summary: DataFrame) -> DataFrame:
+    """Features by descending mean, then name, numbered; unmeasured ones have no number and no mean.
+
+    The list of features is bounded by the stations of a network, and numbering keeps any size.
+    """
+    ranked = ordinal(summary.where("measured").select("feature", "mean_all", "min_day_mean", "max_day_mean"), [], [F.desc("mean_all"), F.col("feature")], "place")
+    rest = summary.where("not measured").select("feature", *[F.lit(None).cast("double").alias(c) for c in ("mean_all", "min_day_mean", "max_day_mean")], F.lit(None).cast("bigint").alias("place"))
+    return ranked.select(*rest.columns).unionByName(rest)
+
+
 def flow_context(sites: DataFrame, summary: DataFrame) -> DataFrame:
     """Site rows with the flow of their station; the mean is null unless the station is measured."""
     flow = summary.select(F.col("feature").alias("nearest_station"), F.col("measured").alias("_m"), F.col("mean_all").alias("_f"))

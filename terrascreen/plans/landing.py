@@ -161,6 +161,27 @@ def claim_ledger(t):
     return claims.claim_ledger(d, fixed.unionByName(number).unionByName(spoken).unionByName(gone))
 
 
+@query("claim_words", r"""SELECT doc_id, 'opening' AS claim, regexp_extract(text, '^([A-Za-z]+)', 1) AS quoted, CASE WHEN regexp_extract(text, '^([A-Za-z]+)', 1)='' THEN 'pattern_vanished' WHEN regexp_extract(text, '^([A-Za-z]+)', 1)='The' THEN 'ok' ELSE 'differs' END AS status
+    FROM documents WHERE doc_id % 3=0""")
+def claim_words(t):
+    ledger = t.documents.where(F.col("doc_id") % 3 == 0).select("doc_id", F.lit("opening").alias("claim"), F.lit("^([A-Za-z]+)").alias("pattern"), F.lit(0.0).alias("value"), F.lit(0.0).alias("tolerance"), F.lit("The").alias("word"))
+    return claims.claim_ledger(t.documents, ledger)
+
+
+@query("misplaced_references", """WITH p AS (SELECT page_id AS i, page_id % 4 AS f FROM pages), ok AS (SELECT 'docs/part'||f||'/page'||i||'.md' AS path FROM p WHERE i % 7>0),
+    r AS (SELECT 'docs/part'||f||'/page'||i||'.md' AS name, i % 6 AS k, CASE i % 6 WHEN 0 THEN './page'||i||'.md' WHEN 1 THEN '../part'||f||'/./page'||i||'.md' WHEN 2 THEN 'page'||i||'.md' WHEN 3 THEN 'docs/part'||f||'/' WHEN 4 THEN '../../docs/none/page'||i||'.md' ELSE '/served/'||i END AS token,
+     'docs/part'||f||'/page'||i||'.md' AS own, 'docs/part'||f AS folder FROM p)
+    SELECT name, token FROM r WHERE (k IN (0,1,2) AND own NOT IN (SELECT path FROM ok)) OR (k=3 AND NOT EXISTS (SELECT 1 FROM ok WHERE starts_with(path, folder||'/'))) OR k=4""")
+def misplaced_references(t):
+    i, f = F.col("page_id"), F.col("page_id") % 4
+    text = lambda *parts: F.concat(*[p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts])
+    own = text("docs/part", f, "/page", i, ".md")
+    token = (F.when(i % 6 == 0, text("./page", i, ".md")).when(i % 6 == 1, text("../part", f, "/./page", i, ".md")).when(i % 6 == 2, text("page", i, ".md"))
+             .when(i % 6 == 3, text("docs/part", f, "/")).when(i % 6 == 4, text("../../docs/none/page", i, ".md")).otherwise(text("/served/", i)))
+    found = t.pages.select(own.alias("name"), token.alias("token"))
+    return claims.misplaced_references(found, t.pages.where(i % 7 > 0).select(own.alias("path")))
+
+
 _REFS = r"""rf AS (SELECT DISTINCT page_id AS doc_id, regexp_extract(tk,'^[^#]*') AS token FROM (SELECT page_id, unnest(regexp_extract_all(html,'href="([^"]*)"',1)) AS tk FROM pages)),
  ok AS (SELECT * FROM rf WHERE token<>'' AND NOT (starts_with(token,'http:') OR starts_with(token,'https:') OR starts_with(token,'mailto:') OR starts_with(token,'javascript:') OR contains(token,'*') OR contains(token,'<') OR contains(token,'{') OR contains(token,'…'))),
  pa AS (SELECT DISTINCT token||'/index' AS path FROM ok WHERE length(token)%3<>0), ls AS (SELECT string_split(path,'/') AS l FROM pa), kn AS (SELECT DISTINCT array_to_string(l[1:n],'/') AS known FROM (SELECT l, unnest(generate_series(1,len(l))) AS n FROM ls))"""

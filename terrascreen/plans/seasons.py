@@ -49,6 +49,12 @@ def history_stats(t):
     return series.history_stats(slots, flow_summary(slots))
 
 
+@query("history_station_rows", sql("slots4", f"""{MIXED}, {_MIXED_FLOW} SELECT feature, CASE WHEN measured THEN mean_all END AS mean_all, CASE WHEN measured THEN min_day_mean END AS min_day_mean, CASE WHEN measured THEN max_day_mean END AS max_day_mean,
+    CASE WHEN measured THEN cast(row_number() OVER (PARTITION BY measured ORDER BY mean_all DESC, feature) AS bigint) END AS place FROM flow"""))
+def history_station_rows(t):
+    return series.station_rows(flow_summary(mixed_slots(t)))
+
+
 def season_sql(view: str, complete: bool = True) -> str:
     return f"""rf AS (SELECT cell, max(val) AS ref FROM {view} WHERE obs_day=DATE '{REFERENCE}' GROUP BY 1), se AS (SELECT c.*, year(obs_day) AS yr, ref FROM {view} c JOIN rf USING (cell) WHERE month(obs_day) IN (6,7,8)),
  ym AS (SELECT cell, yr, avg(val) AS m, sum(val) AS s, sum(low) AS sl, count(*) AS n, max(val) AS top, count(*) FILTER (WHERE val>={HOT}) AS hot, count(*) FILTER (WHERE low>={TROPICAL}) AS trop, count(*) FILTER (WHERE val<ref) AS below, max(ref) AS ref FROM se GROUP BY 1,2),

@@ -11,13 +11,16 @@ from terrascreen.functions.numbers import to_number
 def claim_ledger(texts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each claim's quoted number against its value; a pattern that no longer matches is a failure.
 
-    ``ledger`` has doc_id, claim, pattern, value, tolerance; ``texts`` has doc_id, text.
+    ``ledger`` has doc_id, claim, pattern, value, tolerance and may have ``word``: where that is not
+    null, the quoted text itself must equal it. ``texts`` has doc_id, text.
     """
     joined = ledger.join(texts.select("doc_id", "text"), "doc_id", "left")
     quoted = F.expr("regexp_extract(text, pattern, 1)")
-    rows = joined.select("doc_id", "claim", "value", "tolerance", F.col("text").isNull().alias("_gone"), quoted.alias("quoted"))
+    word = F.col("word") if "word" in ledger.columns else F.lit(None).cast("string")
+    rows = joined.select("doc_id", "claim", "value", "tolerance", word.alias("_word"), F.col("text").isNull().alias("_gone"), quoted.alias("quoted"))
     number = to_number(F.replace(F.col("quoted"), F.lit(","), F.lit("")))
-    status = (F.when(F.col("_gone"), "missing_document").when(F.col("quoted") == "", "pattern_vanished").when(number.isNull(), "not_a_number")
+    status = (F.when(F.col("_gone"), "missing_document").when(F.col("quoted") == "", "pattern_vanished")
+              .when(F.col("_word").isNotNull(), F.when(F.col("quoted") == F.col("_word"), "ok").otherwise("differs")).when(number.isNull(), "not_a_number")
               .when(F.abs(number - F.col("value")) <= F.col("tolerance"), "ok").otherwise("differs"))
     return rows.select("doc_id", "claim", "quoted", status.alias("status"))
 
@@ -39,6 +42,33 @@ def references(texts: DataFrame, text: str, pattern: str) -> DataFrame:
     return found.distinct()
 
 
+def normalised(folder, token):
+    """``token`` seen from ``folder`` when it starts with a dot, without ``.`` and ``..``; otherwise as it is."""
+    empty = F.array().cast("array<string>")
+    parts = F.split(F.concat_ws("/", folder, token), "/")
+    step = lambda path, part: (F.when((part == "") | (part == "."), path)
+                               .when((part == "..") & (F.size(path) > 0) & (F.element_at(path, -1) != ".."), F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))))
+                               .otherwise(F.concat(path, F.array(part))))
+    joined = F.array_join(F.aggregate(parts, empty, step), "/")
+    return F.when(token.startswith("."), joined).otherwise(token)
+
+
+def misplaced_references(found: DataFrame, paths: DataFrame, name: str = "name") -> DataFrame:
+    """References that resolve to nothing, seen from the document that makes them.
+
+    A token with a slash is a path (from the document's folder if it starts with a dot) or a folder
+    of one; a token without is the last part of some path; one that starts with a slash is not checked.
+    """
+    folder = F.regexp_replace(F.col(name), "/?[^/]*$", "")
+    rows = found.where(~F.col("token").startswith("/")).withColumn("_path", F.regexp_replace(normalised(folder, F.col("token")), "/+$", ""))
+    slash = F.col("token").contains("/")
+    bases = paths.select(F.regexp_extract("path", "([^/]*)$", 1).alias("_path")).distinct()
+    parts = F.split("path", "/")
+    folders = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_path")).distinct()
+    lost = rows.where(slash).join(folders, "_path", "left_anti").unionByName(rows.where(~slash).join(bases, "_path", "left_anti"))
+    return lost.select(name, "token")
+
+
 def unresolved_references(found: DataFrame, paths: DataFrame) -> DataFrame:
     """References that are neither a listed path nor a folder of one.
 
