@@ -83,8 +83,7 @@ def test_blocked_scan_previous_and_sum(skewed):
         assert all(got[(key, i)] == ((ids[n - 1] if n else None), n) for n, i in enumerate(ids))
 
 
-def test_leave_one_out_refuses_too_many_groups(frame):
+def test_leave_one_out_takes_every_group(frame):
     rows = [(i, f"d{i}", float(i), 1.0) for i in range(6)]
     panel = frame(rows, "cell int, district string, fine double, seasonal double")
-    with pytest.raises(Exception, match="too many groups"):
-        compare.leave_one_group_out(panel, max_groups=3).collect()
+    assert {r["omitted"]: r["n"] for r in compare.leave_one_group_out(panel).collect()} == {f"d{i}": 5 for i in range(6)}
