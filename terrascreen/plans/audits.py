@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrascreen.functions import geo
-from terrascreen.operators import keyed, quality, spatial
+from terrascreen.operators import keyed, quality, regions, series, spatial
 from terrascreen.operators.ordering import materialise
 from terrascreen.plans.expressions import laea_sql, lambert_sql
-from terrascreen.plans.joins import MIXED, NEAREST, RADIUS, _MIXED_FLOW, flow_summary, mixed_slots, nearest
+from terrascreen.plans.joins import _MIXED_FLOW, _SITE_STATION, MIXED, NEAREST, RADIUS, flow_summary, mixed_slots, nearest, site_station
 from terrascreen.plans.registry import query
 from terrascreen.plans.seasons import CUBE_METRICS, cube_metrics
 from terrascreen.plans.views import sql
@@ -230,3 +230,39 @@ def review_compile(t):
         say(F.lit("two sources")).alias("evidence_threshold"), say(F.lit("notes")).alias("review_notes"), say(F.lit("question")).alias("accepted_decision_question"),
         say(F.when(k % 15 == 1, " ").otherwise("tree")).alias("accepted_spatial_unit"), say(F.lit("distance")).alias("accepted_mobility_measure"), say(F.lit("summer")).alias("accepted_heat_period"))
     return quality.review_compile(reviews, base, ["heat_measure"])
+
+
+@query("dq_recompute_site_flow", sql("sites slots4", f"""{MIXED}, {_MIXED_FLOW}, {_SITE_STATION}, sfx AS (SELECT ss.id, ord, nearest_station, CASE WHEN coalesce(measured,false) THEN mean_all END AS flow_mean, coalesce(measured,false) AS has_flow FROM ss JOIN sites USING (id) LEFT JOIN flow ON nearest_station=feature)
+    SELECT 'not_stored' AS rule, id AS key FROM sfx WHERE ord%23=0 UNION ALL SELECT 'flow_mean', id FROM sfx WHERE ord%23>0 AND ord%17=0 AND flow_mean IS NOT NULL UNION ALL SELECT 'has_flow', id FROM sfx WHERE ord%23>0 AND ord%19=0
+    UNION ALL SELECT 'unmeasured_station', feature FROM flow WHERE NOT measured AND feature<'f'"""))
+def dq_recompute_site_flow(t):
+    """Site rows against the flow of their station, and the list of unmeasured stations."""
+    summary = materialise(flow_summary(mixed_slots(t)), "flow")
+    fresh = series.flow_context(site_station(t), summary)
+    at = fresh.join(t.views.sites.select("id", "ord"), "id")
+    stored = at.where("ord % 23 > 0").withColumns({"flow_mean": F.col("flow_mean") + F.when(F.col("ord") % 17 == 0, 1).otherwise(0), "has_flow": F.when(F.col("ord") % 19 == 0, ~F.col("has_flow")).otherwise(F.col("has_flow"))})
+    rows = quality.compare_tables(stored, fresh, ["id"], {"flow_mean": 1e-9, "has_flow": None})
+    unmeasured = summary.where("not measured").select("feature")
+    listed = keyed.id_set_equality(unmeasured.where("feature >= 'f'"), unmeasured, "feature")
+    return rows.unionByName(listed.select(F.lit("unmeasured_station").alias("rule"), F.col("feature").alias("key")))
+
+
+@query("dq_recompute_year_histogram", sql("incidents", """h AS (SELECT yr, count(*) AS n, count(*) FILTER (WHERE flagged) AS f FROM incidents GROUP BY yr)
+    SELECT 'not_stored' AS rule, min(yr) AS key FROM h UNION ALL SELECT 'n', yr FROM h WHERE cast(yr AS int)%2=1 AND yr>(SELECT min(yr) FROM h) UNION ALL SELECT 'f', max(yr) FROM h UNION ALL SELECT 'not_recomputed', '1900' FROM (SELECT count(*) AS c FROM h) WHERE c>0"""))
+def dq_recompute_year_histogram(t):
+    """Stored incidents per year against a fresh count: a lost year, an invented one and wrong numbers."""
+    fresh = materialise(t.views.incidents.groupBy("yr").agg(F.count("*").alias("n"), F.count_if("flagged").alias("f")), "years")
+    ends = fresh.agg(F.struct(F.min("yr").alias("lo"), F.max("yr").alias("hi")).alias("e")).scalar()
+    marked = fresh.withColumn("e", ends)
+    stored = marked.where(F.col("yr") > F.col("e.lo")).select("yr", (F.col("n") + F.col("yr").cast("int") % 2).alias("n"), (F.col("f") + F.when(F.col("yr") == F.col("e.hi"), 1).otherwise(0)).alias("f"))
+    invented = fresh.agg(F.lit("1900").alias("yr"), F.count("*").alias("n"), F.count("*").alias("f"))
+    return quality.compare_tables(stored.unionByName(invented), fresh, ["yr"], {"n": None, "f": None})
+
+
+@query("dq_recompute_region", sql("cube5", f"""{CUBE_METRICS}, g AS (SELECT count(*) AS n, max(seasonal_mean)-min(seasonal_mean) AS s FROM cube_m) SELECT 'cells' AS rule, 'region' AS key FROM g WHERE n>0 UNION ALL SELECT 'percentile_mean', 'region' FROM g WHERE n>0"""))
+def dq_recompute_region(t):
+    """The stored summary of a region, its extremes and spreads included, against a fresh one."""
+    fresh = materialise(regions.region_summary(cube_metrics(t)).withColumn("scope", F.lit("region")), "region")
+    stored = fresh.withColumns({"cells": F.col("cells") + 1, "percentile_mean": F.col("percentile_mean") - 0.5})
+    measures = {c: None if c == "cells" else 1e-9 for c in fresh.columns if c != "scope"}
+    return quality.compare_tables(stored, fresh, ["scope"], measures)
