@@ -11,6 +11,7 @@ from terrascreen.llm.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[^a-z0-9]+"
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence[s
               .groupBy("token").agg(F.count("*").alias("n")))
     index = (wanted.join(counts, "token", "left").groupBy("rule", "verdict", "pattern", "rank")
              .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token")))
-    fetched = distinct.select("url", "address", F.explode("tokens").alias("token")).join(index, "token")
+    # A token of every address would meet its rules in one task; each is dealt to SALTS places, where the rules are repeated.
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = distinct.select("url", "address", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("tokens").alias("token"))
+    fetched = asked.join(salted, ["token", "salt"])
     lowered = F.translate("address", UPPER, LOWER)
     target = F.when(F.col("rank") > 0, F.col("address")).otherwise(lowered)
     best = (fetched.where(F.regexp_like(target, F.col("pattern"))).groupBy("url")
