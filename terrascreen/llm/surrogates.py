@@ -155,7 +155,7 @@ def dressed(kind: str, mention: str, value: str) -> str:
         signs = iter(value)
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     if kind == "email":
-        return value.upper() if mention.isupper() else value
+        return "@".join(new.upper() if old.isupper() else new for old, new in zip(mention.split("@"), value.split("@")))
     if kind.startswith("surname-"):
         return value.upper() if mention.isupper() else value[:1].upper() + value[1:]
     return value

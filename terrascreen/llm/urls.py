@@ -81,8 +81,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence[s
     fold = F.concat(host_of(F.col("url")), F.substring(_rest(F.col("url")), F.length(host_of(F.col("url"))) + 1, F.length("url")))
     distinct = written(source.select("url").distinct().select("url", fold.alias("address"), F.array_distinct(F.split(low, SEPARATORS)).alias("tokens")), "url-tokens")
     wanted = rules.select("rule", "verdict", "pattern", "rank", F.explode("tokens").alias("token"))
-    counts = (distinct.select(F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-              .groupBy("token").agg(F.count("*").alias("n")))
+    counts = distinct.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     index = (wanted.join(counts, "token", "left").groupBy("rule", "verdict", "pattern", "rank")
              .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token")))
     # A token of every address would meet its rules in one task; each is dealt to SALTS places, where the rules are repeated.
