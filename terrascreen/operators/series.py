@@ -154,7 +154,7 @@ def season_metrics(daily: DataFrame, reference_day: str, hot: float, tropical: f
     yearly = season.groupBy("cell", "yr").agg(
         F.avg("val").alias("year_mean"), F.sum("val").alias("s"), F.sum("low").alias("s_low"), F.count("*").alias("n"),
         F.max("val").alias("top"), F.count_if(F.col("val") >= hot).alias("hot"), F.count_if(F.col("low") >= tropical).alias("trop"),
-        F.count_if(F.col("val") < F.col("ref")).alias("below"), F.max("ref").alias("ref"))
+        F.when(F.max("ref").isNotNull(), F.count_if(F.col("val") < F.col("ref"))).alias("below"), F.max("ref").alias("ref"))
     cells = yearly.groupBy("cell").agg(
         F.count("*").alias("seasons"), F.sum("n").alias("season_days"), F.min("n").alias("_min_n"), F.max("n").alias("_max_n"),
         rounded(F.sum("s") / F.sum("n"), 2).alias("seasonal_mean"), rounded(F.sum("s_low") / F.sum("n"), 2).alias("seasonal_low_mean"),
@@ -187,7 +187,7 @@ def cube_season_metrics(daily: DataFrame, reference_day: str, hot: float) -> Dat
     pooled = season.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("ref").alias("ref"), F.avg("val").alias("mean"), F.max("val").alias("top"), F.min("val").alias("bottom"),
         F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY val)").alias("p90"), F.count_if(F.col("val") >= hot).alias("hot"),
-        F.count_if(F.col("val") < F.col("ref")).alias("below"))
+        F.when(F.max("ref").isNotNull(), F.count_if(F.col("val") < F.col("ref"))).alias("below"))
     return pooled.join(hottest, "cell").select(
         "cell", rounded("ref", 2).alias("reference_value"), rounded("mean", 2).alias("seasonal_mean"), rounded("top", 2).alias("seasonal_max"),
         rounded("p90", 2).alias("seasonal_p90"), rounded("bottom", 2).alias("seasonal_min"),

@@ -134,7 +134,7 @@ def dq_recompute_cube(t):
 
 
 @query("dq_percentile_rank", sql("cube5", f"""{CUBE_METRICS}, z AS (SELECT cell, count(*) AS n FROM se GROUP BY 1), p AS (SELECT cell, reference_percentile + CASE WHEN cell%2=1 THEN 1 ELSE 0 END AS pc, reference_rank, n FROM cube_m JOIN z USING (cell))
-    SELECT 'percentile_rank' AS rule, cast(cell AS varchar) AS key FROM p WHERE abs(pc-100.0*(reference_rank-1)/n)>0.05+1e-9"""))
+    SELECT 'percentile_rank' AS rule, cast(cell AS varchar) AS key FROM p WHERE coalesce(abs(pc-100.0*(reference_rank-1)/n)>0.05+1e-9, true)"""))
 def dq_percentile_rank(t):
     sizes = t.views.cube(5).where(F.month("obs_day").isin(6, 7, 8)).groupBy("cell").agg(F.count("*").alias("n"))
     rows = cube_metrics(t).join(sizes, "cell").withColumn("reference_percentile", F.col("reference_percentile") + F.when(F.col("cell") % 2 == 1, 1).otherwise(0))

@@ -56,8 +56,8 @@ def history_station_rows(t):
 
 
 def season_sql(view: str, complete: bool = True) -> str:
-    return f"""rf AS (SELECT cell, max(val) AS ref FROM {view} WHERE obs_day=DATE '{REFERENCE}' GROUP BY 1), se AS (SELECT c.*, year(obs_day) AS yr, ref FROM {view} c JOIN rf USING (cell) WHERE month(obs_day) IN (6,7,8)),
- ym AS (SELECT cell, yr, avg(val) AS m, sum(val) AS s, sum(low) AS sl, count(*) AS n, max(val) AS top, count(*) FILTER (WHERE val>={HOT}) AS hot, count(*) FILTER (WHERE low>={TROPICAL}) AS trop, count(*) FILTER (WHERE val<ref) AS below, max(ref) AS ref FROM se GROUP BY 1,2),
+    return f"""rf AS (SELECT cell, max(val) AS ref FROM {view} WHERE obs_day=DATE '{REFERENCE}' GROUP BY 1), se AS (SELECT c.*, year(obs_day) AS yr, ref FROM {view} c LEFT JOIN rf USING (cell) WHERE month(obs_day) IN (6,7,8)),
+ ym AS (SELECT cell, yr, avg(val) AS m, sum(val) AS s, sum(low) AS sl, count(*) AS n, max(val) AS top, count(*) FILTER (WHERE val>={HOT}) AS hot, count(*) FILTER (WHERE low>={TROPICAL}) AS trop, CASE WHEN max(ref) IS NOT NULL THEN count(*) FILTER (WHERE val<ref) END AS below, max(ref) AS ref FROM se GROUP BY 1,2),
  sm AS (SELECT cell, cast(count(*) AS bigint) AS seasons, cast(sum(n) AS bigint) AS season_days, {rnd('sum(s)/sum(n)', 2)} AS seasonal_mean, {rnd('sum(sl)/sum(n)', 2)} AS seasonal_low_mean, {rnd('max(m)-min(m)', 2)} AS spread_across_years,
   cast(arg_min(yr, {{'a':-m,'b':yr}}) AS varchar) AS hottest_year, {rnd('max(m)', 2)} AS hottest_year_mean, {rnd('max(top)', 1)} AS warmest, {rnd('avg(hot)', 1)} AS hot_days_per_season, {rnd('avg(trop)', 1)} AS tropical_nights_per_season, {rnd('max(ref)', 1)} AS reference_value,
   {rnd('max(m) FILTER (WHERE yr=1996)', 2)} AS reference_season_mean, cast(max(below) FILTER (WHERE yr=1996)+1 AS bigint) AS reference_rank, {rnd('100.0*max(below) FILTER (WHERE yr=1996)/max(n) FILTER (WHERE yr=1996)', 1)} AS reference_percentile,
@@ -73,10 +73,10 @@ def season_metrics(t):
     return _season(t)
 
 
-CUBE_METRICS = f"""rf AS (SELECT cell, max(val) AS ref FROM cube5 WHERE obs_day=DATE '{REFERENCE}' GROUP BY 1), se AS (SELECT c.*, year(obs_day) AS yr, ref FROM cube5 c JOIN rf USING (cell) WHERE month(obs_day) IN (6,7,8)),
+CUBE_METRICS = f"""rf AS (SELECT cell, max(val) AS ref FROM cube5 WHERE obs_day=DATE '{REFERENCE}' GROUP BY 1), se AS (SELECT c.*, year(obs_day) AS yr, ref FROM cube5 c LEFT JOIN rf USING (cell) WHERE month(obs_day) IN (6,7,8)),
  ym AS (SELECT cell, yr, avg(val) AS m FROM se GROUP BY 1,2), hy AS (SELECT cell, count(*) AS seasons, cast(arg_min(yr, {{'a':-m,'b':yr}}) AS varchar) AS hottest_year, {rnd('max(m)', 2)} AS hottest_year_mean FROM ym GROUP BY 1),
  cm AS (SELECT cell, {rnd('max(ref)', 2)} AS reference_value, {rnd('avg(val)', 2)} AS seasonal_mean, {rnd('max(val)', 2)} AS seasonal_max, {rnd('quantile_disc(val,0.9)', 2)} AS seasonal_p90, {rnd('min(val)', 2)} AS seasonal_min, count(*) FILTER (WHERE val>={HOT}) AS hot,
-  cast(count(*) FILTER (WHERE val<ref)+1 AS bigint) AS reference_rank, {rnd('100.0*count(*) FILTER (WHERE val<ref)/count(*)', 1)} AS reference_percentile FROM se GROUP BY 1),
+  CASE WHEN max(ref) IS NOT NULL THEN cast(count(*) FILTER (WHERE val<ref)+1 AS bigint) END AS reference_rank, CASE WHEN max(ref) IS NOT NULL THEN {rnd('100.0*count(*) FILTER (WHERE val<ref)/count(*)', 1)} END AS reference_percentile FROM se GROUP BY 1),
  cube_m AS (SELECT cell, reference_value, seasonal_mean, seasonal_max, seasonal_p90, seasonal_min, {rnd('hot/seasons::double', 2)} AS hot_days_per_season, reference_rank, reference_percentile, hottest_year, hottest_year_mean FROM cm JOIN hy USING (cell))"""
 
 
