@@ -12,8 +12,8 @@ PATTERNS = {
     "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{12,}",
     "hex": r"[0-9a-f]{32,}",
-    "identifier": r"""(?i)\b(?:user(?:name)?|login|account|client_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""",
-    "opaque": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])",
+    "identifier": r"""(?i)\b(?:user(?:name)?|login|account|client_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
+    "opaque": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])",
     "endpoint": r"""(?i)\b(?:https?|ftps?|ssh|ldaps?|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]{4,}|(?i)\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+(?:\.[a-z0-9-]+)+""",
 }
 KINDS = tuple(PATTERNS)

@@ -163,3 +163,11 @@ def test_collisions_draw_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, value, attempt, key: "abcdefghijk"[hashlib.sha256(f"{value}/{attempt}".encode()).digest()[0] % 11])
     found = surrogates.assigned(crowded, b"k").collect()
     assert len(found) == 8 == len({r.surrogate for r in found})
+
+
+def test_long_secrets_are_found_and_masked_whole(spark):
+    secret, user = OPAQUE * 8, "u" * 150
+    docs = spark.createDataFrame(rows((1, f"user: {user} then {secret} end")), SCHEMA)
+    assert len(secret) > 300
+    assert [(secrets.KINDS[s.kind], s.start, s.end) for s in secrets.scan(docs).first().spans] == [("identifier", 0, 156), ("opaque", 162, 162 + len(secret))]
+    assert secrets.masked(docs).first().text == "[SECRET] then [SECRET] end"
