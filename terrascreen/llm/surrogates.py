@@ -40,7 +40,9 @@ NUMBERS = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d))")
-PERSON = re.compile(rf"(?P<title>\b{TITLES}\x20)?(?P<first>\b{NAME})(?:\x20(?P<last>{NAME}))?")
+LISTED = "|".join(sorted(GROUP_OF, key=len, reverse=True))
+PERSON = re.compile(rf"(?:(?P<title>\b{TITLES}\x20)(?P<name>{NAME})|(?<![\w'’-])(?P<first>{LISTED})(?![\w'’-]))(?P<rest>(?:\x20{NAME})*)")
+WORD = re.compile(rf"(?<![\w'’-]){NAME}")
 PAIR = re.compile(rf"{CAPITAL}\w+\.?\x20{CAPITAL}")
 DIGIT = re.compile(r"[0-9]")
 
@@ -62,6 +64,11 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
 
 
+def bare(word: str) -> str:
+    """A name without a possessive ending."""
+    return word[:-2] if len(word) > 3 and word.endswith(("'s", "’s")) else word
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, canonical`` of all entities, in order and without overlaps; numbers that fail their checks are none."""
     found = []
@@ -81,14 +88,20 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             found.append((m.start(), m.end(), kind, plain))
     if PAIR.search(text):
+        surnames = set()
         for m in PERSON.finditer(text):
-            first, last, title = m["first"], m["last"], m["title"]
-            if first in GROUP_OF and (last or title):
-                found.append((m.start("first"), m.end("first"), "given-" + GROUP_OF[first], first))
-                if last:
-                    found.append((m.start("last"), m.end("last"), "surname-" + script_of(last), last.lower()))
-            elif title:
-                found.append((m.start("first"), m.end("first"), "surname-" + script_of(first), first.lower()))
+            if m["title"] or m["rest"]:
+                for w in WORD.finditer(text, m.start("name" if m["title"] else "first"), m.end()):
+                    word = bare(w[0])
+                    if word in GROUP_OF:
+                        found.append((w.start(), w.start() + len(word), "given-" + GROUP_OF[word], word))
+                    else:
+                        found.append((w.start(), w.start() + len(word), "surname-" + script_of(word), word.lower()))
+                        surnames.add(word)
+        if surnames:
+            for w in WORD.finditer(text):
+                if (word := bare(w[0])) in surnames:
+                    found.append((w.start(), w.start() + len(word), "surname-" + script_of(word), word.lower()))
     found.sort()
     kept, end = [], 0
     for item in found:

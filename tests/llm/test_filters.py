@@ -171,3 +171,10 @@ def test_long_secrets_are_found_and_masked_whole(spark):
     assert len(secret) > 300
     assert [(secrets.KINDS[s.kind], s.start, s.end) for s in secrets.scan(docs).first().spans] == [("identifier", 0, 156), ("opaque", 162, 162 + len(secret))]
     assert secrets.masked(docs).first().text == "[SECRET] then [SECRET] end"
+
+
+def test_names_after_other_capitals_and_later_mentions():
+    text = "Contact Mary Smith. Yesterday John Brown met Mary Jane Miller, and Smith's friend Brown left. Mark said so."
+    found = [(text[s:e], kind) for s, e, kind, _ in surrogates.find(text)]
+    assert found == [("Mary", "given-latin-f"), ("Smith", "surname-latin"), ("John", "given-latin-m"), ("Brown", "surname-latin"), ("Mary", "given-latin-f"),
+                     ("Jane", "surname-latin"), ("Miller", "surname-latin"), ("Smith", "surname-latin"), ("Brown", "surname-latin")]
