@@ -130,13 +130,16 @@ class Draw:
 
 
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
-    """The canonical surrogate of a canonical value: same kind, same shape, checks kept."""
-    draw = Draw(key, kind, value, attempt)
+    """The canonical surrogate of a canonical value: same kind, same shape, checks kept.
+
+    Addresses and surnames grow with the attempts, so there are always enough of them.
+    """
+    draw, longer = Draw(key, kind, value, attempt), attempt // 4
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
         fixed = 2 if labels[-2] == "example" else 1
-        return draw.like(local) + "@" + ".".join([*map(draw.like, labels[:-fixed]), *labels[-fixed:]])
+        return draw.like(local) + draw.like("x" * longer) + "@" + ".".join([*map(draw.like, labels[:-fixed]), *labels[-fixed:]])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
@@ -158,7 +161,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         ring = sorted(names, key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
         return ring[(ring.index(value) + 1) % len(ring)]
     onsets, vowels, ends = SYLLABLES[kind.removeprefix("surname-")]
-    size = max(2, min(4, len(value) // 3))
+    size = max(2, min(4, len(value) // 3)) + longer
     return "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(size)) + ends[draw.below(len(ends))]
 
 

@@ -178,3 +178,9 @@ def test_names_after_other_capitals_and_later_mentions():
     found = [(text[s:e], kind) for s, e, kind, _ in surrogates.find(text)]
     assert found == [("Mary", "given-latin-f"), ("Smith", "surname-latin"), ("John", "given-latin-m"), ("Brown", "surname-latin"), ("Mary", "given-latin-f"),
                      ("Jane", "surname-latin"), ("Miller", "surname-latin"), ("Smith", "surname-latin"), ("Brown", "surname-latin")]
+
+
+def test_more_values_than_the_short_pool_holds(spark):
+    values = [("surname-greek", f"αβ{i}") for i in range(2500)] + [("email", f"{chr(97 + i)}@example.com") for i in range(26)]
+    found = surrogates.assigned(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len(found) == len(values) == len({(r.kind, r.surrogate) for r in found}) and not {(r.kind, r.surrogate) for r in found} & set(values)
