@@ -19,6 +19,8 @@ BITS = 24
 SHARD_ROWS = 16_384
 #: Candidates fetched per query and shard, repeats between trees included, as a share of the shard.
 FETCHED = 1.0
+#: Different candidates per query and shard, in multiples of k, at least; a shard with fewer rows is searched in full.
+LEAST_TIMES = 8
 
 
 def usable(vector: str) -> Column:
@@ -42,18 +44,27 @@ class Forest:
             order = np.argsort(strings, kind="stable").astype(np.int32)
             self.orders.append(order)
             self.strings.append(strings[order])
+        self.places = np.array([np.argsort(order) for order in self.orders])
+        self.rows = {row.tobytes(): i for i, row in enumerate(vectors)}
 
     @staticmethod
     def _strings(lifted: np.ndarray, planes: np.ndarray) -> np.ndarray:
         bits = lifted @ planes > 0
         return bits @ (1 << np.arange(planes.shape[1] - 1, -1, -1, dtype=np.int64))
 
-    def candidates(self, queries: np.ndarray, wanted: float) -> Iterator[np.ndarray]:
-        """Row numbers fetched for each query."""
+    def _fetched(self, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(self.vectors), bool)
+        for t, order in enumerate(self.orders):
+            found[order[lows[t]:highs[t]]] = True
+        return found
+
+    def candidates(self, queries: np.ndarray, wanted: float, least: int) -> Iterator[np.ndarray]:
+        """Row numbers fetched for each query: ``wanted`` with repeats and ``least`` different ones, its own row not counted, or all rows."""
         lifted = np.c_[queries, np.zeros(len(queries))]
         bits = self.planes.shape[2]
         mine = np.array([self._strings(lifted, planes) for planes in self.planes])
         lows, highs = np.zeros(mine.shape, np.int32), np.zeros(mine.shape, np.int32)
+        own = np.array([self.rows.get(q.tobytes(), -1) for q in queries])
         open_ones = np.arange(len(queries))
         for length in range(bits, -1, -1):
             free = bits - length
@@ -62,14 +73,17 @@ class Forest:
                 lows[t, open_ones] = np.searchsorted(strings, begin)
                 highs[t, open_ones] = np.searchsorted(strings, begin + (1 << free))
             held = (highs[:, open_ones].astype(np.int64) - lows[:, open_ones]).sum(axis=0)
-            open_ones = open_ones[held < wanted]
+            places = self.places[:, own[open_ones]]
+            mine_too = (lows[:, open_ones] <= places) & (places < highs[:, open_ones]) & (own[open_ones] >= 0)
+            done = held - mine_too.sum(axis=0) >= wanted
+            for i in np.flatnonzero(done):
+                q = open_ones[i]
+                done[i] = self._fetched(lows[:, q], highs[:, q]).sum() - mine_too[:, i].any() >= least
+            open_ones = open_ones[~done]
             if not len(open_ones):
                 break
         for q in range(len(queries)):
-            found = np.zeros(len(self.vectors), bool)
-            for t, order in enumerate(self.orders):
-                found[order[lows[t, q]:highs[t, q]]] = True
-            yield np.flatnonzero(found)
+            yield np.flatnonzero(self._fetched(lows[:, q], highs[:, q]))
 
 
 def _searcher(trees: int, bits: int, fetched: float, k: int):
@@ -95,7 +109,7 @@ def _searcher(trees: int, bits: int, fetched: float, k: int):
                     forest, names = Forest(np.concatenate(parts), trees, bits, 11), [np.concatenate(names)]
                 out = [[], [], []]
                 asked = vectors[lo:hi]
-                for q, near in enumerate(forest.candidates(asked, min(1.0 * len(forest.vectors) * trees, max(fetched * len(forest.vectors), 4 * k)))):
+                for q, near in enumerate(forest.candidates(asked, min(1.0 * len(forest.vectors) * trees, max(fetched * len(forest.vectors), 4 * k)), LEAST_TIMES * k)):
                     scores = np.einsum("ij,j->i", forest.vectors[near], asked[q])
                     if len(near) > k + 1:
                         best = scores >= np.partition(scores, -k - 1)[-k - 1]

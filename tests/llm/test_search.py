@@ -91,3 +91,12 @@ def test_recall_over_several_shards(spark, monkeypatch):
     found = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()}
     wanted = {(q, v) for q, _, v in plain(values, set(range(0, 1200, 20)), 20)}
     assert len(found & wanted) >= 0.9 * len(wanted)
+
+
+def test_small_tables_are_whole_with_default_parameters(spark):
+    rng = np.random.default_rng(10)
+    for n in (10, 21, 60, 100):
+        values = [(i, rng.normal(size=16).tolist()) for i in range(n)]
+        df = vectors(spark, values)
+        found = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, df).collect())
+        assert found == plain(values, set(range(n)), 20)
