@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, licenses, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
+from terrascreen.llm import bpe, licenses, manifest, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,56 @@ def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     swapped = surrogates.replaced(table(spark, folder, "documents"), b"terrascreen surrogate key")
     return swapped.select("doc_id", F.size("entities").cast("bigint").alias("n_entities"),
                           F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",").alias("entities"), "text")
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _manifest_sql() -> str:
+    def leaf(*values: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(({v})::varchar) || ':' || ({v})::varchar, '-')" for v in values) + ")"
+
+    def tree(name: str, leaves: str, key: str) -> str:
+        """All levels of the trees over ``leaves(key, spot, h, n)``."""
+        return f"""{name} as (select {key}, 0 as lv, spot, h, n from {leaves} union all
+          select {key}, lv + 1, spot // 2, sha256(string_agg(h, '' order by spot)), (any_value(n) + 1) // 2 from {name} where n > 1 group by {key}, lv, spot // 2)"""
+
+    def runs(levels: str, leaves: str, key: str, part: int) -> str:
+        return f"""select l.row_nr, {part} as part, u.lv, coalesce(s.h, '') as h, (l.spot >> u.lv) & 1 as odd
+          from {leaves} as l join (select distinct {key}, lv from {levels} where n > 1) as u on l.{key} is not distinct from u.{key}
+          left join {levels} as s on s.{key} is not distinct from l.{key} and s.lv = u.lv and s.spot = xor(l.spot >> u.lv, 1)"""
+
+    plain, tampered = leaf(*LEAF_COLUMNS), leaf("doc_id", "source", "lang", "n_chars + 1", "text")
+    return f"""with recursive crc as (select i, i as v, 0 as step from range(256) as t(i) union all
+        select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, step + 1 from crc where step < 8),
+      crc_table as (select list(v order by i) as entries from crc where step = 8),
+      given as (select *, row_number() over () as row_nr, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ord(c)::bigint for c in string_split(doc_id::varchar, '')]),
+        lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) as sum32 from documents, crc_table),
+      leaves as (select row_nr, doc_id, lang, {plain} as h, case when sum32 % 7 = 0 then {tampered} else {plain} end as changed,
+        row_number() over (partition by lang order by doc_id nulls first, {plain}) - 1 as spot, count(*) over (partition by lang) as n from given),
+      {tree("up", "leaves", "lang")},
+      subroots as (select lang, h, row_number() over (order by lang nulls first) - 1 as spot, count(*) over () as n, 0 as one from up where n = 1),
+      {tree("top", "subroots", "one")},
+      rooted as (select l.row_nr, l.doc_id, l.h as leaf, l.changed, s.h as subroot, s.spot, 0 as one from leaves as l join subroots as s on l.lang is not distinct from s.lang),
+      steps as ({runs("up", "leaves", "lang", 0)} union all {runs("top", "rooted", "one", 1)}),
+      proofs as (select row_nr, string_agg(h, '' order by part, lv) as siblings,
+        list({{'b': case when odd = 1 then h else '' end, 'a': case when odd = 1 then '' else h end}} order by part, lv) as steps from steps group by row_nr),
+      folded as (select r.*, coalesce(siblings, '') as siblings, list_reduce(list_prepend({{'b': changed, 'a': ''}}, coalesce(steps, [])),
+        lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b as folded_root from rooted as r left join proofs as p on r.row_nr = p.row_nr)
+    select doc_id, leaf, subroot, root, sha256(siblings) as proof_sha256, folded_root, folded_root = root as verified
+    from folded, (select h as root from top where n = 1) as t"""
+
+
+@query("op13_dataset_manifest", _manifest_sql())
+def dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof, and whether a copy in which some rows are tampered with still leads to the root."""
+    docs = table(spark, folder, "documents")
+    columns = [F.col(c) for c in LEAF_COLUMNS]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = manifest.leaf_digest(*[c + 1 if n == "n_chars" else c for n, c in zip(LEAF_COLUMNS, columns)])
+    docs = docs.withColumn("changed", F.when(touched, changed))
+    signed = manifest.manifest(docs, LEAF_COLUMNS, "lang", "doc_id", keep=("doc_id", "changed"))
+    siblings = F.array_join(F.transform("proof", lambda run: F.concat(run["before"], run["after"])), "")
+    signed = signed.withColumn("folded_root", manifest.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    return signed.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
