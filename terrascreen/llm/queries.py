@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, licenses, manifest, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
+from terrascreen.llm import bpe, lexical, licenses, manifest, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,26 @@ def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
                           F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",").alias("entities"), "text")
 
 
+def _lexical_sql() -> str:
+    words = lambda text: f"regexp_extract_all(translate({text}, '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""with given as (select row_number() over () as nr, doc_id, {words("text")} as terms from documents where text is not null),
+      sizes as (select nr, doc_id, len(terms)::bigint as n, terms from given where len(terms) > 0),
+      totals as (select count(*) as docs, sum(n)::bigint as total from sizes),
+      counted as (select nr, t, count(*) as tf from (select nr, unnest(terms) as t from sizes) group by nr, t),
+      weights as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counted, totals group by t, docs),
+      asked as (select nr, item_id, t, count(*) as times from (select row_number() over () as nr, item_id, unnest({words("text")}) as t from benchmark) group by all),
+      scored as (select a.nr, a.item_id, s.nr as doc_nr, s.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score
+        from asked as a join counted as c on a.t = c.t join weights as w on w.t = a.t join sizes as s on s.nr = c.nr, totals group by all),
+      ranked as (select item_id, row_number() over (partition by nr order by score desc, doc_id nulls last) as rank, doc_id, score from scored where score > 0)
+    select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10"""
+
+
+@query("op11_lexical_search", _lexical_sql())
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
