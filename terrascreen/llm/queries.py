@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascreen.llm import bpe, lexical, licenses, manifest, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
+from terrascreen.llm import bpe, language_model, lexical, licenses, manifest, merkle, neighbours, packing, secrets, simhash, surrogates, toxicity, urls
 from terrascreen.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,19 @@ def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def aside():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+
+
+@query("op12_recurrent_scores")
+def recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents; the network has learnt from those that are not held out. A missing id is learnt from."""
+    docs = table(spark, folder, "documents")
+    model = language_model.fit(docs, ~F.coalesce(aside(), F.lit(False)))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", F.coalesce(aside(), F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
