@@ -6,12 +6,15 @@ class and, in the first classes, a word within the class, both by softmax of the
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 Parameters = dict[str, np.ndarray]
+#: Largest exponent of a softmax.
+HIGHEST = 60.0
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ def initial(shape: Shape, class_logs: np.ndarray, member_logs: np.ndarray, seed:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; where exp overflows the value is 0, as it should."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -69,13 +73,10 @@ class Window:
             before = np.multiply(state, goes_on[t][:, None], out=self.before[t])
             gate = np.matmul(before, p["gates"], out=self.gate[t])
             gate += entered[t, :, :2 * size]
-            # Sums stay far from where exp overflows.
-            np.clip(gate, -30, 30, out=gate)
             _sigmoid(gate)
             reset = np.multiply(gate[:, size:], before, out=self.reset[t])
             new = np.matmul(reset, p["inner"], out=self.new[t])
             new += entered[t, :, 2 * size:]
-            np.clip(new, -15, 15, out=new)
             _tanh(new)
             state = np.subtract(before, new, out=self.after[t])
             state *= gate[:, :size]
@@ -90,19 +91,21 @@ class Window:
         p, found = self.p, {}
         size = self.state.shape[1]
         states, classes, members = self.after.reshape(-1, size), classes.ravel(), members.ravel()
-        logits = states @ p["classes"] + p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
+        logits = states @ p["classes"]
+        logits += p["class_bias"]
+        # States lie within 1, so weights would have to be huge to come here; below the limit no sum of exp overflows.
+        np.minimum(logits, HIGHEST, out=logits)
         at = np.arange(len(classes))
-        logs = logits[at, classes].copy()
+        logs = logits[at, classes]
         np.exp(logits, out=logits)
-        sums = logits.sum(1)
+        sums = logits @ np.ones(logits.shape[1], np.float32)
         logs -= np.log(sums)
         flow = None
         if weights is not None:
             weights = weights.ravel().astype(np.float32)
             logits *= (weights / sums)[:, None]
             logits[at, classes] -= weights
-            found["classes"], found["class_bias"] = states.T @ logits, logits.sum(0)
+            found["classes"], found["class_bias"] = states.T @ logits, np.ones(len(logits), np.float32) @ logits
             flow = logits @ p["classes"].T
             found["words"], found["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
         inside = np.flatnonzero(members >= 0)
@@ -111,17 +114,18 @@ class Window:
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[c]:bounds[c + 1]]
             own, picked = states[rows], members[rows]
-            inner = own @ p["words"][c] + p["word_bias"][c]
-            inner -= inner.max(1, keepdims=True)
+            inner = own @ p["words"][c]
+            inner += p["word_bias"][c]
+            np.minimum(inner, HIGHEST, out=inner)
             spot = np.arange(len(rows))
-            chosen = inner[spot, picked].copy()
+            chosen = inner[spot, picked]
             np.exp(inner, out=inner)
-            sums = inner.sum(1)
+            sums = inner @ np.ones(inner.shape[1], np.float32)
             logs[rows] += chosen - np.log(sums)
             if flow is not None:
                 inner *= (weights[rows] / sums)[:, None]
                 inner[spot, picked] -= weights[rows]
-                found["words"][c], found["word_bias"][c] = own.T @ inner, inner.sum(0)
+                found["words"][c], found["word_bias"][c] = own.T @ inner, np.ones(len(inner), np.float32) @ inner
                 flow[rows] += inner @ p["words"][c].T
         return logs, (found if flow is not None else None), flow
 
@@ -133,21 +137,25 @@ class Window:
         inward = np.empty((steps, lanes, 3 * size), np.float32)
         back = np.zeros((lanes, size), np.float32)
         gates, inner = p["gates"].T.copy(), p["inner"].T.copy()
+        update, reset, open_gate = self.gate[:, :, :size], self.gate[:, :, size:], 1 - self.gate
+        to_new = open_gate[:, :, :size] * (1 - self.new * self.new)
+        to_update = (self.before - self.new) * update * open_gate[:, :, :size]
+        to_reset = self.reset * open_gate[:, :, size:]
         for t in range(steps - 1, -1, -1):
             back += flow[t]
-            before, gate, new = self.before[t], self.gate[t], self.new[t]
-            update, reset = gate[:, :size], gate[:, size:]
             own = inward[t]
-            own[:, 2 * size:] = back * (1 - update) * (1 - new * new)
-            through = own[:, 2 * size:] @ inner
-            own[:, :size] = back * (before - new) * update * (1 - update)
-            own[:, size:2 * size] = through * before * reset * (1 - reset)
-            back = back * update + through * reset + own[:, :2 * size] @ gates
+            through = np.multiply(back, to_new[t], out=own[:, 2 * size:]) @ inner
+            np.multiply(back, to_update[t], out=own[:, :size])
+            np.multiply(through, to_reset[t], out=own[:, size:2 * size])
+            back *= update[t]
+            through *= reset[t]
+            back += through
+            back += own[:, :2 * size] @ gates
             back *= self.goes_on[t][:, None]
         turned = inward.reshape(-1, 3 * size)
         found["gates"] = self.before.reshape(-1, size).T @ turned[:, :2 * size]
         found["inner"] = self.reset.reshape(-1, size).T @ turned[:, 2 * size:]
-        found["enter"], found["bias"] = self.taken.T @ turned, turned.sum(0)
+        found["enter"], found["bias"] = self.taken.T @ turned, np.ones(len(turned), np.float32) @ turned
         rows = self.inputs.ravel()
         order = np.argsort(rows, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
@@ -176,6 +184,7 @@ def train(p: Parameters, squares: Parameters, stream: Stream, lanes: int, steps:
     inputs, classes, members, goes_on = fold(stream.inputs, 0), fold(stream.classes, 0), fold(stream.members, -1), fold(stream.goes_on, 0)
     counted = fold(np.ones(total, np.float32), 0)
     state = np.zeros((lanes, p["inner"].shape[0]), np.float32)
+    np.seterr(over="ignore")
     for at in range(0, length, steps):
         span = slice(at, at + steps)
         window = Window(p, inputs[span], goes_on[span], state)
@@ -198,8 +207,6 @@ def document_logs(p: Parameters, stream: Stream, lengths: np.ndarray, lanes: int
     lanes = max(1, min(lanes, len(lengths)))
     # Longest first, each to the shortest lane: lanes end together unless one document is longer than its share.
     loads, held = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-    import heapq
-
     heap = [(0, lane) for lane in range(lanes)]
     for doc in np.argsort(-lengths, kind="stable").tolist():
         load, lane = heapq.heappop(heap)
@@ -212,6 +219,7 @@ def document_logs(p: Parameters, stream: Stream, lengths: np.ndarray, lanes: int
     owner = [np.repeat(docs, lengths[docs]) for docs in held]
     totals = np.zeros(len(lengths))
     state = np.zeros((lanes, p["inner"].shape[0]), np.float32)
+    np.seterr(over="ignore")
     for at in range(0, int(loads[0]), steps):
         live = int(np.searchsorted(-loads, -at, side="left"))
         state = state[:live]

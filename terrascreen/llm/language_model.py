@@ -42,6 +42,13 @@ def tokens(text: bytes) -> list[bytes]:
     return found
 
 
+class Numbers(dict):
+    """Numbers of the listed words; every other word has the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Numbers of the listed words, and by number: class, place in the class (-1: fixed share), network input, log of the smoothed count and of the share.
@@ -49,7 +56,7 @@ class Vocabulary:
     The last number stands for all other words.
     """
 
-    numbers: dict[bytes, int]
+    numbers: Numbers
     classes: np.ndarray
     members: np.ndarray
     inputs: np.ndarray
@@ -90,7 +97,7 @@ def vocabulary(listed: Sequence[tuple[bytes, int]], total: int, distinct: int) -
     most = OPEN_CLASSES * MEMBERS
     classes[inside:size], inputs[inside:size] = OPEN_CLASSES + endings, most + endings
     classes[size], inputs[size] = OPEN_CLASSES + ENDINGS, most + ENDINGS
-    masses = np.bincount(classes[:size], smoothed, OPEN_CLASSES + ENDINGS + 1)
+    masses = np.bincount(classes[:size], smoothed, OPEN_CLASSES + ENDINGS + 1).astype(np.float64)
     masses[-1] = rest
     with np.errstate(divide="ignore"):
         class_logs = np.where(masses > 0, np.log(masses / masses.sum()), -30.0)
@@ -99,7 +106,25 @@ def vocabulary(listed: Sequence[tuple[bytes, int]], total: int, distinct: int) -
     counts = np.r_[np.log(smoothed), 0.0]
     shares = np.zeros(size + 1)
     shares[inside:size] = np.log(smoothed[inside:] / masses[classes[inside:size]])
-    return Vocabulary({w: i for i, (w, _) in enumerate(listed)}, classes, members, inputs, counts, shares, class_logs, member_logs), math.log(rest)
+    return Vocabulary(Numbers((w, i) for i, (w, _) in enumerate(listed)), classes, members, inputs, counts, shares, class_logs, member_logs), math.log(rest)
+
+
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most ``LISTED_WORDS`` words that were met more than once, most frequent first.
+
+    Counts are cut into steps of an eighth of a power of two, and whole steps are taken from the top, so nothing is sorted or sent beyond them.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    often = counts.where("n > 1")
+    lowest, size = None, 0
+    for at, words in sorted(map(tuple, often.groupBy(step.alias("s")).count().collect()), reverse=True):
+        size += words
+        if size > LISTED_WORDS:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    return sorted(((bytes(w), n) for w, n in often.where(step >= lowest).collect()), key=lambda x: (-x[1], x[0]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +155,16 @@ def _stream(numbered: Sequence[np.ndarray], known: Vocabulary) -> gru.Stream:
     return gru.Stream(inputs, known.classes[ids], known.members[ids], (~first).astype(np.float32))
 
 
-def _numbers(batches: Iterator[pa.RecordBatch], known: Vocabulary):
-    """Size, word numbers and words of every text, with its batch and place."""
-    get, other = known.numbers.get, len(known.numbers)
+def _numbers(batches: Iterator[pa.RecordBatch], known: Vocabulary, apart_too: bool):
+    """Size and word numbers of every text, counts of its words that are not listed, its batch and place."""
+    number, other = known.numbers.__getitem__, len(known.numbers)
     for batch in batches:
         column = batch.column("text")
         for i in range(batch.num_rows):
             words = tokens(column[i].as_py())
-            yield len(words), np.fromiter((get(w, other) for w in words), np.int32, len(words)), words, batch, i
+            ids = np.fromiter(map(number, words), np.int32, len(words))
+            apart = Counter(words[j] for j in np.flatnonzero(ids == other).tolist()) if apart_too else None
+            yield len(words), ids, apart, batch, i
 
 
 def _learner(shared):
@@ -149,7 +176,7 @@ def _learner(shared):
         known, p, squares = shared.value
         p, squares = {k: v.copy() for k, v in p.items()}, {k: v.copy() for k, v in squares.items()}
         seen = 0
-        for part in gru.chunks(((size, ids) for size, ids, *_ in _numbers(batches, known)), CHUNK_TOKENS):
+        for part in gru.chunks(((size, ids) for size, ids, *_ in _numbers(batches, known, False)), CHUNK_TOKENS):
             gru.train(p, squares, _stream([ids for _, ids in part], known), LANES, STEPS, RATE)
             seen += sum(size for size, _ in part)
         if not seen:
@@ -209,7 +236,7 @@ def fit(docs: DataFrame, training: Column, text: str = "text", rounds: int = ROU
     source = docs.where(training).select(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("text"))
     counts = written(source.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "language-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = [(bytes(w), n) for w, n in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(LISTED_WORDS).collect()]
+    listed = _most_frequent(counts)
     known, rest_log = vocabulary(listed, total, distinct)
     p = gru.initial(known.shape, known.class_logs, known.member_logs)
     squares = {name: np.zeros_like(v) for name, v in p.items()}
@@ -234,12 +261,12 @@ def _scorer(shared):
 
         known, p = shared.value
         other, number = len(known.numbers), TaskContext.get().partitionId() << 33
-        for part in gru.chunks(_numbers(batches, known), CHUNK_TOKENS):
+        for part in gru.chunks(_numbers(batches, known, True), CHUNK_TOKENS):
             lengths = np.array([x[0] for x in part], np.int64)
             ids = np.concatenate([x[1] for x in part])
             logs = gru.document_logs(p, _stream([x[1] for x in part], known), lengths, SCORE_LANES, SCORE_STEPS)
             at = np.cumsum(lengths) - lengths
-            apart = [Counter(words[i] for i in np.flatnonzero(ids == other).tolist()) for _, ids, words, _, _ in part]
+            apart = [x[2] for x in part]
             words = [list(c) for c in apart]
             ends = pa.array(np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32))
             rows = pa.concat_arrays([batch.column(ROW).slice(i, 1) for *_, batch, i in part])
