@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascreen.operators import linear
-from terrascreen.operators.ordering import exact_quantiles
+from terrascreen.operators import cuts, linear
+from terrascreen.operators.ordering import exact_quantiles, materialise
 
 # The translations tried, metres east and north.
 SHIFTS = [
@@ -63,6 +63,28 @@ def buffer_scenarios(points: DataFrame, distances: dict[str, Column], step: floa
         (F.coalesce(F.max(F.when(~F.col("value"), F.col("n"))), F.lit(0)) * step).alias("longest_gap_m"))
 
 
+def buffered_lengths(segments: DataFrame, covers: dict[str, DataFrame], keys: list[str] = ("gid",)) -> DataFrame:
+    """Exact route metrics per vegetation group and buffer: no points, so no step.
+
+    ``covers`` maps a vegetation group to the edges of its polygons (``poly_id, x1, y1, x2, y2``). The intervals inside a cover are found once
+    and serve all of its buffers.
+    """
+    keys, found = list(keys), []
+    lengths = linear.route_lengths(segments, keys)
+    for name, edges in covers.items():
+        inside = materialise(cuts.polygon_overlaps(segments, edges, keys), "inside")
+        for buffer in BUFFERS_M:
+            spans = inside if buffer == 0 else inside.unionByName(cuts.edge_overlaps(segments, edges, keys, buffer))
+            found.append(spans.select(*keys, F.lit(name).alias("vegetation"), F.lit(buffer).alias("buffer_m"), "a", "b"))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("vegetation"), F.lit(b).alias("buffer_m")) for n in covers for b in BUFFERS_M])).alias("k")
+    every = lengths.select(*keys, kinds, "route_m").select(*keys, "k.vegetation", "k.buffer_m", "route_m")
+    by = [*keys, "vegetation", "buffer_m"]
+    return linear.overlap_profile(linear.interval_merge(spans, by), every, by).withColumnRenamed("route_m", "length_m")
+
+
 def window_summary(windows: DataFrame) -> DataFrame:
     """Per route and buffer: ranges over both anchors, and the median overlap of each anchor."""
     keys = ["gid", "buffer_m"]

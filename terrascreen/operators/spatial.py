@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascreen.functions.geo import METRES_PER_DEGREE, haversine_m, rounded_metres
@@ -236,23 +236,88 @@ def distance_to_edges(points: DataFrame, point_key: list[str], edges: DataFrame,
     return points.join(best, point_key, "left")
 
 
+#: Where the tile lines lie. They are no round numbers, so that corners of polygons do not lie on them.
+ORIGIN_X, ORIGIN_Y = 0.0618033988749895, 0.0414213562373095
+
+
+def _tile(value: Column, tile_m: float, origin: float) -> Column:
+    return F.floor((value - origin) / F.lit(float(tile_m))).cast("bigint")
+
+
+def _line(index: Column, tile_m: float, origin: float) -> Column:
+    return index * F.lit(float(tile_m)) + origin
+
+
+def edge_tiles(edges: DataFrame, tile_m: float, margin: float = 1e-6) -> DataFrame:
+    """Each edge with all tiles ``tx, ty`` that it, or what lies within ``margin`` of it, reaches: a row per tile along the edge."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    columns = edges.withColumn("tx", F.explode(F.sequence(_tile(left - margin, tile_m, ORIGIN_X), _tile(right + margin, tile_m, ORIGIN_X))))
+    at = lambda x: y1 + F.try_divide(x - x1, x2 - x1) * (y2 - y1)
+    start = _line(F.col("tx"), tile_m, ORIGIN_X)
+    a, b = at(F.greatest(start - margin, left)), at(F.least(start + tile_m + margin, right))
+    bottom, top = F.least(y1, y2), F.greatest(y1, y2)
+    low = F.greatest(F.coalesce(F.least(a, b), bottom), bottom) - margin
+    high = F.least(F.coalesce(F.greatest(a, b), top), top) + margin
+    return columns.withColumn("ty", F.explode(F.sequence(_tile(F.least(low, high), tile_m, ORIGIN_Y), _tile(F.greatest(low, high), tile_m, ORIGIN_Y))))
+
+
+def _inside_corners(tiles: DataFrame, edges: DataFrame, poly_id: str, tile_m: float) -> DataFrame:
+    """``tx, ty`` and each polygon that holds the lower left corner of that tile.
+
+    The line through the lower corners of a row of tiles enters and leaves a polygon where its edges cross; the corners in between are a range,
+    laid out as aligned ranges of 1, 2, 4, ... tiles, of which a range has at most two a level. So the rows of a wide polygon grow with the
+    logarithm of its width; only rows that hold one of ``tiles`` are laid out.
+    """
+    rows = tiles.select("ty").distinct()
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    spans = edges.withColumn("ty", F.explode(F.sequence(_tile(bottom, tile_m, ORIGIN_Y), _tile(top, tile_m, ORIGIN_Y) + 1))).join(rows, "ty", "left_semi")
+    y = _line(F.col("ty"), tile_m, ORIGIN_Y)
+    crossed = spans.where((F.col("y1") > y) != (F.col("y2") > y)).select(
+        poly_id, "ty", (F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("x"))
+    along = Window.partitionBy(poly_id, "ty").orderBy("x")
+    paired = crossed.withColumns({"nr": F.row_number().over(along), "end": F.lead("x").over(along)}).where("nr % 2 = 1")
+    after = lambda x: F.ceil((x - ORIGIN_X) / F.lit(float(tile_m))).cast("bigint")
+    ranges = paired.select(poly_id, "ty", after(F.col("x")).alias("first"), after(F.col("end")).alias("last")).where("last > first")
+    # Aligned ranges at level lv that lie inside first..last-1 while the one above them does not.
+    ranges = ranges.withColumn("lv", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("last") - F.col("first"))).cast("int"))))
+    up = lambda level: f"shiftright(first + shiftleft(1L, {level}) - 1, {level})"
+    ranges = ranges.selectExpr(f"`{poly_id}`", "ty", "lv", f"{up('lv')} as a", "shiftright(last, lv) as b", f"{up('lv + 1')} as pa", "shiftright(last, lv + 1) as pb")
+    whole = F.expr("if(a < b, sequence(a, b - 1), array())")
+    outer = F.expr("filter(array(if(a < 2 * pa, a, null), if(b > 2 * pb, b - 1, null)), v -> v is not null)")
+    nodes = ranges.withColumn("node", F.explode(F.when(F.col("pa") < F.col("pb"), outer).otherwise(whole))).select(poly_id, "ty", "lv", "node")
+    nodes = materialise(nodes, "corners")
+    levels = [r["lv"] for r in nodes.select("lv").distinct().collect()]
+    if not levels:
+        return nodes.select(F.col("node").alias("tx"), "ty", poly_id)
+    probe = tiles.withColumn("lv", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("node", F.expr("shiftright(tx, lv)"))
+    return probe.join(nodes, ["ty", "lv", "node"]).select("tx", "ty", poly_id)
+
+
 def inside_polygons(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", tile_m: float = 50.0) -> DataFrame:
-    """Distinct keys of points strictly inside any polygon (crossing parity of a ray to +x).
+    """Distinct keys of points inside any polygon (parity; a point on an edge may count either way, callers decide it by distance).
 
-    An edge is offered to the tiles of its rows from the polygon's left end to the edge itself,
-    so the join is an equi join on tiles; boundaries are decided by distance, not here.
+    A polygon holds the corner of a tile or not; from the corner to a point inside the tile, up and then along, only edges of that tile can be
+    crossed. Tiles that a polygon covers without an edge of it are settled whole.
     """
-    index = lambda v: F.floor(v / F.lit(tile_m)).cast("bigint")
-    left = edges.groupBy(poly_id).agg(index(F.min(F.least("x1", "x2"))).alias("tx0"))
-    rays = edges.where(F.col("y1") != F.col("y2")).join(left, poly_id)
-    rays = rays.withColumn("tx", F.explode(F.sequence("tx0", index(F.greatest("x1", "x2")))))
-    rays = rays.withColumn("ty", F.explode(F.sequence(index(F.least("y1", "y2")), index(F.greatest("y1", "y2")))))
-    tiled = points.select(*point_key, "x", "y", index(F.col("x")).alias("tx"), index(F.col("y")).alias("ty"))
-    pairs = tiled.join(rays, ["tx", "ty"])
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    cut = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    crossed = pairs.where(spans & (F.col("x") < cut)).groupBy(*point_key, poly_id).agg(F.count("*").alias("n"))
-    return crossed.where(F.col("n") % 2 == 1).select(*point_key).distinct()
+    located = points.select(*point_key, "x", "y", _tile(F.col("x"), tile_m, ORIGIN_X).alias("tx"), _tile(F.col("y"), tile_m, ORIGIN_Y).alias("ty"))
+    tiles = materialise(located.select("tx", "ty").where("tx is not null and ty is not null").distinct(), "point-tiles")
+    corners = materialise(_inside_corners(tiles, edges, poly_id, tile_m).withColumn("held", F.lit(1)), "held-corners")
+    local = materialise(edge_tiles(edges.select(poly_id, "x1", "y1", "x2", "y2"), tile_m).join(tiles, ["tx", "ty"], "left_semi"), "edge-tiles")
+    full = corners.join(local, ["tx", "ty", poly_id], "left_anti").select("tx", "ty").distinct()
+    settled = located.join(full, ["tx", "ty"], "left_semi").select(*point_key)
+    near = local.join(corners, ["tx", "ty", poly_id], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    open_points = located.join(full, ["tx", "ty"], "left_anti")
+    pairs = open_points.join(near, ["tx", "ty"])
+    x0, y0 = _line(F.col("tx"), tile_m, ORIGIN_X), _line(F.col("ty"), tile_m, ORIGIN_Y)
+    x1, y1, x2, y2, x, y = (F.col(c) for c in ("x1", "y1", "x2", "y2", "x", "y"))
+    at_y, at_x = y1 + F.try_divide(x0 - x1, x2 - x1) * (y2 - y1), x1 + F.try_divide(y - y1, y2 - y1) * (x2 - x1)
+    up = ((x1 > x0) != (x2 > x0)) & (at_y > y0) & (at_y <= y)
+    across = ((y1 > y) != (y2 > y)) & (at_x > x0) & (at_x <= x)
+    passed = up.cast("int") + across.cast("int")
+    counted = pairs.select(*point_key, poly_id, "held", passed.alias("passed")).where("held = 1 or passed > 0")
+    odd = counted.groupBy(*point_key, poly_id).agg((F.sum("passed") + F.max("held")).alias("n")).where(F.col("n") % 2 == 1)
+    return settled.unionByName(odd.select(*point_key)).distinct()
 
 
 def point_in_cover(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", near_m: float = 5.0) -> DataFrame:
