@@ -1,15 +1,12 @@
-"""Ranking files, report tables, file manifests and publication of validated versions."""
+"""Ranking files and report tables."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascreen.functions.text import spreadsheet_safe
 from terrascreen.operators.ordering import ordinal
-from terrascreen.operators.quality import enforce
 
 
 def write_ranking_csv(ranked: DataFrame, path: str, order: list, columns: list[str]) -> None:
@@ -43,45 +40,3 @@ def write_report_tables(tables: dict[str, DataFrame], base: str) -> dict[str, st
     for name, table in tables.items():
         table.write.option("ignoreNullFields", False).json(paths[name])
     return paths
-
-
-def file_identity(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file below a folder, hashed by the tasks that read them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def file_manifest_check(actual: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest entries against files: missing, extra, changed size or digest, or ok."""
-    listed = manifest.select("name", F.col("bytes").alias("m_bytes"), F.col("sha256").alias("m_sha"))
-    joined = actual.join(listed, "name", "full")
-    status = (F.when(F.col("bytes").isNull(), "missing").when(F.col("m_bytes").isNull(), "extra").when(F.col("bytes") != F.col("m_bytes"), "size")
-              .when(F.col("sha256") != F.col("m_sha"), "digest").otherwise("ok"))
-    return joined.select("name", status.alias("status"))
-
-
-def validate_then_publish(tables: dict[str, DataFrame], problems: dict[str, DataFrame], base: str, version: int) -> None:
-    """Write a new version, validate it, then record it; readers keep the old one until then.
-
-    Nothing is moved or replaced: a version counts once its marker row is committed.
-    """
-    if not tables or set(problems) - set(tables):
-        raise ValueError("every validated table must be among the outputs")
-    for name, table in tables.items():
-        if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
-            raise ValueError(f"bad table name {name}")
-        table.write.parquet(f"{base}/tables/version={version}/{name}")
-    for violations in problems.values():
-        enforce(violations)
-    spark = next(iter(tables.values())).sparkSession
-    marker = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(",".join(sorted(tables))).alias("tables"))
-    marker.write.mode("append").parquet(f"{base}/published")
-
-
-def published_version(spark: SparkSession, base: str) -> int:
-    """Latest recorded version (a one-row read)."""
-    return spark.read.parquet(f"{base}/published").agg(F.max("version")).first()[0]
-
-
-def read_published(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/tables/version={published_version(spark, base)}/{name}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascreen.operators import quality, series
-from terrascreen.sources import sinks, snapshots
+from terrascreen.sources import snapshots
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -78,28 +78,6 @@ def test_snapshot_files(spark, tmp_path):
     assert [(r["source"], r["pos"], r["id"], r["latitude"]) for r in got] == [(2, 0, "x", 1.5), (2, 1, "y", None)]
 
 
-def test_publish_keeps_the_old_version_when_a_rule_fails(spark, tmp_path):
-    base = str(tmp_path / "pub")
-    table = spark.range(3)
-    none = spark.createDataFrame([], "rule string, key string")
-    sinks.validate_then_publish({"t": table}, {"t": none}, base, 1)
-    with pytest.raises(ValueError, match="rule_x"):
-        sinks.validate_then_publish({"t": table.limit(1)}, {"t": spark.createDataFrame([("rule_x", "k")], "rule string, key string")}, base, 2)
-    assert sinks.published_version(spark, base) == 1 and sinks.read_published(spark, base, "t").count() == 3
-
-
-def test_manifest(spark, tmp_path):
-    (tmp_path / "one.bin").write_bytes(b"abc")
-    (tmp_path / "two.bin").write_bytes(b"defg")
-    actual = sinks.file_identity(spark, str(tmp_path), "*.bin")
-    frozen = spark.createDataFrame([tuple(r) for r in actual.collect()], actual.schema)
-    assert {r["status"] for r in sinks.file_manifest_check(actual, frozen).collect()} == {"ok"}
-    (tmp_path / "one.bin").write_bytes(b"abd")
-    (tmp_path / "three.bin").write_bytes(b"x")
-    got = {r["name"]: r["status"] for r in sinks.file_manifest_check(sinks.file_identity(spark, str(tmp_path), "*.bin"), frozen).collect()}
-    assert got == {"one.bin": "digest", "two.bin": "ok", "three.bin": "extra"}
-
-
 def test_rules_report_each_mutation(frame):
     rows = frame([("a", 1.0, 5), ("", 2.0, 101), ("b", 3.0, None), ("b", 3.0, 7)], "id string, v double, heat int")
     expected = frame([("a",), ("b",), ("c",)], "id string")
