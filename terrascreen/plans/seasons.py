@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import rounded
-from terrascreen.operators import compare, keyed, regions, series
+from terrascreen.operators import compare, keyed, regions, series, states
 from terrascreen.operators.ordering import materialise
 from terrascreen.plans.comparisons import _CMP, _tidy, cmp_sql
 from terrascreen.plans.joins import MIXED, _MIXED_FLOW, flow_sql, flow_summary, mixed_slots
 from terrascreen.plans.registry import query
 from terrascreen.plans.views import rnd, sql
+from terrascreen.session import scratch_path
 
 REFERENCE, HOT, TROPICAL = "1996-08-24", 27.0, 20.5
 _FLOW_COLUMNS = "feature, days, observed_total, measured, reason, mean_all, min_day_mean, max_day_mean"
@@ -164,3 +165,23 @@ _YEARS = "yc AS (SELECT l_partkey % 200 AS col, l_suppkey % 3 AS row, cast(l_shi
 def pool_years(t):
     rows = t.lineitem.select((F.col("l_partkey") % 200).alias("col"), (F.col("l_suppkey") % 3).alias("row"), F.to_date("l_shipdate").alias("obs_day"), F.year("l_shipdate").alias("yr"))
     return regions.pool_problems(rows, ["col", "row"])
+
+
+def _stored_states(t, daily):
+    """All years but the last as one load, then the last one on its own, which reads nothing else."""
+    path, daily = scratch_path(t.spark, "states"), materialise(daily.withColumn("yr", F.year("obs_day")), "daily")
+    last = daily.agg(F.max("yr")).scalar()
+    marked = daily.withColumn("_last", last)
+    for part in ("yr < _last", "yr = _last"):
+        states.store_states(states.season_states(marked.where(part).drop("yr", "_last"), REFERENCE, HOT, TROPICAL), path)
+    return states.stored_states(t.spark, path)
+
+
+@query("season_metrics_from_states", sql("cube2", f"{season_sql('cube2')} SELECT * FROM sm"))
+def season_metrics_from_states(t):
+    return states.season_metrics(_stored_states(t, t.views.cube(2)), int(REFERENCE[:4]))
+
+
+@query("cube_season_metrics_from_states", sql("cube5", f"{CUBE_METRICS} SELECT * FROM cube_m"))
+def cube_season_metrics_from_states(t):
+    return states.cube_season_metrics(_stored_states(t, t.views.cube(5)))
