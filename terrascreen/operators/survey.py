@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascreen.functions.numbers import rounded, wilson_bounds
-from terrascreen.operators.ordering import exact_quantiles, materialise, ordinal
+from terrascreen.operators.ordering import blocked_scan, exact_quantiles, materialise, ordered_blocks, ordinal
 
 CANOPY, NOT_CANOPY, UNKNOWN = "canopy", "not_canopy", "unknown"
 # Fewest pairs for a lag, largest lag reported, distinct draws that count as few.
@@ -190,14 +190,44 @@ def draw_starts(cells: DataFrame, draws: int, fraction: Column) -> DataFrame:
     return rows.withColumns({"_step": step, "_start": fraction * step})
 
 
+def _before(place: Column) -> Column:
+    """How many sampling positions of start 0 lie below a place (whole numbers, so exact)."""
+    n = F.col("candidates")
+    return F.call_function("div", (place * F.col("allocated") + n - 1).cast("bigint"), n)
+
+
+def _entry(place: Column) -> Column:
+    """The start in (0, step) at which one of the positions comes to a place."""
+    return place - (_before(place) - 1) * (F.col("candidates") / F.col("allocated"))
+
+
+def _looked_up(events: DataFrame, starts: DataFrame, scans: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Starts with running values over the events (``gid, at, change``) at or before them, from one common order."""
+    rows = events.select("gid", "at", "change", F.lit(None).cast("int").alias("draw")).unionByName(
+        starts.select("gid", F.col("_start").alias("at"), F.lit(0.0).alias("change"), "draw"))
+    blocks = ordered_blocks(rows, [F.col("gid"), F.col("at"), F.asc_nulls_first("draw")], "starts")
+    return blocked_scan(blocks, ["gid"], scans).where(F.col("draw").isNotNull())
+
+
 def replicate_variance(points: DataFrame, indicator: Column, total: int, draws: int, fraction: Column) -> DataFrame:
-    """Variance of the systematic-sample share over many starts against simple random sampling."""
+    """Variance of the systematic-sample share over many starts against simple random sampling.
+
+    Within a segment the sampled sum is a step function of the start: a candidate comes in at one start and leaves where the next one comes in.
+    Its steps are ordered once together with all starts, and a draw reads the running sum at its start; no sample is ever listed.
+    """
     series = points.select("gid", "idx", indicator.cast("double").alias("v"))
     counts = series.groupBy("gid").agg(F.count("*").alias("candidates"))
-    starts = draw_starts(allocate_segments(counts, total), draws, fraction)
-    picks = starts.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("allocated").cast("int") - 1)))
-    picks = picks.select("draw", "gid", _position(F.col("_start"), F.col("_step"), F.col("_i"), F.col("candidates")).alias("idx"))
-    estimates = materialise(picks.join(series, ["gid", "idx"]).groupBy("draw").agg((F.sum("v") / F.lit(float(total))).alias("estimate")), "estimates")
+    cells = materialise(allocate_segments(counts, total).select("gid", "candidates", "allocated"), "cells")
+    held = series.where("v <> 0").join(cells, "gid")
+    place, step = F.col("idx"), F.col("candidates") / F.col("allocated")
+    base = held.groupBy("gid").agg(F.sum(F.col("v") * (_before(place + 1) - _before(place))).alias("base"))
+    both = F.explode(F.array(F.struct(_entry(place).alias("at"), F.col("v").alias("change"), place.alias("to")),
+                             F.struct(_entry(place + 1).alias("at"), (-F.col("v")).alias("change"), (place + 1).alias("to")))).alias("e")
+    events = held.select("gid", "candidates", step.alias("_step"), both).where("e.at > 0 and e.at < _step and e.to < candidates").select("gid", "e.at", "e.change")
+    sums = _looked_up(events, draw_starts(cells, draws, fraction), {"moved": ("sum", F.col("change"))})
+    whole = base.agg(F.coalesce(F.sum("base"), F.lit(0.0))).scalar()
+    drawn = sums.groupBy("draw").agg(F.sum("moved").alias("moved"))
+    estimates = materialise(drawn.select("draw", ((F.col("moved") + whole) / F.lit(float(total))).alias("estimate")), "estimates")
     frame = series.agg(F.struct(F.avg("v").alias("p"), F.count("*").alias("n")).alias("f")).scalar()
     probs = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
     # The index rule floor(q (n - 1)) is the lower order statistic of the linear rule; draws are bounded.
@@ -216,15 +246,18 @@ def replicate_variance(points: DataFrame, indicator: Column, total: int, draws:
 
 
 def distinct_realisations(points: DataFrame, indicator: Column, total: int, trials: int, fraction: Column) -> DataFrame:
-    """Per segment: different systematic samples seen in the trials, and whether it varies."""
-    series = points.select("gid", indicator.cast("int").alias("v"))
+    """Per segment: different systematic samples seen in the trials, and whether it varies.
+
+    A sample changes only where a candidate comes in, so two starts draw the same one if the last such start at or before them is the same.
+    """
+    series = points.select("gid", "idx", indicator.cast("int").alias("v"))
     counts = series.groupBy("gid").agg(F.count("*").alias("candidates"), (F.min("v") != F.max("v")).alias("varies"))
-    cells = allocate_segments(counts.select("gid", "candidates"), total).join(counts.select("gid", "varies"), "gid")
-    starts = draw_starts(cells, trials, fraction)
-    picks = F.transform(F.sequence(F.lit(0), F.col("allocated").cast("int") - 1), lambda i: _position(F.col("_start"), F.col("_step"), i, F.col("candidates")))
-    return starts.withColumn("_picks", picks).groupBy("gid").agg(
-        F.max("allocated").alias("allocated"), F.max("candidates").alias("candidates"), rounded(F.max("_step"), 4).alias("step"),
-        F.countDistinct("_picks").alias("distinct"), F.max("varies").alias("varies")).withColumn("few", (F.col("distinct") < FEW_DISTINCT) & F.col("varies"))
+    cells = materialise(allocate_segments(counts.select("gid", "candidates"), total).select("gid", "candidates", "allocated").join(counts.select("gid", "varies"), "gid"), "cells")
+    step = F.col("candidates") / F.col("allocated")
+    entries = series.join(cells, "gid").select("gid", _entry(F.col("idx")).alias("at"), step.alias("_step"), F.lit(0.0).alias("change")).where("at > 0 and at < _step")
+    pieces = _looked_up(entries, draw_starts(cells, trials, fraction), {"piece": ("max", F.when(F.col("draw").isNull(), F.col("at")))})
+    seen = pieces.groupBy("gid").agg(F.countDistinct(F.coalesce("piece", F.lit(0.0))).alias("distinct"))
+    return cells.join(seen, "gid").select("gid", "allocated", "candidates", rounded(step, 4).alias("step"), "distinct", "varies", ((F.col("distinct") < FEW_DISTINCT) & F.col("varies")).alias("few"))
 
 
 def sampling_plan(lengths: DataFrame, points: int, step: float) -> DataFrame:

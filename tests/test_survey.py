@@ -86,3 +86,46 @@ def test_band_verdict(frame):
     rows = [(w, b, lobe, e, 0.0) for w, offsets in ((1, [0, .3, 3, 3, 3]), (2, [0, .6, 0, 0, 0])) for b, (lobe, e) in enumerate(zip(survey.BAND_LOBES_M, map(float, offsets)), start=1)]
     table = survey.band_verdict(frame(rows, "window_id int, band int, lobe_m double, east double, north double"))
     assert {r["window_id"]: r["verdict"] for r in table.collect()} == {1: "consistent", 2: "inconsistent"}
+
+
+def _draws(series, total, draws):
+    """Plain systematic samples: one start per draw and segment, positions listed."""
+    allocated = {g: n for g, n in series["allocated"].items()}
+    estimates, samples = [], {g: set() for g in allocated}
+    for draw in range(1, draws + 1):
+        hits = 0
+        for g, values in series["values"].items():
+            step = len(values) / allocated[g]
+            start = (draw * 37 + g * 11) % 101 / 101 * step
+            picks = [min(len(values) - 1, math.floor(start + i * step)) for i in range(allocated[g])]
+            samples[g].add(tuple(picks))
+            hits += sum(values[p] for p in picks)
+        estimates.append(hits / total)
+    return estimates, {g: len(s) for g, s in samples.items()}
+
+
+@pytest.mark.parametrize("total", [7, 40, 260])
+def test_step_function_equals_listed_samples(frame, total):
+    rng = random.Random(total)
+    values = {g: [int(rng.random() < 0.4) for _ in range(n)] for g, n in ((0, 100), (1, 37), (2, 5), (3, 64))}
+    values[4] = [1] * 20
+    points = frame([(g, i, v) for g, vs in values.items() for i, v in enumerate(vs)], "gid int, idx int, v int")
+    counts = points.groupBy("gid").agg(F.count("*").alias("candidates"))
+    allocated = {r["gid"]: r["allocated"] for r in survey.allocate_segments(counts, total).collect()}
+    fraction = ((F.col("draw") * 37 + F.col("gid") * 11) % 101) / F.lit(101.0)
+    estimates, seen = _draws({"values": values, "allocated": allocated}, total, 60)
+    row = survey.replicate_variance(points, F.col("v"), total, 60, fraction).first()
+    mean = sum(estimates) / 60
+    assert row["mean_estimate"] == pytest.approx(mean, abs=1e-6)
+    assert row["variance"] == pytest.approx(sum((e - mean) ** 2 for e in estimates) / 59, abs=1e-9)
+    assert (row["lowest"], row["highest"]) == pytest.approx((min(estimates), max(estimates)), abs=1e-6)
+    found = {r["gid"]: (r["distinct"], r["varies"]) for r in survey.distinct_realisations(points, F.col("v"), total, 60, fraction).collect()}
+    assert found == {g: (seen[g], len(set(vs)) > 1) for g, vs in values.items()}
+
+
+def test_many_draws_over_a_million_points(spark):
+    """A draw looks its start up: the work is points plus draws, not draws times sample."""
+    points = spark.range(1_000_000).select((F.col("id") % 8).alias("gid"), F.floor(F.col("id") / 8).alias("idx"), (F.hash("id") % 3 == 0).cast("int").alias("v"))
+    row = survey.replicate_variance(points, F.col("v"), 400_000, 4_000, F.pmod(F.hash("draw", "gid"), F.lit(9973)) / F.lit(9973.0)).first()
+    share = points.agg(F.avg("v")).first()[0]
+    assert abs(row["mean_estimate"] - share) < 1e-3 and 0 < row["variance"] < 1e-5
