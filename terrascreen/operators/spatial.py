@@ -294,12 +294,33 @@ def _inside_corners(tiles: DataFrame, edges: DataFrame, poly_id: str, tile_m: fl
     return probe.join(nodes, ["ty", "lv", "node"]).select("tx", "ty", poly_id)
 
 
+def _tile_width(points: DataFrame, edges: DataFrame, tile_m: float) -> float:
+    """``tile_m`` halved as often as it makes the rows of edges and the pairs of edges with points fewer together.
+
+    Halving quarters the points of a tile, while an edge comes to at most twice as many tiles; pairs are counted per tile, so piles count as such.
+    """
+    at = lambda x, y: (_tile(x, tile_m, ORIGIN_X).alias("tx"), _tile(y, tile_m, ORIGIN_Y).alias("ty"))
+    spots = points.groupBy(*at(F.col("x"), F.col("y"))).agg(F.count("*").alias("p"))
+    middle = edges.select(*at((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"))
+    lines = middle.groupBy("tx", "ty").agg(F.count("*").alias("e"), F.sum("len").alias("len"))
+    pairs, count, length = lines.join(spots, ["tx", "ty"], "left").agg(F.sum(F.col("e") * F.coalesce("p", F.lit(0))), F.sum("e"), F.sum("len")).first()
+    if not pairs:
+        return tile_m
+    rows = [count + 1.5 * length * 2 ** k / tile_m for k in range(MOST_HALVINGS + 1)]
+    return tile_m / 2 ** min(range(MOST_HALVINGS + 1), key=lambda k: 4 * rows[k] + pairs * rows[k] / rows[0] / 4 ** k)
+
+
+#: How often a tile may be halved.
+MOST_HALVINGS = 6
+
+
 def inside_polygons(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", tile_m: float = 50.0) -> DataFrame:
     """Distinct keys of points inside any polygon (parity; a point on an edge may count either way, callers decide it by distance).
 
     A polygon holds the corner of a tile or not; from the corner to a point inside the tile, up and then along, only edges of that tile can be
-    crossed. Tiles that a polygon covers without an edge of it are settled whole.
+    crossed. Tiles that a polygon covers without an edge of it are settled whole. Where tiles of ``tile_m`` are crowded, finer ones are taken.
     """
+    tile_m = _tile_width(points, edges, tile_m)
     located = points.select(*point_key, "x", "y", _tile(F.col("x"), tile_m, ORIGIN_X).alias("tx"), _tile(F.col("y"), tile_m, ORIGIN_Y).alias("ty"))
     tiles = materialise(located.select("tx", "ty").where("tx is not null and ty is not null").distinct(), "point-tiles")
     corners = materialise(_inside_corners(tiles, edges, poly_id, tile_m).withColumn("held", F.lit(1)), "held-corners")
