@@ -139,6 +139,29 @@ def pooled_share(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.groupBy(*keys).agg((100 * F.sum("overlap_m") / F.sum("length_m")).alias("share_percent"))
 
 
+def date_prefix_shares(routes: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Per prefix: share of the length of all routes whose ``begin_date`` (text) starts with it; a route counts once, however many rows it has.
+
+    ``routes`` has ``gid, begin_date, length_m``; of a route with several rows the first by date and length counts. No date is no prefix.
+    """
+    single = routes.groupBy("gid").agg(F.min(F.struct("begin_date", "length_m")).alias("r")).select("r.*")
+    spread = single.select("length_m", F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.coalesce(F.col("begin_date").startswith(p), F.lit(False)).alias("hit")) for p in prefixes])).alias("p"))
+    met = F.coalesce(F.sum(F.when(F.col("p.hit"), F.col("length_m"))), F.lit(0.0))
+    return spread.groupBy(F.col("p.prefix").alias("prefix")).agg((100 * F.try_divide(met, F.sum("length_m"))).alias("share_percent"))
+
+
+def stratum_shares(points: DataFrame, step: float) -> DataFrame:
+    """Per stratum of a validation frame: its length and its share of the assessed length, points standing for ``step`` metres each."""
+    counts = points.groupBy("stratum").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("_t", total).select("stratum", (F.col("n") * step).alias("length_m"), (100.0 * F.col("n") / F.col("_t")).alias("share_percent"))
+
+
+def segment_shares(points: DataFrame, stratum: str = STRATA[0]) -> DataFrame:
+    """Per route of a validation frame: the share of its candidates in one stratum."""
+    return points.groupBy("gid").agg((100.0 * F.count_if(F.col("stratum") == stratum) / F.count("*")).alias("share_percent"))
+
+
 def point_interval_gap(point_share: DataFrame, interval_share: DataFrame) -> DataFrame:
     """Worst gap between the point-grid share and the interval share of a route."""
     joined = point_share.select("gid", F.col("share").alias("p")).join(interval_share.select("gid", F.col("share").alias("i")), "gid")

@@ -41,6 +41,34 @@ def route_violations(lengths: DataFrame, step: float, window_m: float, keys: Seq
     return violations(lengths, _key(keys), [("no_length", unusable), ("shorter_than_step", ~unusable & (length < step)), ("shorter_than_window", ~unusable & (length < window_m))])
 
 
+def selection_violations(features: DataFrame, request: DataFrame, crs: str, frame: Sequence[float]) -> DataFrame:
+    """What makes a retrieved set of routes unfit for selection (``rule, key``; no rows: fit).
+
+    ``features`` has ``gid`` and ``crs`` per retrieved route; ``request`` is the row of the request: ``number_matched`` (counted apart),
+    ``number_returned``, ``response_count``, ``response_cap``, ``crs`` and the bounds ``x0, y0, x1, y1`` that were asked for. All counts must be
+    the number of rows, which must stay below the cap; ids must be there and differ; every CRS must be ``crs`` and the bounds ``frame``.
+    """
+    rows = features.agg(F.count("*").alias("n")).scalar()
+    asked = request.withColumn("_n", rows)
+    differs = lambda name: ~F.col(name).eqNullSafe(F.col("_n"))
+    moved = F.lit(False)
+    for name, value in zip(("x0", "y0", "x1", "y1"), frame):
+        moved = moved | ~F.col(name).eqNullSafe(F.lit(float(value)))
+    counts = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("number_matched", "number_returned", "response_count", "_n")])
+    whole = violations(asked, counts, [
+        ("count_differs", differs("number_matched") | differs("number_returned") | differs("response_count")), ("possibly_truncated", F.col("_n") >= F.col("response_cap")),
+        ("request_crs", ~F.col("crs").eqNullSafe(F.lit(crs))), ("frame_changed", moved)])
+    requests = request.agg(F.count("*").alias("n")).where("n <> 1").select(F.lit("not_one_request").alias("rule"), F.col("n").cast("string").alias("key"))
+    other = violations(features, _key(["gid"]), [("missing_id", F.col("gid").isNull()), ("other_crs", ~F.col("crs").eqNullSafe(F.lit(crs)))])
+    twice = duplicate_keys(features.where("gid is not null"), ["gid"])
+    return whole.unionByName(requests).unionByName(other).unionByName(twice)
+
+
+def empty_selection(selected: DataFrame) -> DataFrame:
+    """One row if nothing was selected."""
+    return selected.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_selection").alias("rule"), F.lit("0").alias("key"))
+
+
 def interval_violations(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Intervals that end before they start, and those without a bound."""
     open_ended = F.col("a").isNull() | F.col("b").isNull() | F.isnan("a") | F.isnan("b")

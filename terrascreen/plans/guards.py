@@ -127,3 +127,20 @@ def band_violations(t):
     again = rows.where((window % 7 == 0) & (band == 4))
     sixth = rows.where(band == 1).withColumn("band", F.lit(6)).withColumn("lobe_m", F.lit(12.7))
     return survey.band_violations(kept.unionByName(again).unionByName(sixth))
+
+
+_RETRIEVED = """ft AS (SELECT CASE WHEN s_suppkey % 40=0 THEN s_suppkey-1 ELSE s_suppkey END AS gid, CASE WHEN s_suppkey % 33=0 THEN 'EPSG:4326' ELSE 'EPSG:31370' END AS crs FROM supplier),
+    rq AS (SELECT count(*) AS number_matched, count(*)+1 AS number_returned, count(*) AS response_count, count(*) AS response_cap FROM supplier)"""
+
+
+@query("route_selection_problems", f"""WITH {_RETRIEVED} SELECT 'count_differs' AS rule, number_matched||':'||number_returned||':'||response_count||':'||response_count AS key FROM rq UNION ALL
+    SELECT 'possibly_truncated', number_matched||':'||number_returned||':'||response_count||':'||response_count FROM rq UNION ALL SELECT 'frame_changed', number_matched||':'||number_returned||':'||response_count||':'||response_count FROM rq
+    UNION ALL SELECT 'other_crs', gid::varchar FROM ft WHERE crs<>'EPSG:31370' UNION ALL SELECT 'duplicate_key', gid::varchar FROM ft GROUP BY gid HAVING count(*)>1""")
+def route_selection_problems(t):
+    """A retrieval whose counts, frame, ids and reference systems do not fit."""
+    key = F.col("s_suppkey")
+    features = t.supplier.select(F.when(key % 40 == 0, key - 1).otherwise(key).alias("gid"), F.when(key % 33 == 0, "EPSG:4326").otherwise("EPSG:31370").alias("crs"))
+    n = F.count("*")
+    request = t.supplier.agg(n.alias("number_matched"), (n + 1).alias("number_returned"), n.alias("response_count"), n.alias("response_cap")).select(
+        "*", F.lit("EPSG:31370").alias("crs"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(950.0).alias("x1"), F.lit(999.0).alias("y1"))
+    return guards.selection_violations(features, request, "EPSG:31370", (0.0, 0.0, 950.0, 1000.0))
