@@ -48,4 +48,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module."""
-    from terrascreen.plans import audits, comparisons, expressions, guards, joins, landing, linear, polygons, seasons, survey  # noqa: F401
+    from terrascreen.plans import audits, comparisons, expressions, guards, joins, landing, linear, polygons, reports, seasons, survey  # noqa: F401

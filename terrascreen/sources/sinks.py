@@ -40,3 +40,19 @@ def write_report_tables(tables: dict[str, DataFrame], base: str) -> dict[str, st
     for name, table in tables.items():
         table.write.option("ignoreNullFields", False).json(paths[name])
     return paths
+
+
+def read_report_tables(spark: SparkSession, base: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a report as written; a value that does not fit its column's type stops the reading."""
+    return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{base}/{name}") for name, schema in schemas.items()}
+
+
+def report_problems(tables: dict[str, DataFrame], read: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table that were lost or came up between writing and reading (``rule, key``), repeats included."""
+    found = None
+    for name, table in tables.items():
+        digest = lambda df: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
+        counts = digest(table).join(digest(read[name]).withColumnRenamed("n", "m"), "row", "full").where(~F.col("n").eqNullSafe(F.col("m")))
+        part = counts.select(F.concat(F.lit(f"{name}_"), F.when(F.coalesce("n", F.lit(0)) > F.coalesce("m", F.lit(0)), "lost").otherwise("added")).alias("rule"), F.col("row").alias("key"))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -110,3 +110,18 @@ def test_nothing_and_bad_names(spark, tmp_path):
     for tables in ({}, {"../t": spark.range(1)}):
         with pytest.raises(ValueError):
             publishing.validate_then_publish(tables, {}, str(tmp_path), 1)
+
+
+def test_report_tables_are_read_back(spark, tmp_path):
+    from terrascreen.sources import sinks
+
+    rows = [("a", 1.5, None), ("a", 1.5, None), (None, float("1e-17"), 3), ('quote " and\nline', -0.1, 4)]
+    table = spark.createDataFrame(rows, "name string, v double, n long")
+    sinks.write_report_tables({"t": table}, str(tmp_path))
+    read = sinks.read_report_tables(spark, str(tmp_path), {"t": "name string, v double, n long"})
+    assert sorted(map(str, read["t"].collect())) == sorted(map(str, table.collect()))
+    assert sinks.report_problems({"t": table}, read).count() == 0
+    other = table.where("n is null or n <> 4").union(spark.createDataFrame([("new", 0.0, 0)], table.schema))
+    assert sorted(r["rule"] for r in sinks.report_problems({"t": other}, read).collect()) == ["t_added", "t_lost"]
+    with pytest.raises(Exception):
+        sinks.read_report_tables(spark, str(tmp_path), {"t": "name int, v double, n long"})["t"].collect()
