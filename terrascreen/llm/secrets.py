@@ -19,9 +19,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 BASE = 3
 LEAST_ASSIGNED = 8
-#: What each role needs nearby. Roles: identifiers, secrets, endpoints.
+#: What each role needs nearby. Roles: identifiers, secrets, endpoints; an opaque string that is part of an address is ordinary unless it is named.
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "opaque": "secret", "endpoint": "endpoint"}
-NEEDS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
+NEEDS = {"identifier": ("secret", "embedded"), "secret": ("identifier", "endpoint"), "embedded": ("identifier",), "endpoint": ("secret",)}
 SCOPE = 200
 
 
@@ -59,8 +59,8 @@ def _near(left: DataFrame, right: DataFrame, condition: Column, reach: int) -> D
 def scan(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``: an array of ``start, kind, end, free`` in code points, by start and then kind as in ``KINDS``.
 
-    The first three kinds are always there; a weak part only if a complementary one lies within ``SCOPE`` code points and no strong finding
-    covers it. ``free`` is where a span goes on beyond all earlier ones (for masking). A null text counts as empty; texts without findings
+    The first three kinds are always there; a weak part only if a complementary one, apart from it, lies within ``SCOPE`` code points and no
+    strong finding covers it. ``free`` is where a span goes on beyond all earlier ones (for masking). A null text counts as empty; texts without findings
     have an empty array; repeated rows each have their own.
     """
     found = matches(docs, text, keep)
@@ -70,13 +70,21 @@ def scan(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",))
     role = F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("kind") + 1)
     parts = written(parts.where("good").select("at", "kind", "start", "end", role.alias("role")), "secret-parts")
     strong, weak = parts.where(F.col("kind") < BASE), parts.where(F.col("kind") >= BASE)
-    covered = _near(weak, strong, (F.col("start") < F.col("end2")) & (F.col("start2") < F.col("end")), 0)
-    weak = weak.join(covered.select("at", "kind", "start"), ["at", "kind", "start"], "left_anti").select(*weak.columns)
+    overlapping = (F.col("start") < F.col("end2")) & (F.col("start2") < F.col("end"))
+    key = ["at", "kind", "start"]
+    weak = weak.join(_near(weak, strong, overlapping, 0).select(*key), key, "left_anti").select(*weak.columns)
+    # What an identifier consists of is no secret beside it; what an address consists of needs an identifier apart from it.
+    opaque = weak.where(F.col("kind") == KINDS.index("opaque"))
+    named = _near(opaque, weak, overlapping & (F.col("role2") == "identifier"), 0).select(*key)
+    inside = _near(opaque, weak, overlapping & (F.col("role2") == "endpoint"), 0).select(*key, F.lit("embedded").alias("inside"))
+    weak = weak.join(named, key, "left_anti").join(inside, key, "left").withColumn("role", F.coalesce("inside", "role")).select(*weak.columns)
+    weak = written(weak, "secret-weak")
     complementary = F.lit(False)
     for own, others in NEEDS.items():
         complementary = complementary | ((F.col("role") == own) & F.col("role2").isin(*others))
+    # Complements are different text: a part that overlaps another does not complete it.
     apart = F.greatest("start", "start2") - F.least("end", "end2")
-    linked = _near(weak, parts, complementary & (apart <= SCOPE), SCOPE)
+    linked = _near(weak, strong.unionByName(weak), complementary & apart.between(0, SCOPE), SCOPE)
     spans = strong.unionByName(linked)
     earlier = Window.partitionBy("at").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("free", F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0))))

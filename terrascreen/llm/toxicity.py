@@ -5,6 +5,7 @@ token labels; the field is then trained on whole token sequences, so its weights
 """
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -211,18 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
     """Trains on a bounded sample: ``per_class`` labelled documents of each class, those of the lowest id hashes.
 
     ``training`` is a condition on ``labels`` that says which rows may be learnt from. Whole texts are used; documents over ``longest``
-    characters are left out of this sample (never out of scoring), which bounds what the driver holds. Null ids and labels take no part.
+    characters are left out of this sample (never out of scoring), which bounds what the one training task holds. Null ids and labels take no part.
     """
     usable = labels.where(F.col(document).isNotNull() & F.col(label).isin(0, 1))
-    usable = (usable if training is None else usable.where(training)).select(document, F.col(label).cast("int").alias("_y")).dropDuplicates([document])
+    # A document that is labelled more than once counts with its lowest label.
+    usable = (usable if training is None else usable.where(training)).groupBy(document).agg(F.min(F.col(label).cast("int")).alias("_y"))
     order = [F.xxhash64(F.col(document)), F.col(document)]
     chosen = usable.where("_y = 1").orderBy(*order).limit(per_class).unionByName(usable.where("_y = 0").orderBy(*order).limit(per_class))
     truth = {r[0]: r[1] for r in chosen.collect()}
     if not truth:
         return train([])
-    rows = (docs.where(F.col(document).isin(*truth) & (F.coalesce(F.length(text), F.lit(0)) <= longest))
-            .select(document, text).dropDuplicates([document]).collect())
-    return train([(r[1], truth[r[0]]) for r in sorted(rows, key=lambda r: r[0])])
+    rows = docs.where(F.col(document).isin(*truth) & (F.coalesce(F.length(text), F.lit(0)) <= longest))
+    # Of several texts under one id, the first in their order.
+    rows = rows.groupBy(F.col(document).alias("id")).agg(F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["id"], r["text"]) for batch in batches for r in batch.to_pylist())
+        field = train([(t, truth[i]) for i, t in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((field.weights, field.bias, field.start, field.moves, field.score))])], ["field"])
+
+    # The sample is bounded, so one task holds it; the driver gets weights only.
+    return Field(*pickle.loads(bytes(rows.repartition(1).mapInArrow(learn, "field binary").first()[0])))
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", keep: Sequence[str] = ("doc_id",), batch_tokens: int = 2_000_000) -> DataFrame:

@@ -184,3 +184,50 @@ def test_more_values_than_the_short_pool_holds(spark):
     values = [("surname-greek", f"αβ{i}") for i in range(2500)] + [("email", f"{chr(97 + i)}@example.com") for i in range(26)]
     found = surrogates.assigned(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
     assert len(found) == len(values) == len({(r.kind, r.surrogate) for r in found}) and not {(r.kind, r.surrogate) for r in found} & set(values)
+
+
+def plain_links(parts):
+    """Weak parts ``(kind, start, end)`` of one text that something else completes: all pairs, one by one."""
+    over = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    strong = [p for p in parts if p[0] in ("assign", "access", "hex")]
+    weak = [p for p in parts if p not in strong and not any(over(p, s) for s in strong)]
+    names, urls = ([p for p in weak if p[0] == k] for k in ("identifier", "endpoint"))
+    weak = [p for p in weak if p[0] != "opaque" or not any(over(p, n) for n in names)]
+    role = lambda p: "embedded" if p[0] == "opaque" and any(over(p, u) for u in urls) else {"access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}.get(p[0], "secret")
+    needs = {"identifier": {"secret", "embedded"}, "secret": {"identifier", "endpoint"}, "embedded": {"identifier"}, "endpoint": {"secret"}}
+    near = lambda a, b: 0 <= max(a[1], b[1]) - min(a[2], b[2]) <= secrets.SCOPE
+    linked = [p for p in weak if any(q is not p and near(p, q) and role(q) in needs[role(p)] for q in strong + weak)]
+    return sorted(strong + linked, key=lambda p: (p[1], secrets.KINDS.index(p[0])))
+
+
+def test_a_part_does_not_complete_itself(spark):
+    texts = ["see https://www.example.com/watch/Episode12SeasonFinaleReview today", "username=JohnSmith2024LongUserName", "https://a.example/Aa1Bb2Cc3Dd4Ee5Ff6Gg7 and https://b.example/Hh1Ii2Jj3Kk4Ll5Mm6Nn7"]
+    docs = spark.createDataFrame(rows(*enumerate(texts)), SCHEMA)
+    assert all(not r.spans for r in secrets.scan(docs).collect())
+    assert sorted(r.text for r in secrets.masked(docs).collect()) == sorted(texts)
+
+
+def test_links_equal_a_plain_linker(spark):
+    import random
+
+    rng = random.Random(4)
+    secret = lambda: "Zz9" + "".join(rng.choices("abcXYZ012", k=22))
+    makers = [lambda: f"user=u{rng.randrange(10**6)}", lambda: f"login: {secret()}", secret, lambda: f"https://h{rng.randrange(99)}.example/{rng.choice(['', secret(), 'plain/path'])}",
+              lambda: f"password = {secret()}", lambda: "AKIA" + "Q7" * 8, lambda: "f0" * 20, lambda: "host: db.example.org", lambda: "x" * rng.choice((1, 30, 190, 260))]
+    texts = [" ".join(rng.choice(makers)() for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(rows(*enumerate(texts)), SCHEMA)
+    found = {r.doc_id: [(secrets.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        parts = []
+        for kind, pattern in secrets.PATTERNS.items():
+            flags = re.IGNORECASE if "(?i)" in pattern else 0
+            parts += [(kind, m.start(), m.end()) for m in re.finditer(pattern.replace("(?i)", ""), text, flags) if kind != "assign" or len(m[1]) >= 8]
+        assert found[i] == plain_links(parts), text
+
+
+def test_repeated_and_contradictory_labels_have_an_order(spark):
+    corpus = toxic_corpus(80)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus] + [(corpus[0][0], "zz other text"), (corpus[1][0], None)], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in corpus] + [(corpus[2][0], 1 - corpus[2][2]), (corpus[3][0], None), (None, 1)]
+    fits = [toxicity.fit(docs.repartition(n), spark.createDataFrame(labels[::step], "doc_id long, toxic int").repartition(n)) for n, step in ((1, 1), (5, -1))]
+    assert fits[0] == fits[1] and fits[0].weights
