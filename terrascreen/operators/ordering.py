@@ -135,29 +135,76 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str, bounded: bool
     return scanned.drop(BLOCK, POSITION)
 
 
+#: Split points of a narrowing step, and the rank accuracy they are taken with.
+SPLITS, ACCURACY = 256, 1024
+
+
+def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
+    """Values at given 0-based ranks per key (``rank`` is a column of the key's number of values ``n``): ``keys, n`` and a column per rank.
+
+    Nothing is sorted: a sketch proposes a few values around each rank, an exact count of what lies below and at them either finds the rank or
+    narrows the range, and so on. Rows meet the ranges where they are, sketches and counts move; a step leaves about a hundredth of the rows in
+    range. The least and the greatest value of a range are always among the proposed ones, so every step narrows. Nulls have no rank.
+    """
+    names = list(ranks)
+    own = [*keys] or ["_g"]
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    values = materialise(values if keys else values.withColumn("_g", F.lit(0)), "values")
+    totals = values.groupBy(*own).agg(F.count("*").alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("t"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])).alias("w")
+    none = F.lit(None).cast(values.schema["_v"].dataType)
+    open_ones = materialise(totals.select(*own, "n", wanted).select(*own, "n", "w.t", "w.rank", none.alias("low"), none.alias("high")), "ranges")
+    done = []
+    while not open_ones.isEmpty():
+        within = (F.col("low").isNull() | (F.col("_v") > F.col("low"))) & (F.col("high").isNull() | (F.col("_v") < F.col("high")))
+        here = [*own, "n", "t", "rank", "low", "high"]
+        grid = F.percentile_approx("_v", [k / SPLITS for k in range(SPLITS + 1)], ACCURACY)
+        sketch = _null_safe(values, open_ones, own).where(within).groupBy(*here).agg(F.count("*").alias("m"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), grid.alias("grid"))
+        at = F.floor((F.col("rank") + 0.5) / F.col("m") * SPLITS).cast("int")
+        near = [F.get("grid", F.greatest(F.least(at + shift, F.lit(SPLITS)), F.lit(0))) for shift in (-1, 0, 1, 2)]
+        probes = F.array_sort(F.array_distinct(F.array("_first", *near, "_last")))
+        proposed = materialise(sketch.select(*here, probes.alias("probes")), "probes")
+        met = _null_safe(values, proposed, own).where(within)
+        probe = [F.get("probes", F.lit(k)) for k in range(len(near) + 2)]
+        counted = met.groupBy(*here).agg(F.any_value("probes").alias("probes"), F.array(*[F.count_if(F.col("_v") < p) for p in probe]).alias("below"), F.array(*[F.count_if(F.col("_v") == p) for p in probe]).alias("same"))
+        each = counted.select(*here, F.explode(F.arrays_zip("probes", "below", "same")).alias("c")).where("c.probes is not null").select(*here, F.col("c.probes").alias("probe"), "c.below", "c.same")
+        past, over = F.col("below") + F.col("same") <= F.col("rank"), F.col("below") > F.col("rank")
+        step = each.groupBy(*here).agg(
+            F.max(F.when(~past & ~over, F.col("probe"))).alias("hit"), F.max(F.when(past, F.struct("probe", (F.col("below") + F.col("same")).alias("gone")))).alias("under"),
+            F.min(F.when(over, F.col("probe"))).alias("above"))
+        step = materialise(step, "narrowed")
+        done.append(step.where("hit is not null").select(*own, "n", "t", F.col("hit").alias("found")))
+        open_ones = step.where("hit is null").select(
+            *own, "n", "t", (F.col("rank") - F.coalesce("under.gone", F.lit(0))).alias("rank"), F.coalesce("under.probe", "low").alias("low"), F.coalesce("above", "high").alias("high"))
+    found = values.select(*own, F.lit(0).cast("bigint").alias("n"), F.lit("").alias("t"), F.col("_v").alias("found")).where("false")
+    for part in done:
+        found = found.unionByName(part)
+    columns = [F.max("n").alias("n"), *[F.max(F.when(F.col("t") == name, F.col("found"))).alias(name) for name in names]]
+    return found.groupBy(*keys).agg(*columns) if keys else found.agg(*columns)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                     bounded: bool = False, nearest_rank: bool = False) -> DataFrame:
-    """Exact quantiles per key from the value histogram.
+    """Exact quantiles per key: linear interpolation between order statistics, or with ``nearest_rank`` the ``ceil(p n)``-th smallest value.
 
-    Linear interpolation between order statistics by default; ``nearest_rank`` takes the
-    ``ceil(p n)``-th smallest value instead.
+    With ``bounded`` (see :func:`running_counts`) they are read off the histogram, otherwise selected by narrowing ranges.
     """
-    hist = running_counts(df, keys, value, bounded)
-    at = lambda pos: F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")), F.col(value)))
-    aggs, results = [], []
-    for name, p in probs.items():
-        if nearest_rank:
-            pos = F.greatest(F.ceil(F.col("total") * F.lit(p)) - 1, F.lit(0))
-            aggs.append(at(pos).alias(name))
-            results.append(F.col(name))
-            continue
-        exact = (F.col("total") - 1) * F.lit(p)
-        aggs += [at(F.floor(exact)).alias(f"{name}_lo"), at(F.ceil(exact)).alias(f"{name}_hi"),
-                 F.max(exact - F.floor(exact)).alias(f"{name}_w")]
-        lo, hi, w = (F.col(f"{name}_{s}") for s in ("lo", "hi", "w"))
-        results.append((lo + (hi - lo) * w).alias(name))
+    n = F.col("n")
+    if nearest_rank:
+        ranks = {name: F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0)) for name, p in probs.items()}
+        results = [F.col(name) for name in probs]
+    else:
+        exact = {name: (n - 1) * F.lit(p) for name, p in probs.items()}
+        ranks = {f"{name}_{end}": getattr(F, end)(e) for name, e in exact.items() for end in ("floor", "ceil")}
+        between = lambda name: F.col(f"{name}_floor") + (F.col(f"{name}_ceil") - F.col(f"{name}_floor")) * (exact[name] - F.floor(exact[name]))
+        results = [between(name).alias(name) for name in probs]
+    if not bounded:
+        return selected(df, keys, value, ranks).select(*keys, *results)
+    hist = running_counts(df, keys, value, True).withColumnRenamed("n", "_n").withColumnRenamed("total", "n")
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("_n")), F.col(value)))
+    aggs = [F.max("n").alias("_total"), *[at(rank).alias(name) for name, rank in ranks.items()]]
     grouped = hist.groupBy(*keys).agg(*aggs) if keys else hist.agg(*aggs)
-    return grouped.select(*keys, *results)
+    return grouped.withColumnRenamed("_total", "n").select(*keys, *results)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -202,9 +202,9 @@ def claim_ledger(t):
 
 
 @query("claim_words", r"""SELECT doc_id, 'opening' AS claim, regexp_extract(text, '^([A-Za-z]+)', 1) AS quoted, CASE WHEN regexp_extract(text, '^([A-Za-z]+)', 1)='' THEN 'pattern_vanished' WHEN regexp_extract(text, '^([A-Za-z]+)', 1)='The' THEN 'ok' ELSE 'differs' END AS status
-    FROM documents WHERE doc_id % 3=0""")
+    FROM documents""")
 def claim_words(t):
-    ledger = t.documents.where(F.col("doc_id") % 3 == 0).select("doc_id", F.lit("opening").alias("claim"), F.lit("^([A-Za-z]+)").alias("pattern"), F.lit(0.0).alias("value"), F.lit(0.0).alias("tolerance"), F.lit("The").alias("word"))
+    ledger = t.documents.select("doc_id", F.lit("opening").alias("claim"), F.lit("^([A-Za-z]+)").alias("pattern"), F.lit(0.0).alias("value"), F.lit(0.0).alias("tolerance"), F.lit("The").alias("word"))
     return claims.claim_ledger(t.documents, ledger)
 
 

@@ -1,5 +1,6 @@
 """Rankings, quantiles and comparisons against hand cases and brute force, with hot keys."""
 
+import math
 import random
 import statistics
 
@@ -87,3 +88,38 @@ def test_leave_one_out_takes_every_group(frame):
     rows = [(i, f"d{i}", float(i), 1.0) for i in range(6)]
     panel = frame(rows, "cell int, district string, fine double, seasonal double")
     assert {r["omitted"]: r["n"] for r in compare.leave_one_group_out(panel).collect()} == {f"d{i}": 5 for i in range(6)}
+
+
+def test_selection_equals_sorting(spark):
+    """Ties, nulls, null keys, hot and tiny groups, extreme ranges; several narrowing steps."""
+    import random
+
+    rng = random.Random(12)
+    rows = [("hot", rng.choice((0.0, 1.0, rng.gauss(0, 1), 10 ** rng.uniform(-300, 300)))) for _ in range(20_000)]
+    rows += [("same", 5.0)] * 300 + [("one", -1.5), ("two", 1.0), ("two", 2.0), ("none", None), ("hot", None), (None, 3.0), (None, 4.0)] + [("few", float(i)) for i in range(11)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"q0": 0.0, "q1": 0.025, "q5": 0.5, "q9": 0.999, "q10": 1.0}
+    got = {r["k"]: r for r in ordering.exact_quantiles(df, ["k"], "v", probs).collect()}
+    nearest = {r["k"]: r for r in ordering.exact_quantiles(df, ["k"], "v", probs, nearest_rank=True).collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert set(got) == set(nearest) == set(groups)
+    for k, values in groups.items():
+        values.sort()
+        for name, p in probs.items():
+            at = (len(values) - 1) * p
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert got[k][name] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12)
+            assert nearest[k][name] == values[max(math.ceil(p * len(values)) - 1, 0)]
+
+
+def test_selection_of_whole_numbers_without_keys(spark):
+    big = 1 << 60
+    df = spark.range(5000).selectExpr(f"cast({big} + id % 1700 as bigint) as v")
+    values = sorted(big + i % 1700 for i in range(5000))
+    row = ordering.selected(df, [], "v", {"a": F.lit(0), "b": F.lit(2500), "c": F.lit(4999)}).first()
+    assert (row["n"], row["a"], row["b"], row["c"]) == (5000, values[0], values[2500], values[4999])
+    none = ordering.exact_quantiles(df.where("v < 0"), [], "v", {"m": 0.5}).collect()
+    assert [r["m"] for r in none] == [None]
