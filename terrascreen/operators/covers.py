@@ -63,26 +63,39 @@ def buffer_scenarios(points: DataFrame, distances: dict[str, Column], step: floa
         (F.coalesce(F.max(F.when(~F.col("value"), F.col("n"))), F.lit(0)) * step).alias("longest_gap_m"))
 
 
-def buffered_lengths(segments: DataFrame, covers: dict[str, DataFrame], keys: list[str] = ("gid",)) -> DataFrame:
-    """Exact route metrics per vegetation group and buffer: no points, so no step.
+def buffered_spans(segments: DataFrame, covers: dict[str, DataFrame], keys: list[str] = ("gid",)) -> DataFrame:
+    """Exact merged intervals ``a, b`` of every route per vegetation group and buffer: no points, so no step.
 
     ``covers`` maps a vegetation group to the edges of its polygons (``poly_id, x1, y1, x2, y2``). The intervals inside a cover are found once
     and serve all of its buffers.
     """
-    keys, found = list(keys), []
-    lengths = linear.route_lengths(segments, keys)
+    keys, found = list(keys), None
     for name, edges in covers.items():
         inside = materialise(cuts.polygon_overlaps(segments, edges, keys), "inside")
         for buffer in BUFFERS_M:
             spans = inside if buffer == 0 else inside.unionByName(cuts.edge_overlaps(segments, edges, keys, buffer))
-            found.append(spans.select(*keys, F.lit(name).alias("vegetation"), F.lit(buffer).alias("buffer_m"), "a", "b"))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("vegetation"), F.lit(b).alias("buffer_m")) for n in covers for b in BUFFERS_M])).alias("k")
-    every = lengths.select(*keys, kinds, "route_m").select(*keys, "k.vegetation", "k.buffer_m", "route_m")
+            spans = spans.select(*keys, F.lit(name).alias("vegetation"), F.lit(buffer).alias("buffer_m"), "a", "b")
+            found = spans if found is None else found.unionByName(spans)
+    return linear.interval_merge(found, [*keys, "vegetation", "buffer_m"])
+
+
+def _per_buffer(lengths: DataFrame, groups: list[str]) -> DataFrame:
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("vegetation"), F.lit(b).alias("buffer_m")) for n in groups for b in BUFFERS_M])).alias("k")
+    return lengths.select("*", kinds).select(*lengths.columns, "k.vegetation", "k.buffer_m")
+
+
+def buffered_lengths(segments: DataFrame, covers: dict[str, DataFrame], keys: list[str] = ("gid",)) -> DataFrame:
+    """Exact route metrics per vegetation group and buffer (see :func:`buffered_spans`)."""
     by = [*keys, "vegetation", "buffer_m"]
-    return linear.overlap_profile(linear.interval_merge(spans, by), every, by).withColumnRenamed("route_m", "length_m")
+    every = _per_buffer(linear.route_lengths(segments, list(keys)), list(covers))
+    return linear.overlap_profile(buffered_spans(segments, covers, keys), every, by).withColumnRenamed("route_m", "length_m").select(*by, "length_m", "overlap_m", "overlap_percent", "longest_gap_m", "reconciles")
+
+
+def buffered_windows(segments: DataFrame, covers: dict[str, DataFrame]) -> DataFrame:
+    """Full windows from both ends of every route, per vegetation group and buffer, from exact intervals."""
+    every = _per_buffer(linear.route_lengths(segments), list(covers))
+    spans = materialise(buffered_spans(segments, covers), "buffered")
+    return linear.fixed_windows(spans, every, keys=["gid", "vegetation", "buffer_m"])
 
 
 def window_summary(windows: DataFrame) -> DataFrame:

@@ -183,6 +183,18 @@ def lag_autocorrelation(points: DataFrame, value: Column, max_lag: int = REPORTE
     return long.groupBy(F.col("l.lag").alias("lag")).agg((F.sum(covariance / F.col("var")) / F.sum("l.p")).alias("rho"), F.sum("l.p").alias("pairs"))
 
 
+def placement_inflation(spans: DataFrame, assessed_m: Column, total: int, step: float) -> DataFrame:
+    """Runs of the mapped class (rows with ``value`` true of :func:`linear.runs`) and the variance inflation that their mean length suggests.
+
+    A systematic sample of an autocorrelated series inflates variance by about patch length over sampling step; a rough bound, no estimate.
+    Without runs the mean is 0 and the inflation 1.
+    """
+    n = F.when(F.col("value"), F.col("n"))
+    row = spans.agg(F.count(n).alias("runs"), F.coalesce(F.avg(n), F.lit(0.0)).alias("_mean"), F.coalesce(F.max(n), F.lit(0)).alias("longest_frames")).withColumn("_m", assessed_m)
+    return row.select("runs", rounded("_mean", 2).alias("mean_length_frames"), "longest_frames", rounded(F.col("_mean") * step, 2).alias("mean_length_m"), rounded(F.col("_m") / total, 4).alias("sampling_step_m"),
+                      rounded(1 + F.col("_mean") * step / (F.col("_m") / total), 4).alias("inflation_for_random_placement"))
+
+
 def draw_starts(cells: DataFrame, draws: int, fraction: Column) -> DataFrame:
     """One row per draw and segment with its start; ``fraction`` may use ``draw`` and ``gid``."""
     rows = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
