@@ -5,6 +5,7 @@ token labels; the field is then trained on whole token sequences, so its weights
 """
 
 import math
+import multiprocessing
 import pickle
 import re
 import zlib
@@ -228,8 +229,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted((r["id"], r["text"]) for batch in batches for r in batch.to_pylist())
-        field = train([(t, truth[i]) for i, t in sample])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((field.weights, field.bias, field.start, field.moves, field.score))])], ["field"])
+        # Workers live on after a task; a child takes the memory of the training with it when it ends.
+        forked = multiprocessing.get_context("fork")
+        receiver, sender = forked.Pipe(False)
+
+        def child() -> None:
+            field = train([(t, truth[i]) for i, t in sample])
+            sender.send_bytes(pickle.dumps((field.weights, field.bias, field.start, field.moves, field.score)))
+
+        process = forked.Process(target=child)
+        process.start()
+        sender.close()
+        found = receiver.recv_bytes()
+        process.join()
+        yield pa.RecordBatch.from_arrays([pa.array([found])], ["field"])
 
     # The sample is bounded, so one task holds it; the driver gets weights only.
     return Field(*pickle.loads(bytes(rows.repartition(1).mapInArrow(learn, "field binary").first()[0])))
