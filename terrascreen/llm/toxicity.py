@@ -107,7 +107,7 @@ def _cover(toxic: list[np.ndarray], clean: list[np.ndarray], size: int, least: i
     documents toxic). Then, for documents still without one, features chosen one by one by the number of such documents, less a cost for
     each clean document hit.
     """
-    count = lambda documents: np.bincount(np.concatenate([*documents, np.empty(0, np.int64)]), minlength=size)
+    count = lambda documents: np.bincount(np.concatenate([*documents, np.empty(0, np.int32)]), minlength=size)
     found, hits = count(toxic).astype(float), count(clean).astype(float)
     scale = max(1.0, len(toxic) / max(1, len(clean)))
     share = len(toxic) / (len(toxic) + len(clean))
@@ -167,7 +167,7 @@ def train(documents: list[tuple[str, int]], rounds: int = 60, decay: float = 1e-
 
     def held(ids: np.ndarray) -> np.ndarray:
         own = np.unique(ids)
-        return np.unique(column[np.repeat(first[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own]) + np.arange(sizes[own].sum())])
+        return np.unique(column[np.repeat(first[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own]) + np.arange(sizes[own].sum())]).astype(np.int32)
 
     lexicon = _cover([held(ids) for ids, t in zip(tokens, toxic) if t], [held(ids) for ids, t in zip(tokens, toxic) if not t], len(names))
     marked = (np.bincount(row, lexicon[column], len(words)) > 0).astype(float)
