@@ -9,8 +9,10 @@ candidate list and stay one row each.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +209,61 @@ def box_edges(boxes: DataFrame, box_id: str = "poly_id") -> DataFrame:
     return boxes.select(box_id, F.explode(edges).alias("e")).select(box_id, "e.x1", "e.y1", "e.x2", "e.y2")
 
 
+#: Rows of a tile that are compared at once, the largest boxes of a tile that others are held against, and boxes of a tile for one task.
+CHUNK, HOLDERS, CROWD = 512, 1024, 20_000
+SIDES = ["x1", "y1", "x2", "y2"]
+
+
+def outer_boxes(boxes: DataFrame, box_id: str | None = None, tile_m: float = 50.0) -> DataFrame:
+    """Sides (and ``box_id``) of boxes with the same union: equal ones once, without those that were found inside another one.
+
+    A box is held against the largest ones of the tile of its lower left corner, which any box around it reaches; crowded tiles are dealt over
+    several tasks, so a box inside another may stay, but none that the union needs goes. With ``box_id``, only boxes take part whose id is theirs
+    alone: polygons of several boxes, and boxes without an id or with sides in reverse, stay as they are.
+    """
+    names = [*([box_id] if box_id else []), *SIDES]
+    plain = F.coalesce((F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")), F.lit(False))
+    boxes = boxes.select(*names)
+    if box_id:
+        several = boxes.groupBy(box_id).agg(F.count("*").alias("n")).where("n > 1").select(box_id)
+        plain = plain & F.col(box_id).isNotNull()
+        single = boxes.where(plain).join(several, box_id, "left_anti")
+        others = boxes.where(~plain).unionByName(boxes.where(plain).join(several, box_id, "left_semi").select(*names))
+    else:
+        single, others = boxes.where(plain), boxes.where(~plain).distinct()
+    classes = single.groupBy(*SIDES).agg(F.min(box_id).alias(box_id)) if box_id else single.distinct()
+    tile = lambda v: F.floor(F.col(v) / F.lit(tile_m)).cast("bigint")
+    tiled = classes.withColumn("tx", F.explode(F.sequence(tile("x1"), tile("x2")))).withColumn("ty", F.explode(F.sequence(tile("y1"), tile("y2"))))
+    crowds = tiled.groupBy("tx", "ty").agg(F.ceil(F.count("*") / CROWD).alias("tasks"))
+    dealt = tiled.join(crowds, ["tx", "ty"]).withColumns({
+        "salt": F.pmod(F.xxhash64(*SIDES), F.col("tasks")), "own": (F.col("tx") == tile("x1")) & (F.col("ty") == tile("y1")),
+        "size": (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))})
+    group = ["tx", "ty", "salt"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, F.desc("size"), *SIDES).select(*names, *group, "own")
+    around = lambda a, b: (a[None, :, 0] <= b[:, None, 0]) & (a[None, :, 1] <= b[:, None, 1]) & (a[None, :, 2] >= b[:, None, 2]) & (a[None, :, 3] >= b[:, None, 3])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, holders = None, np.empty((0, 4))
+        for batch in batches:
+            sides = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in SIDES])
+            tiles = np.column_stack([batch.column(c).to_numpy() for c in group])
+            stays = np.zeros(len(sides), bool)
+            starts = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]).any(axis=1)])
+            for start, end in zip(starts, np.r_[starts[1:], len(tiles)]):
+                if (now := tuple(tiles[start])) != last:
+                    last, holders = now, np.empty((0, 4))
+                for at in range(start, end, CHUNK):
+                    rows = np.arange(at, min(at + CHUNK, end))
+                    rows = rows[~around(holders, sides[rows]).any(axis=1)]
+                    rows = rows[~np.tril(around(sides[rows], sides[rows]), -1).any(axis=1)]
+                    stays[rows] = True
+                    holders = np.concatenate([holders, sides[rows]])[:HOLDERS]
+            yield batch.filter(pa.array(stays & batch.column("own").to_numpy(zero_copy_only=False))).select(names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*names).schema)
+    return dealt.mapInArrow(keep, schema).unionByName(others)
+
+
 def distance_to_edges(points: DataFrame, point_key: list[str], edges: DataFrame, cell_m: float = 8.0) -> DataFrame:
     """Adds ``edge_distance``: exact distance from each point to the nearest edge.
 
@@ -342,9 +399,12 @@ def inside_polygons(points: DataFrame, point_key: list[str], edges: DataFrame, p
 
 
 def point_in_cover(points: DataFrame, point_key: list[str], edges: DataFrame, poly_id: str = "poly_id", near_m: float = 5.0) -> DataFrame:
-    """Adds ``distance_to_cover`` (0 inside or on the boundary) and ``stratum``."""
+    """Adds ``distance_to_cover`` (0 inside or on the boundary) and ``stratum``; edges are only searched for points that are not inside."""
     inside = inside_polygons(points, point_key, edges, poly_id).withColumn("_in", F.lit(True))
-    placed = distance_to_edges(points, point_key, edges).join(inside, point_key, "left")
-    distance = F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("edge_distance"))
+    marked = materialise(points.join(inside, point_key, "left").select(*points.columns, "_in"), "marked-points")
+    away = distance_to_edges(marked.where("_in is null").drop("_in"), point_key, edges)
+    placed = (away.select(*points.columns, F.col("edge_distance").alias("distance_to_cover"))
+              .unionByName(marked.where("_in").select(*points.columns, F.lit(0.0).alias("distance_to_cover"))))
+    distance = F.col("distance_to_cover")
     stratum = F.when(distance == 0, "mapped_overlap").when(distance <= near_m, "proximity_only").otherwise("mapped_non_overlap")
-    return placed.select(*points.columns, distance.alias("distance_to_cover"), stratum.alias("stratum"))
+    return placed.select(*points.columns, distance, stratum.alias("stratum"))
