@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascreen.operators import cuts, linear
+from terrascreen.operators import cuts, linear, spatial
 from terrascreen.operators.ordering import exact_quantiles, materialise
 
 # The translations tried, metres east and north.
@@ -25,9 +25,9 @@ PROXIMITY_M = 5.0
 
 
 def route_cover_profile(segments: DataFrame, boxes: DataFrame, keys: list[str] = ("gid",)) -> DataFrame:
-    """Overlap, share and longest gap of every route under a box cover."""
+    """Overlap, share and longest gap of every route under a box cover; boxes inside others are left out first."""
     keys = list(keys)
-    merged = linear.interval_merge(linear.box_overlaps(segments, boxes, keys), keys)
+    merged = linear.interval_merge(linear.box_overlaps(segments, spatial.outer_boxes(boxes), keys), keys)
     return linear.overlap_profile(merged, linear.route_lengths(segments, keys), keys)
 
 
