@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascreen.llm.shared import ROW, bundled, spread, written
+from terrascreen.llm.shared import ROW, bundled, lean, spread, written
 
 BLOCK_CHARS = 40_000_000
 GROUP_WORDS = 262_144
@@ -227,13 +227,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     source = bundled(docs, text, keep)
     kept = source.schema[ROW].dataType
     layout = f"block long, step int, payload binary, rows array<{kept.simpleString()}>"
-    blocks = written(source.mapInArrow(_cutter(pattern, buckets, block_chars, to_arrow_type(kept)), layout), "bpe-blocks")
+    blocks = written(source.mapInArrow(lean(_cutter(pattern, buckets, block_chars, to_arrow_type(kept))), layout), "bpe-blocks")
     is_word = (F.col("step") >= 0) & (F.col("step") < DOCUMENTS)
     words = blocks.where(is_word).repartition(buckets, "step").sortWithinPartitions("step")
-    replies = words.mapInArrow(_encoder(ranks_path), layout)
+    replies = words.mapInArrow(lean(_encoder(ranks_path)), layout)
     both = blocks.where(~is_word).unionByName(replies).repartition(buckets, "block").sortWithinPartitions("block", "step")
     own = ("ids", "decoded") if decoded else ("ids",)
-    result = both.mapInArrow(_assembler(ranks_path if decoded else None), f"{ROW} {kept.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
+    result = both.mapInArrow(lean(_assembler(ranks_path if decoded else None)), f"{ROW} {kept.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
     return spread(result, keep, *own)
 
 

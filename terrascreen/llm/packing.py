@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascreen.llm.bpe import read_ranks
-from terrascreen.llm.shared import ROW, bundled, spread, written
+from terrascreen.llm.shared import ROW, bundled, lean, spread, written
 
 #: The pre-token pattern of the 50k byte-level vocabularies, in a form without backtracking.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int, limit: int = 1024, nearl
     source = bundled(docs, text, keep)
     kept = source.schema[ROW].dataType.simpleString()
     layout = f"{ROW} {kept}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean" + ", tokens binary" * tokens
-    level = written(source.mapInArrow(_tokenizer(ranks_path, pattern, end_id, limit, least, tokens), layout), "pack-0")
+    level = written(source.mapInArrow(lean(_tokenizer(ranks_path, pattern, end_id, limit, least, tokens)), layout), "pack-0")
     closed, depth, before = [level.where("not open")], 0, None
     while True:
         waiting = level.where("open")
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int, limit: int = 1024, nearl
         depth += 1
         tasks = -(-bins // BINS_PER_TASK)
         dealt = waiting.repartition(tasks, F.xxhash64("sequence_id", F.lit(depth)))
-        level = written(dealt.mapInArrow(_merger(limit, least, depth), layout), f"pack-{depth}")
+        level = written(dealt.mapInArrow(lean(_merger(limit, least, depth)), layout), f"pack-{depth}")
         if tasks == 1:
             closed.append(level)
             break

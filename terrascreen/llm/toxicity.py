@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascreen.llm.shared import ROW, bundled, spread
+from terrascreen.llm.shared import ROW, bundled, give_back, lean, spread
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7, 8)
-CACHE = 1_000_000
+#: Words whose weights a task remembers: about 100 bytes each, in every worker.
+CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def marginals(emissions: list[np.ndarray], start: float, moves) -> list[np.ndarr
     for k, i in enumerate(order):
         if lengths[k]:
             flat[at[:lengths[k]] + k] = emissions[i]
-    odds = np.exp(np.clip(flat, -50, 50))
+    odds = np.exp(np.clip(flat, -50, 50, out=flat), out=flat)
     (m00, m01), (m10, m11) = np.exp(np.array(moves))
     forward, backward = np.empty_like(odds), np.ones_like(odds)
     ratio = np.full(active[0], math.exp(start))
@@ -81,8 +82,8 @@ def marginals(emissions: list[np.ndarray], start: float, moves) -> list[np.ndarr
         n = active[t + 1]
         beyond = backward[at[t + 1]:at[t + 2]] * odds[at[t + 1]:at[t + 2]]
         backward[at[t]:at[t] + n] = (m10 + m11 * beyond) / (m00 + m01 * beyond)
-    both = np.clip(forward * backward, 0, 1e60)
-    shares = both / (1 + both)
+    both = np.clip(np.multiply(forward, backward, out=forward), 0, 1e60, out=forward)
+    shares = np.divide(both, np.add(both, 1, out=backward), out=both)
     result: list[np.ndarray] = [np.empty(0)] * len(emissions)
     for k, i in enumerate(order):
         result[i] = shares[at[:lengths[k]] + k]
@@ -237,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
             field = train([(t, truth[i]) for i, t in sample])
             sender.send_bytes(pickle.dumps((field.weights, field.bias, field.start, field.moves, field.score)))
 
+        give_back()
         process = forked.Process(target=child)
         process.start()
         sender.close()
@@ -245,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
         yield pa.RecordBatch.from_arrays([pa.array([found])], ["field"])
 
     # The sample is bounded, so one task holds it; the driver gets weights only.
-    return Field(*pickle.loads(bytes(rows.repartition(1).mapInArrow(learn, "field binary").first()[0])))
+    return Field(*pickle.loads(bytes(rows.repartition(1).mapInArrow(lean(learn), "field binary").first()[0])))
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", keep: Sequence[str] = ("doc_id",), batch_tokens: int = 2_000_000) -> DataFrame:
@@ -294,7 +296,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", keep: Sequence[str]
                 yield finish(batch.column(ROW).slice(first), texts, emissions)
 
     layout = f"{ROW} {source.schema[ROW].dataType.simpleString()}, score double, spans array<struct<start:bigint,end:bigint,probability:double>>"
-    return spread(source.mapInArrow(tag, layout), keep, "score", "spans")
+    return spread(source.mapInArrow(lean(tag), layout), keep, "score", "spans")
 
 
 def _lowered(text: str) -> str:

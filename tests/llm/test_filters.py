@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from terrascreen.llm import licenses, secrets, surrogates, toxicity, urls
+from terrascreen.llm import licenses, secrets, shared, surrogates, toxicity, urls
 from tests.llm.cases import AWKWARD, SCHEMA, rows, texts
 
 OPAQUE = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY9"
@@ -231,3 +231,14 @@ def test_repeated_and_contradictory_labels_have_an_order(spark):
     labels = [(i, y) for i, _, y in corpus] + [(corpus[2][0], 1 - corpus[2][2]), (corpus[3][0], None), (None, 1)]
     fits = [toxicity.fit(docs.repartition(n), spark.createDataFrame(labels[::step], "doc_id long, toxic int").repartition(n)) for n, step in ((1, 1), (5, -1))]
     assert fits[0] == fits[1] and fits[0].weights
+
+
+def test_a_task_gives_memory_back_at_its_end(monkeypatch):
+    ended = []
+    monkeypatch.setattr(shared, "give_back", lambda: ended.append(True))
+    task = shared.lean(iter)(["one", "two"])
+    assert next(task) == "one" and not ended
+    assert list(task) == ["two"] and ended == [True]
+    next(cut := shared.lean(iter)(["one", "two"]))
+    cut.close()
+    assert ended == [True, True]
