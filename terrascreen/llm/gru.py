@@ -59,6 +59,16 @@ def _tanh(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers: of 16 bits, where they fit, since those are sorted by counting."""
+    return np.argsort(numbers.astype(np.int16) if len(numbers) and numbers.max() < 1 << 15 else numbers, kind="stable")
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no sum over states within 1 can come to the highest exponent."""
+    return bool((np.abs(weights).sum(-2) + bias).max(initial=-np.inf) < HIGHEST - 1)
+
+
 class Window:
     """The run of a window: ``inputs``, ``goes_on`` (0 where a document begins) as ``[steps, lanes]``, from ``state [lanes, states]``."""
 
@@ -94,7 +104,8 @@ class Window:
         logits = states @ p["classes"]
         logits += p["class_bias"]
         # States lie within 1, so weights would have to be huge to come here; below the limit no sum of exp overflows.
-        np.minimum(logits, HIGHEST, out=logits)
+        if not _bounded(p["classes"], p["class_bias"]):
+            np.minimum(logits, HIGHEST, out=logits)
         at = np.arange(len(classes))
         logs = logits[at, classes]
         np.exp(logits, out=logits)
@@ -109,24 +120,32 @@ class Window:
             flow = logits @ p["classes"].T
             found["words"], found["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
         inside = np.flatnonzero(members >= 0)
-        order = inside[np.argsort(classes[inside], kind="stable")]
+        order = inside[_order(classes[inside])]
         bounds = np.searchsorted(classes[order], np.arange(len(p["words"]) + 1))
+        held, places, within = states[order], members[order], np.empty(len(order), np.float32)
+        if flow is not None:
+            shares, inflow = weights[order], np.empty_like(held)
+        bounded = _bounded(p["words"], p["word_bias"])
         for c in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[c]:bounds[c + 1]]
-            own, picked = states[rows], members[rows]
+            span = slice(bounds[c], bounds[c + 1])
+            own, picked = held[span], places[span]
             inner = own @ p["words"][c]
             inner += p["word_bias"][c]
-            np.minimum(inner, HIGHEST, out=inner)
-            spot = np.arange(len(rows))
+            if not bounded:
+                np.minimum(inner, HIGHEST, out=inner)
+            spot = np.arange(len(own))
             chosen = inner[spot, picked]
             np.exp(inner, out=inner)
             sums = inner @ np.ones(inner.shape[1], np.float32)
-            logs[rows] += chosen - np.log(sums)
+            within[span] = chosen - np.log(sums)
             if flow is not None:
-                inner *= (weights[rows] / sums)[:, None]
-                inner[spot, picked] -= weights[rows]
+                inner *= (shares[span] / sums)[:, None]
+                inner[spot, picked] -= shares[span]
                 found["words"][c], found["word_bias"][c] = own.T @ inner, np.ones(len(inner), np.float32) @ inner
-                flow[rows] += inner @ p["words"][c].T
+                inflow[span] = inner @ p["words"][c].T
+        logs[order] += within
+        if flow is not None:
+            flow[order] += inflow
         return logs, (found if flow is not None else None), flow
 
     def backward(self, flow: np.ndarray, found: Parameters) -> Parameters:
@@ -157,7 +176,7 @@ class Window:
         found["inner"] = self.reset.reshape(-1, size).T @ turned[:, 2 * size:]
         found["enter"], found["bias"] = self.taken.T @ turned, np.ones(len(turned), np.float32) @ turned
         rows = self.inputs.ravel()
-        order = np.argsort(rows, kind="stable")
+        order = _order(rows)
         starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
         found["embed"] = np.zeros_like(p["embed"])
         found["embed"][rows[order][starts]] = np.add.reduceat((turned @ p["enter"].T)[order], starts)

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,12 +158,12 @@ def _stream(numbered: Sequence[np.ndarray], known: Vocabulary) -> gru.Stream:
 
 def _numbers(batches: Iterator[pa.RecordBatch], known: Vocabulary, apart_too: bool):
     """Size and word numbers of every text, counts of its words that are not listed, its batch and place."""
-    number, other = known.numbers.__getitem__, len(known.numbers)
+    number, other = known.numbers.get, len(known.numbers)
     for batch in batches:
         column = batch.column("text")
         for i in range(batch.num_rows):
             words = tokens(column[i].as_py())
-            ids = np.fromiter(map(number, words), np.int32, len(words))
+            ids = np.fromiter(map(number, words, repeat(other)), np.int32, len(words))
             apart = Counter(words[j] for j in np.flatnonzero(ids == other).tolist()) if apart_too else None
             yield len(words), ids, apart, batch, i
 

@@ -60,6 +60,21 @@ def test_documents_keep_their_state_over_windows(lanes, steps):
     assert gru.document_logs(network(), stream([1]), np.zeros(0, np.int64), lanes, steps).size == 0
 
 
+def test_the_limit_of_a_softmax_is_left_out_only_where_no_sum_reaches_it():
+    p, sizes = network(), np.array([7, 20, 3])
+    assert gru._bounded(p["classes"], p["class_bias"]) and gru._bounded(p["words"], p["word_bias"])
+    p["classes"] *= 500
+    p["words"] *= 500
+    assert not gru._bounded(p["classes"], p["class_bias"]) and not gru._bounded(p["words"], p["word_bias"])
+    assert np.isfinite(gru.document_logs(p, stream(sizes), sizes, 2, 5)).all()
+
+
+@pytest.mark.parametrize("most", [800, 1 << 20])
+def test_small_numbers_keep_their_order(most):
+    numbers = np.random.default_rng(6).integers(0, most, 5000)
+    assert (gru._order(numbers) == np.argsort(numbers, kind="stable")).all() and len(gru._order(numbers[:0])) == 0
+
+
 def test_gradients_are_slopes():
     s = stream([6, 9])
     fold = lambda x: x[:14].reshape(2, 7).T
