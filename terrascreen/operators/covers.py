@@ -25,10 +25,15 @@ PROXIMITY_M = 5.0
 
 
 def route_cover_profile(segments: DataFrame, boxes: DataFrame, keys: list[str] = ("gid",)) -> DataFrame:
-    """Overlap, share and longest gap of every route under a box cover; boxes inside others are left out first."""
+    """Overlap, share and longest gap of every route under a box cover."""
     keys = list(keys)
-    merged = linear.interval_merge(linear.box_overlaps(segments, spatial.outer_boxes(boxes), keys), keys)
-    return linear.overlap_profile(merged, linear.route_lengths(segments, keys), keys)
+    return linear.overlap_profile(covered_intervals(segments, boxes, keys), linear.route_lengths(segments, keys), keys)
+
+
+def covered_intervals(segments: DataFrame, boxes: DataFrame, keys: list[str] = ("gid",)) -> DataFrame:
+    """Merged intervals ``keys, a, b`` of every route under a box cover; boxes inside others are left out before routes meet them."""
+    keys = list(keys)
+    return linear.interval_merge(linear.box_overlaps(segments, spatial.outer_boxes(boxes), keys), keys)
 
 
 def shift_scenarios(segments: DataFrame, boxes: DataFrame) -> DataFrame:
