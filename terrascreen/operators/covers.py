@@ -76,6 +76,7 @@ def buffered_spans(segments: DataFrame, covers: dict[str, DataFrame], keys: list
     """
     keys, found = list(keys), None
     for name, edges in covers.items():
+        edges = materialise(spatial.outer_polygons(edges), "outer-edges")
         inside = materialise(cuts.polygon_overlaps(segments, edges, keys), "inside")
         for buffer in BUFFERS_M:
             spans = inside if buffer == 0 else inside.unionByName(cuts.edge_overlaps(segments, edges, keys, buffer))

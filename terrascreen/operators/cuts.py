@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrascreen.operators import linear
 from terrascreen.operators.ordering import blocked_scan, materialise, ordered_blocks
-from terrascreen.operators.spatial import edge_tiles, inside_polygons
+from terrascreen.operators.spatial import edge_tiles, inside_polygons, outer_polygons
 
 #: Distance under which a point lies on a line, and the longest interval that is only rounding, metres.
 ON_LINE_M, SLIVER_M = 1e-9, 1e-9
@@ -25,10 +25,10 @@ def _ends(alias: str) -> tuple[Column, Column, Column, Column]:
 
 def _met(segments: DataFrame, edges: DataFrame, keys: list[str], margin: float, tile_m: float) -> DataFrame:
     """Pairs of segments ``s`` and edges ``e`` at most ``margin`` apart in some tile; a pair may come more than once."""
-    lines = segments.select(*keys, "part", F.struct("x1", "y1", "x2", "y2", "len", "offset").alias("s"), "x1", "y1", "x2", "y2")
+    lines = linear.dealt(segments).select(*keys, "part", F.struct("x1", "y1", "x2", "y2", "len", "offset").alias("s"), "x1", "y1", "x2", "y2")
     lines = edge_tiles(lines, tile_m, 1e-6).select(*keys, "part", "s", "tx", "ty")
     shapes = edge_tiles(edges.select("x1", "y1", "x2", "y2").distinct(), tile_m, margin + 1e-6)
-    return lines.join(shapes.select(F.struct("x1", "y1", "x2", "y2").alias("e"), "tx", "ty"), ["tx", "ty"])
+    return linear.met_on_tiles(lines, shapes.select(F.struct("x1", "y1", "x2", "y2").alias("e"), "tx", "ty"))
 
 
 def _clipped(low: Column, high: Column) -> tuple[Column, Column]:
@@ -67,8 +67,9 @@ def polygon_overlaps(segments: DataFrame, edges: DataFrame, keys: list[str], pol
     hit = ~flat & (cross != 0) & share.between(-reach, 1 + reach)
     at = F.try_divide((ax - px) * ey - (ay - py) * ex, cross)
     runs_low, runs_high = _clipped(F.least(along(ax, ay), along(bx, by)), F.greatest(along(ax, ay), along(bx, by)))
-    pairs = materialise(pairs.select(*keys, "part", "s", F.when(hit, at).alias("at"), F.when(flat, runs_low).alias("low"), F.when(flat, runs_high).alias("high"))
-                        .where("at is not null or low is not null"), "crossings")
+    # The row number keeps the test after the formula (see _placed).
+    pairs = materialise(pairs.select(*keys, "part", "s", F.monotonically_increasing_id().alias("_row"), F.when(hit, at).alias("at"), F.when(flat, runs_low).alias("low"), F.when(flat, runs_high).alias("high"))
+                        .where("(at is not null or low is not null) and _row >= 0").drop("_row"), "crossings")
     spots = pairs.select(*keys, "part", "s", F.explode(F.array("at", "low", "high")).alias("at")).where(F.col("at") > 0).where(F.col("at") < F.col("s.len"))
     ends = segments.select(*keys, "part", F.struct("x1", "y1", "x2", "y2", "len", "offset").alias("s"))
     ends = ends.select(*keys, "part", "s", F.explode(F.array(F.lit(0.0), "s.len")).alias("at"))
@@ -120,6 +121,7 @@ def edge_overlaps(segments: DataFrame, edges: DataFrame, keys: list[str], distan
 
 def cover_overlaps(segments: DataFrame, edges: DataFrame, keys: list[str], distance_m: float = 0.0, poly_id: str = "poly_id") -> DataFrame:
     """Merged intervals of each route inside a cover or within ``distance_m`` of it; boundaries count as covered."""
+    edges = materialise(outer_polygons(edges, poly_id), "outer-edges")
     found = polygon_overlaps(segments, edges, keys, poly_id)
     if distance_m > 0:
         found = found.unionByName(edge_overlaps(segments, edges, keys, distance_m))

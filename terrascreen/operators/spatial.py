@@ -264,6 +264,99 @@ def outer_boxes(boxes: DataFrame, box_id: str | None = None, tile_m: float = 50.
     return dealt.mapInArrow(keep, schema).unionByName(others)
 
 
+#: Corners of polygons that :func:`outer_polygons` looks at; polygons of more stay as they are.
+MOST_CORNERS = 16
+
+
+def outer_polygons(edges: DataFrame, poly_id: str = "poly_id", tile_m: float = 50.0) -> DataFrame:
+    """The edges without those of convex polygons that were found inside another convex one: the same union, and the same distances to it.
+
+    As in :func:`outer_boxes`, a polygon is held against the largest ones of the tile of its lower left corner, so one inside another may stay,
+    but none that the union needs goes. Polygons without an id, of several rings, with corners that turn both ways or of many corners stay.
+    """
+    c = F.col
+    names = [poly_id, *SIDES]
+    side = F.struct(*SIDES)
+    rings = edges.where(c(poly_id).isNotNull()).groupBy(poly_id).agg(F.count("*").alias("n"), F.min("x1").alias("low_x"), F.min("y1").alias("low_y"), F.max("x1").alias("high_x"), F.max("y1").alias("high_y"))
+    rings = rings.where(c("n").between(3, MOST_CORNERS))
+    lists = edges.join(rings.hint("merge"), poly_id).groupBy(poly_id, "low_x", "low_y", "high_x", "high_y").agg(F.sort_array(F.collect_list(side)).alias("ring"))
+    # Equal shapes count once.
+    classes = lists.groupBy("ring", "low_x", "low_y", "high_x", "high_y").agg(F.min(poly_id).alias(poly_id), F.count("*").alias("times"))
+    index = lambda name: F.floor(c(name) / F.lit(tile_m)).cast("bigint")
+    tiled = classes.withColumn("tx", F.explode(F.sequence(index("low_x"), index("high_x")))).withColumn("ty", F.explode(F.sequence(index("low_y"), index("high_y"))))
+    crowds = tiled.groupBy("tx", "ty").agg(F.ceil(F.count("*") / CROWD).alias("tasks"))
+    dealt = tiled.join(crowds, ["tx", "ty"]).withColumns({
+        "salt": F.pmod(F.xxhash64("ring"), c("tasks")), "own": (c("tx") == index("low_x")) & (c("ty") == index("low_y")),
+        "size": (c("high_x") - c("low_x")) * (c("high_y") - c("low_y"))})
+    group = ["tx", "ty", "salt"]
+    flat = F.transform("ring", lambda e: F.array(*[e[n].cast("double") for n in SIDES]))
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, F.desc("size"), poly_id).select(poly_id, F.flatten(flat).alias("ring"), *group, "own")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chained(ring: np.ndarray) -> np.ndarray | None:
+            """Corners in order, to the left of every edge, or none where the edges are no convex ring."""
+            after = {tuple(e[:2]): e for e in ring.tolist()}
+            walk, at = [], tuple(ring[0, :2].tolist())
+            while at in after and len(walk) <= len(ring):
+                edge = after.pop(at)
+                walk.append(edge[:2])
+                at = tuple(edge[2:])
+            if len(walk) != len(ring) or at != tuple(walk[0]):
+                return None
+            corners = np.array(walk)
+            along = np.roll(corners, -1, 0) - corners
+            turns = along[:, 0] * np.roll(along, -1, 0)[:, 1] - along[:, 1] * np.roll(along, -1, 0)[:, 0]
+            whole = np.abs(np.arctan2(turns, (along * np.roll(along, -1, 0)).sum(1)).sum())
+            if not np.isfinite(turns).all() or abs(whole - 2 * np.pi) > 1e-6:
+                return None
+            return corners if (turns > 0).all() else corners[::-1] if (turns < 0).all() else None
+
+        def inside(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+            """Whether all corners of each of ``inner`` are in some of ``outer``; both padded to one number of corners by repeats."""
+            along = np.roll(outer, -1, 1) - outer
+            left = np.ones((len(inner), len(outer)), bool)
+            for k in range(outer.shape[1]):
+                for j in range(inner.shape[1]):
+                    gap = inner[:, None, j] - outer[None, :, k]
+                    left &= along[None, :, k, 0] * gap[..., 1] - along[None, :, k, 1] * gap[..., 0] >= 0
+            return left
+
+        last, holders = None, np.empty((0, MOST_CORNERS, 2))
+        for batch in batches:
+            rings = [chained(np.array(r.as_py(), float).reshape(-1, 4)) for r in batch.column("ring")]
+            tiles = np.column_stack([batch.column(g).to_numpy() for g in group])
+            stays = np.ones(len(rings), bool)
+            convex = np.array([r is not None for r in rings])
+            width = max([holders.shape[1] if len(holders) else 0, *[len(r) for r in rings if r is not None]], default=0)
+            pad = lambda r, width: np.concatenate([r, np.repeat(r[-1:], width - len(r), 0)])
+            corners = np.array([pad(r, width) if r is not None else np.zeros((width, 2)) for r in rings])
+            if len(holders) and holders.shape[1] < width:
+                holders = np.array([pad(h, width) for h in holders])
+            starts = np.flatnonzero(np.r_[True, (tiles[1:] != tiles[:-1]).any(axis=1)])
+            for start, end in zip(starts, np.r_[starts[1:], len(tiles)]):
+                if (now := tuple(tiles[start])) != last:
+                    last, holders = now, np.empty((0, width, 2))
+                for first in range(start, end, CHUNK):
+                    rows = np.arange(first, min(first + CHUNK, end))
+                    rows = rows[convex[rows]]
+                    if len(holders):
+                        held = inside(corners[rows], holders).any(axis=1)
+                        stays[rows[held]] = False
+                        rows = rows[~held]
+                    each = np.tril(inside(corners[rows], corners[rows]), -1).any(axis=1)
+                    stays[rows[each]] = False
+                    holders = np.concatenate([holders, corners[rows[~each]]])[:HOLDERS] if len(rows) else holders
+            gone = ~stays & batch.column("own").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(poly_id).filter(pa.array(gone))], [poly_id])
+
+    id_type = edges.schema[poly_id].dataType.simpleString()
+    left_out = materialise(dealt.mapInArrow(keep, f"`{poly_id}` {id_type}"), "inner-polygons")
+    kept = materialise(classes.join(left_out.hint("merge"), poly_id, "left_anti").select("ring", poly_id), "outer-polygons")
+    own = kept.select(poly_id, F.explode("ring").alias("e")).select(poly_id, *[c(f"e.{n}").alias(n) for n in SIDES])
+    others = edges.select(*names).join(rings.select(poly_id).hint("merge"), poly_id, "left_anti")
+    return own.select(*names).unionByName(others)
+
+
 def distance_to_edges(points: DataFrame, point_key: list[str], edges: DataFrame, cell_m: float = 8.0) -> DataFrame:
     """Adds ``edge_distance``: exact distance from each point to the nearest edge.
 

@@ -137,3 +137,21 @@ def test_points_at_tile_corners_and_piles(frame):
     found = {r["pid"] for r in spatial.inside_polygons(frame(points, "pid int, x double, y double"), ["pid"], frame(edges, EDGES)).collect()}
     wanted = {i for i, x, y in points if x is not None and any(inside(x, y, [e for e in edges if e[0] == k]) for k in (1, 2, 3))}
     assert found == wanted
+
+
+def test_convex_polygons_inside_others_are_left_out(frame):
+    hexagon = [(30 * math.cos(k * math.pi / 3), 30 * math.sin(k * math.pi / 3)) for k in range(6)]
+    edges = (ring(1, *hexagon) + ring(2, (-5, -5), (5, -5), (0, 9)) + ring(3, (0, 9), (5, -5), (-5, -5)) + ring(4, *hexagon) + ring(5, (20, 20), (29, 0), (60, 40))
+             + ring(6, (-6, -6), (6, -6), (6, 6), (0, 0), (-6, 6)) + ring(7, (0, 0), (2, 0), (0, 2)) + ring(7, (8, 8), (9, 8), (8, 9)) + ring(8, (200, 0), (201, 0), (200, 3)))
+    edges += [(None, 1.0, 1.0, 2.0, 2.0)]
+    found = spatial.outer_polygons(frame(edges, EDGES)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted((e for e in edges if e[0] not in (2, 3, 4)), key=str)
+
+
+def test_routes_meet_a_pile_of_polygons_as_one(frame, monkeypatch):
+    met, search = [], cuts.polygon_overlaps
+    monkeypatch.setattr(cuts, "polygon_overlaps", lambda segments, edges, *rest: met.append(edges.count()) or search(segments, edges, *rest))
+    edges = [e for k in range(1, 101) for e in ring(k, (0, 0), (3 * k / 10, k / 10), (k / 10, 2 * k / 10))]
+    line = [(-5, 5), (40, 6), (20, -9)]
+    row = cuts.route_polygon_profile(route(frame, *line), frame(edges, EDGES)).first()
+    assert met == [3] and (row["overlap_m"], row["longest_gap_m"]) == pytest.approx(plain_length(line, edges, 0.0), abs=1e-6)
